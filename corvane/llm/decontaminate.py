@@ -67,6 +67,17 @@ def myers(peq: dict[str, int], m: int, text: str, limit: int) -> tuple[int, int]
     return best, end
 
 
+def merged(starts: list[int], size: int) -> list[tuple[int, int]]:
+    """The union of the windows of ``size`` from each start, as disjoint windows in order."""
+    out: list[tuple[int, int]] = []
+    for lo in sorted(set(starts)):
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], lo + size)
+        else:
+            out.append((lo, lo + size))
+    return out
+
+
 class Matcher:
     """All items of one slice of the benchmark."""
 
@@ -89,24 +100,15 @@ class Matcher:
     def find(self, text: str) -> list[tuple[int, int, int, int]]:
         """(item, distance, start, end) of each item's best match in a normalized text."""
         out = [(self.items[i][0], 0, 0, len(text)) for i in self.whole.get(text, ())]
-        windows: dict[int, list[list[int]]] = {}
+        windows: dict[int, list[int]] = {}
         if len(self.automaton):
             for last, (size, where) in self.automaton.iter(text):
                 for i, at in where:
-                    _, item, k, _, _ = self.items[i]
-                    lo = last + 1 - size - at - k
-                    hi = lo + len(item) + 2 * k
-                    mine = windows.setdefault(i, [])
-                    for w in reversed(mine):  # hits come by their end, so a window may begin a little before the one before it
-                        if lo <= w[1] and hi >= w[0]:
-                            w[0], w[1] = min(w[0], lo), max(w[1], hi)
-                            break
-                    else:
-                        mine.append([lo, hi])
+                    windows.setdefault(i, []).append(last + 1 - size - at - self.items[i][2])
         for i, mine in windows.items():
             item, pattern, k, peq, back = self.items[i]
             best = None
-            for lo, hi in mine:
+            for lo, hi in merged(mine, len(pattern) + 2 * k):
                 lo, hi = max(0, lo), min(len(text), hi)
                 exact = text.find(pattern, lo, hi)
                 if exact >= 0:

@@ -166,7 +166,8 @@ def train(docs: DataFrame, max_rows: int = MAX_TRAIN_ROWS, families: dict[str, s
     """Fit on ``max_rows`` rows a language at most: those with a doc_id, a text and a lang that come first by a hash of doc_id."""
     labelled = docs.where("doc_id is not null and lang is not null")
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = labelled.select("doc_id", "lang").distinct().withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= max_rows).select(F.col("doc_id").alias("_chosen"), F.col("lang").alias("_as"))
+    # a rank below a bound is cut off in each task before the shuffle; repeated rows share a rank, so they go afterwards
+    chosen = labelled.select("doc_id", "lang").withColumn("_n", F.dense_rank().over(order)).where(F.col("_n") <= max_rows).select(F.col("doc_id").alias("_chosen"), F.col("lang").alias("_as")).distinct()
     texts = join_checked(labelled.where("text is not null").select("doc_id", "lang", "text"), chosen, (F.col("doc_id") == F.col("_chosen")) & (F.col("lang") == F.col("_as")), "left_semi", row_bytes=64)
     rows = texts.select("lang", "text").mapInArrow(_count_batches, "lang string, index array<int>, count array<int>").toArrow()
     return fit([(a, np.array(b), np.array(c)) for a, b, c in zip(*(rows.column(i).to_pylist() for i in range(3)))], families)

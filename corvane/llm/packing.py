@@ -117,8 +117,8 @@ def token_counts(text):
 def pack(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece, first_token, n_tokens, bin, offset): where every token of ``docs`` goes.
 
-    A document longer than a bin gives full pieces and a rest; a full piece is a bin by itself. Items of one size are taken in the order
-    of doc_id and piece, nulls first. A document without tokens (null and empty texts among them) has one row with n_tokens 0 and no bin. Rows that
+    A document longer than a bin gives full pieces and a rest; a full piece is a bin by itself. Items of one size are taken share
+    by share (SHARES hash values of doc_id and piece), within a share by doc_id and piece, nulls first. A document without tokens (null and empty texts among them) has one row with n_tokens 0 and no bin. Rows that
     repeat a doc_id are items of their own; which of those of one size comes first is of no effect on the bins' sizes. Other columns
     are not read. An empty table gives an empty result.
     """
