@@ -9,13 +9,8 @@ from corvane.session import checkpointed
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, root) of every vertex of ``edges`` (a, b): the root is the least id of the component.
-
-    Each round replaces edges by stars around local minima and is written to the shared folder; rounds grow with the logarithm of
-    the longest path. Loops and repeated edges are dropped; nulls match nothing; an empty input gives an empty result.
-    """
-    edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges = checkpointed(edges)
+    """(id, root) of every vertex of ``edges`` (a, b); the root is the least id of its component. Loops and repeated edges don't matter."""
+    edges = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -25,7 +20,6 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         edges = checkpointed(small.where("a <> b").distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == seen or now[0] == 0:
-            break
+        if now == seen or not now[0]:
+            return edges.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
         seen = now
-    return edges.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
