@@ -83,7 +83,9 @@ class Model:
         """(family, language, margin, share of known trigrams); both names are None for a document without a letter."""
         scores, total = self.scores(data, offsets)
         n, f = len(total), len(self.families)
-        best = scores[:, :f].argmax(1) if f else np.zeros(n, np.int64)
+        if not f:
+            return [None] * n, [None] * n, np.zeros(n), np.zeros(n)
+        best = scores[:, :f].argmax(1)
         votes = np.zeros((n, len(self.languages)))
         strength = np.zeros((n, len(self.languages)))
         for p, (a, b) in enumerate(self.pairs):
