@@ -22,11 +22,14 @@ MIN_RUN = 100
 #: In a stretch without white space of so many bytes, hash values with low bits of 0 are cut points too.
 LONG_WORD = 64
 
+#: Bytes that a gear hash looks back on.
+GEAR_BYTES = 16
+
 _GEAR = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).astype(np.uint32)
 
 
 def gear(data: np.ndarray) -> np.ndarray:
-    """At i the gear hash of the 16 bytes that end before i: the sum of G[byte] << age, by doubling windows."""
+    """At i the gear hash of the GEAR_BYTES bytes that end before i: the sum of G[byte] << age, by doubling windows."""
     h = np.zeros(len(data) + 1, np.uint32)
     h[1:] = _GEAR[data]
     for step in (1, 2, 4, 8):
@@ -55,6 +58,12 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     at = np.flatnonzero(start)
     doc = np.searchsorted(offsets, at, side="right") - 1
     value = h[at].astype(np.int64)
+    near = np.flatnonzero(at - offsets[doc] < GEAR_BYTES)  # a window that would reach into the text before begins at this one
+    if len(near):
+        back = at[near][:, None] - 1 - np.arange(GEAR_BYTES)
+        inside = back >= offsets[doc[near]][:, None]
+        parts = np.where(inside, _GEAR[data[np.maximum(back, 0)]] << np.arange(GEAR_BYTES, dtype=np.uint32), np.uint32(0))
+        value[near] = parts.sum(1, dtype=np.uint32)
     least = np.ones(len(at), bool)
     for k in range(1, REACH + 1):
         same = doc[k:] == doc[:-k]
