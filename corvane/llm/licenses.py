@@ -18,8 +18,8 @@ from corvane.llm.license_texts import TEMPLATES
 GRAM, WINDOW = 3, 2
 #: An alignment may leave the diagonal of its fingerprints by so many words.
 BAND = 8
-#: Share of a template's words that must be matched in order.
-MIN_COVERAGE = 0.8
+#: Share of a template's words that must be matched in order; of a notice, which a single word may turn into another's, all.
+MIN_COVERAGE = {"text": 0.8, "notice": 1.0}
 FOUND = "doc_id bigint, license string, template int, coverage double, matched_words int, start bigint, end bigint"
 _MATCH, _OTHER, _GAP = 2, -1, -1
 
@@ -54,6 +54,7 @@ class Index:
         self.words = [_words(x[2]) for x in templates]
         self.lists = [w.tolist() for w in self.words]
         self.counts = [Counter(w) for w in self.lists]
+        self.need = [MIN_COVERAGE[x[1]] * len(w) for x, w in zip(templates, self.lists)]
         postings: dict[int, list[tuple[int, int]]] = {}
         for t, words in enumerate(self.words):
             hashes = grams(words)
@@ -104,7 +105,7 @@ def _scan_document(index: Index, words: np.ndarray, at: np.ndarray, which: np.nd
     found, out = [], []
     for t, ds in diagonals.items():
         template, counts = index.lists[t], index.counts[t]
-        need = MIN_COVERAGE * len(template)
+        need = index.need[t]
         ds = sorted(set(ds))
         groups = [[ds[0], ds[0]]]
         for d in ds[1:]:
@@ -122,7 +123,7 @@ def _scan_document(index: Index, words: np.ndarray, at: np.ndarray, which: np.nd
             if matched >= need:
                 found.append((t, matched, lo + a, lo + b))
     for x in sorted(found, key=lambda x: (-x[1], len(index.lists[x[0]]), x[2], x[0])):
-        if not any(x[2] < y[3] and y[2] < x[3] for y in out if index.names[y[0]] == index.names[x[0]]):
+        if not any(x[2] < y[3] and y[2] < x[3] for y in out):
             out.append(x)
     return sorted(out)
 
@@ -157,8 +158,9 @@ def license_spans(docs: DataFrame, templates: list[tuple[str, str, str]] = TEMPL
     """(doc_id, license, template, coverage, matched_words, start, end) of every stretch that covers MIN_COVERAGE of a template.
 
     Words are compared without case and signs. coverage: matched words of the best local alignment over the template's words; start
-    and end are characters of the text. Of overlapping stretches of one licence the one with most matched words stays, then that of the
-    shorter template, then the first; licences don't displace each other. Null and empty texts hold nothing; templates under three words are never found. Rows that repeat a
+    and end are characters of the text. Of overlapping stretches the one with most matched words stays, then that of the shorter
+    template, then the first. A stretch is seen if it has GRAM + WINDOW - 1 of the template's words in a row, or a template of fewer
+    as a whole. Null and empty texts hold nothing; templates under three words are never found. Rows that repeat a
     doc_id, null ids too, are scanned each on its own. Other columns are not read. Texts are scanned whole. An empty table or list
     of templates gives an empty result. Templates are sent once to each executor; they don't grow with the documents.
     """
