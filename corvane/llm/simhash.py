@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm._text import WORD_LUT, buffers, mix, slices, span_hashes, word_bounds
-from corvane.llm.components import components
+from corvane.operators.graph import components
 from corvane.session import checkpointed, join_checked
 
 #: Blocks of 32 bits. Each block has its own random order of a document's shingles and weighs a shingle by its rank in it.
