@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
-from corvane.session import join_checked
+from corvane.session import checkpointed, join_checked
 
 #: A bigram is a collocation from so many occurrences and so much pointwise mutual information on.
 MIN_PAIRS, MIN_PMI = 5, 3.0
@@ -96,7 +96,8 @@ def merge_collocations(arrays: DataFrame, pairs: DataFrame) -> DataFrame:
     rows = token_rows(arrays.select("doc_id", F.col("tokens")))
     doc = Window.partitionBy("doc_id").orderBy("pos")
     rows = rows.withColumn("next", F.lead("token").over(doc))
-    marked = join_checked(rows, pairs.select(F.col("a").alias("token"), F.col("b").alias("next"), F.lit(1).alias("hit")), ["token", "next"], "left", row_bytes=64)
+    pairs = checkpointed(pairs.select(F.col("a").alias("token"), F.col("b").alias("next"), F.lit(1).alias("hit")))  # counted, then joined
+    marked = join_checked(rows, pairs, ["token", "next"], "left", row_bytes=64)
     run = Window.partitionBy("doc_id").orderBy("pos")
     marked = marked.withColumn("reset", F.max(F.when(F.col("hit").isNull(), F.col("pos"))).over(run.rowsBetween(Window.unboundedPreceding, 0)))
     starts = F.col("hit").isNotNull() & ((F.col("pos") - F.coalesce("reset", F.lit(-1))) % 2 == 1)

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
+from pyspark.sql.pandas.types import to_arrow_type
 
 from corvane.operators import corpus
 
@@ -145,12 +146,12 @@ def cosine_scores(docs: DataFrame, queries: DataFrame, k: int | None, doc_id: st
     Queries go out in blocks of QUERY_BLOCK, each a matrix product per batch of documents; a task keeps its best ``k`` of a query, so
     that what is shuffled grows with tasks and queries, not with documents. ``k`` None keeps all.
     """
-    kinds = {f.name: f.dataType for f in docs.schema.fields} | {}
+    kinds = {f.name: f.dataType for f in docs.schema.fields}
     qkind = queries.schema[query_id].dataType
     schema = ST.StructType([ST.StructField("qid", qkind), ST.StructField("doc_id", kinds[doc_id]), ST.StructField("score", ST.DoubleType())])
     spark = docs.sparkSession
     rows = docs.select(doc_id, doc_vec)
-    qtype, dtype = (pa.int64() if isinstance(t, (ST.LongType, ST.IntegerType)) else pa.string() for t in (qkind, kinds[doc_id]))
+    qtype, dtype = to_arrow_type(qkind), to_arrow_type(kinds[doc_id])
 
     def scan(ids: list, matrix: np.ndarray) -> DataFrame:
         shared = spark.sparkContext.broadcast((ids, matrix))

@@ -151,7 +151,7 @@ _PROFILE = {"roles": list, "types": dict, "refs": dict, "grids": dict, "grammar"
 
 def read_profile(source: str | dict) -> dict:
     """A profile from a JSON file or an object; unknown keys, wrong kinds and bad patterns are errors."""
-    profile = source if isinstance(source, dict) else json.loads(Path(source).read_text(encoding="utf-8"))
+    profile = json.loads(Path(source).read_text(encoding="utf-8")) if isinstance(source, str) else source
     if not isinstance(profile, dict):
         raise ValueError("a profile is an object")
     for key, value in profile.items():
@@ -162,7 +162,7 @@ def read_profile(source: str | dict) -> dict:
     patterns = [r.get("pattern") if isinstance(r, dict) else None for r in profile.get("roles", [])]
     if None in patterns or any("role" not in r for r in profile.get("roles", [])):
         raise ValueError("each of 'roles' has a pattern and a role")
-    patterns += [g["pattern"] for g in profile.get("grids", {}).values() if "pattern" in g] + [profile["refs"]["pattern"]] * ("pattern" in profile.get("refs", {}))
+    patterns += [g["pattern"] for g in profile.get("grids", {}).values() if "pattern" in g] + [p for k, p in profile.get("refs", {}).items() if k == "pattern"]
     for p in patterns:
         try:
             re.compile(p)
