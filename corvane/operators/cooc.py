@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
+from corvane.session import checkpointed
 
 #: Content words up to so many places apart co-occur; nearer pairs weigh more.
 REACH = 5
@@ -35,7 +36,8 @@ def marginals(pairs: DataFrame) -> DataFrame:
 
 
 def ppmi(pairs: DataFrame) -> DataFrame:
-    """(a, b, w, ppmi) of the pairs whose ln(total * w / (m_a * m_b)) is positive."""
+    """(a, b, w, ppmi) of the pairs whose ln(total * w / (m_a * m_b)) is positive. The pairs are written first, as they are read thrice."""
+    pairs = checkpointed(pairs)
     m = marginals(pairs)
     total = pairs.agg(F.sum("w").alias("_total"))
     rows = pairs.join(m.select(F.col("token").alias("a"), F.col("m").alias("m_a")), "a").join(m.select(F.col("token").alias("b"), F.col("m").alias("m_b")), "b").crossJoin(F.broadcast(total))

@@ -79,10 +79,13 @@ def related(edges: DataFrame, entities: DataFrame, k: int = 10) -> DataFrame:
 def siblings(edges: DataFrame, start: DataFrame, k: int = 10) -> DataFrame:
     """(start_doc, role, entity, doc_id, rank): from each document of ``start`` (doc_id) to its entities and on to others with them, by path.
 
-    Both hops are equi-joins on (role, entity); the bound is per entity and kept by a group limit before the shuffle.
+    Of each entity only the first ``k`` + 1 documents can be among the first ``k`` that aren't the start, so the others go before the
+    join, most of them before the shuffle.
     """
+    order = Window.partitionBy("role", "entity").orderBy("doc_id")
+    first = edges.select("role", "entity", "doc_id").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k + 1)
     mine = edges.join(start.select("doc_id"), "doc_id").select(F.col("doc_id").alias("start_doc"), "role", "entity")
-    both = mine.join(edges.select("role", "entity", "doc_id"), ["role", "entity"]).where("doc_id <> start_doc")
+    both = mine.join(first.drop("rank"), ["role", "entity"]).where("doc_id <> start_doc")
     order = Window.partitionBy("start_doc", "role", "entity").orderBy("doc_id")
     return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("start_doc", "role", "entity", "doc_id", "rank")
 

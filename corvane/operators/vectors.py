@@ -39,6 +39,8 @@ def signature(token: str, dim: int = DIM) -> np.ndarray:
     for b in range(_BLOCKS):
         h = np.frombuffer(hashlib.sha256(f"{token}#{b}".encode()).digest(), ">u2")
         places.update(dict.fromkeys((h.astype(np.int64) % dim).tolist()))
+        if len(places) >= ACTIVE:
+            break
     return np.array(list(places)[:ACTIVE], np.int64)
 
 
@@ -47,6 +49,10 @@ def role_shift(role: str, dim: int = DIM) -> int:
     return int(hashlib.sha256(f"role:{role}".encode()).hexdigest()[:8], 16) % (dim - 1) + 1
 
 
+#: Words whose places are added at once.
+_CHUNK = 100_000
+
+
 def _signs(n: int) -> np.ndarray:
     return np.where(np.arange(n) < ACTIVE // 2, 1, -1)
 
@@ -74,13 +80,25 @@ def _grids(weighted: DataFrame, dim: int, shifted: bool) -> DataFrame:
                 flat = terms.flatten()
                 rows = np.repeat(np.arange(part.num_rows), counts)
                 out = np.zeros((part.num_rows, dim), np.int64)
-                roles = flat.field("role").to_pylist() if shifted else None
                 weights = flat.field("w").to_numpy(zero_copy_only=False)
-                for i, token in enumerate(flat.field("token").to_pylist()):
+                words = flat.field("token").dictionary_encode()
+                if isinstance(words, pa.ChunkedArray):
+                    words = words.combine_chunks()
+                code = words.indices.to_numpy()
+                marks = np.full((len(words.dictionary), ACTIVE), -1, np.int64)
+                for i, token in enumerate(words.dictionary.to_pylist()):
                     places = signature(token, dim)
+                    marks[i, : len(places)] = places
+                turn = np.array([role_shift(r, dim) for r in flat.field("role").to_pylist()], np.int64) if shifted else None
+                for lo in range(0, len(code), _CHUNK):
+                    some = marks[code[lo : lo + _CHUNK]]
+                    there = some >= 0
                     if shifted:
-                        places = (places + role_shift(roles[i], dim)) % dim
-                    out[rows[i], places] += _signs(len(places)) * weights[i]
+                        some = (some + turn[lo : lo + _CHUNK, None]) % dim
+                    at_cell = rows[lo : lo + _CHUNK, None] * dim + some
+                    value = weights[lo : lo + _CHUNK, None] * _signs(ACTIVE)[None, :]
+                    # whole numbers far below 2 ** 53, so the sums are exact
+                    out += np.bincount(at_cell[there], weights=value[there], minlength=out.size).astype(np.int64).reshape(out.shape)
                 q = quantized(out)
                 norm = np.sqrt((q.astype(np.float64) ** 2).sum(1))
                 values = pa.ListArray.from_arrays(pa.array(np.arange(0, q.size + 1, dim, dtype=np.int32)), pa.array(q.ravel()))
@@ -169,20 +187,18 @@ def cosine_scores(docs: DataFrame, queries: DataFrame, k: int | None, doc_id: st
                     d = flat.reshape(part.num_rows, -1)
                     scale = np.linalg.norm(d, axis=1)[:, None] * length[None, :]
                     score = np.where(scale > 0, d @ m.T / np.where(scale > 0, scale, 1), 0.0)
+                    if k is None:
+                        here = part.column(0).take(pa.array(np.tile(np.arange(part.num_rows), len(names))))
+                        yield pa.RecordBatch.from_arrays([pa.array(names, qtype).take(pa.array(np.repeat(np.arange(len(names)), part.num_rows))), here.cast(dtype), pa.array(score.T.ravel())], ["qid", "doc_id", "score"])
+                        continue
                     docs_here = part.column(0).to_pylist()
                     for j in range(len(names)):
                         s = score[:, j]
-                        if k is None or len(s) <= k:
+                        if len(s) <= k:
                             some = range(len(s))
                         else:
                             some = np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k] - 1e-9)
-                        if k is None:
-                            best[j] += [(-s[i], docs_here[i]) for i in some]
-                        else:
-                            best[j] = sorted(best[j] + [(-round(float(s[i]), 9), docs_here[i], -float(s[i])) for i in some])[:k]
-                if k is None:
-                    yield _scored(names, best, qtype, dtype)
-                    best = [[] for _ in names]
+                        best[j] = sorted(best[j] + [(-round(float(s[i]), 9), docs_here[i], -float(s[i])) for i in some])[:k]
             if k is not None:
                 yield _scored(names, best, qtype, dtype)
 
@@ -200,7 +216,7 @@ def cosine_scores(docs: DataFrame, queries: DataFrame, k: int | None, doc_id: st
 def _scored(names: list, best: list[list[tuple]], qtype, dtype) -> pa.RecordBatch:
     q = [n for n, rows in zip(names, best) for _ in rows]
     d = [r[1] for rows in best for r in rows]
-    s = [-r[-1] if len(r) == 3 else -r[0] for rows in best for r in rows]
+    s = [-r[-1] for rows in best for r in rows]
     return pa.RecordBatch.from_arrays([pa.array(q, qtype), pa.array(d, dtype), pa.array(s, pa.float64())], ["qid", "doc_id", "score"])
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corvane.functions import grammar, questions
 from corvane.functions import text as T
 from corvane.operators import cooc, corpus, diff, evaluate, explain, typed, vectors
-from corvane.plans.tables import FACETS, NEG, STOP, TOK, VOC, benchmark_queries, doc_arrays, order_paths, table
+from corvane.plans.tables import FACETS, NEG, STOP, TOK, VOC, benchmark_queries, doc_arrays, order_paths, table, texts
 
 #: A small lexicon of the words that the tables hold.
 LEXICON = {"error": "fault", "purchase": "sale", "la": "le", "est": "être", "is": "be", "the": "a", "and": "et"}
@@ -73,7 +73,7 @@ def query_route(spark, d):
 
 
 def doc_refs(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.array_join(T.codes(F.col("text")), " ").alias("refs"))
+    return texts(spark, d).select("doc_id", F.array_join(T.codes(F.col("text")), " ").alias("refs"))
 
 
 def path_dates(spark, d):
@@ -130,7 +130,7 @@ def held_out_queries(spark, d):
 
 
 def _halves(spark, d):
-    docs = table(spark, d, "documents")
+    docs = texts(spark, d)
     return docs.where("doc_id % 10 <> 0"), docs.where("doc_id % 10 <> 1")
 
 
@@ -152,7 +152,7 @@ def company_drift(spark, d):
 
 
 def grammar_roles(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.explode(grammar.roles(F.col("text"))).alias("e")).select("doc_id", "e.role", "e.entity")
+    return texts(spark, d).select("doc_id", F.explode(grammar.roles(F.col("text"))).alias("e")).select("doc_id", "e.role", "e.entity")
 
 
 def index_stats(spark, d):

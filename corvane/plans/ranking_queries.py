@@ -8,7 +8,7 @@ from corvane.functions import questions
 from corvane.functions import text as T
 from corvane.operators import corpus, embeddings, evaluate, explain, retrieve, typed, vectors, versions
 from corvane.plans.corpus_queries import GRID, SIGNED
-from corvane.plans.tables import BM25, NEG, QRY, STOP, VOC, benchmark_queries, doc_arrays, in_sql, table, top_sql
+from corvane.plans.tables import BM25, NEG, QRY, STOP, VOC, benchmark_queries, doc_arrays, in_sql, table, texts, top_sql
 
 #: What the single-query reports look for.
 ASKED = "the and of"
@@ -132,7 +132,7 @@ def explain_match(spark, d):
 
 def mrr_recall(spark, d):
     """How well BM25 finds the documents that hold an item verbatim."""
-    items, docs = table(spark, d, "benchmark"), table(spark, d, "documents")
+    items, docs = table(spark, d, "benchmark"), texts(spark, d)
     truth = docs.join(F.broadcast(items.select("item_id", F.col("text").alias("item"))), F.contains(F.col("text"), F.col("item"))).select(F.col("item_id").alias("qid"), "doc_id")
     return evaluate.quality(bm25_batch_benchmark(spark, d), truth)
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corvane.functions.text import TOKEN
 from corvane.functions.words import NEGATORS, STOPWORDS
 from corvane.operators import corpus
+from corvane.session import spread
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -16,8 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """(id, text) of a table whose texts are much work, over all cores."""
+    key = "item_id" if name == "benchmark" else "doc_id"
+    return spread(table(spark, sf_dir, name).select(key, "text"))
+
+
 def doc_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.token_arrays(table(spark, sf_dir, "documents"))
+    return corpus.token_arrays(texts(spark, sf_dir))
 
 
 def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:

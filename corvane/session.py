@@ -47,6 +47,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores if it comes in fewer partitions than there are cores, as a small file does; else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def join_checked(left: DataFrame, right: DataFrame, on, how: str, row_bytes: int, rows: int | None = None, limit: int = BROADCAST_LIMIT) -> DataFrame:
     """Join that broadcasts ``right`` only if ``rows * row_bytes`` (counted if not given) is within ``limit``; else it shuffles both sides."""
     n = right.count() if rows is None else rows
