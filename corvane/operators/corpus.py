@@ -38,11 +38,13 @@ def term_counts(arrays: DataFrame) -> DataFrame:
 
 
 def vocabulary(arrays: DataFrame) -> DataFrame:
-    """(token, df, cf): documents and occurrences of each token. A document is a row."""
-    rows = arrays.select(F.explode(F.array_distinct("tokens")).alias("token"))
-    df = rows.groupBy("token").agg(F.count("*").alias("df"))
-    cf = arrays.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("cf"))
-    return df.join(cf, "token").select("token", "df", "cf")
+    """(token, df, cf): documents and occurrences of each token. A document is a row.
+
+    A row's tokens are sorted, and the first of a kind counts for df; so one aggregation by token does, with partial sums.
+    """
+    rows = arrays.select(F.sort_array("tokens").alias("s"))
+    each = F.transform("s", lambda t, i: F.struct(t.alias("token"), F.when((i == 0) | (F.col("s")[F.greatest(i - 1, F.lit(0))] != t), 1).otherwise(0).alias("first")))
+    return rows.select(F.explode(each).alias("e")).select("e.*").groupBy("token").agg(F.sum("first").alias("df"), F.count("*").alias("cf"))
 
 
 def vocabulary_from_counts(counts: DataFrame) -> DataFrame:

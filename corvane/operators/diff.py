@@ -35,8 +35,8 @@ def collocation_changes(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def usage(before: DataFrame, after: DataFrame, least_df: int = LEAST_DF) -> DataFrame:
     """(token, df_before, df_after, ratio): (after - before) / the larger, for words of both states in ``least_df`` documents of one."""
-    a = corpus.vocabulary_from_counts(corpus.term_counts(before)).select("token", F.col("df").alias("df_before"))
-    b = corpus.vocabulary_from_counts(corpus.term_counts(after)).select("token", F.col("df").alias("df_after"))
+    a = corpus.vocabulary(before).select("token", F.col("df").alias("df_before"))
+    b = corpus.vocabulary(after).select("token", F.col("df").alias("df_after"))
     most = F.greatest("df_before", "df_after")
     rows = a.join(b, "token").where((most >= least_df) & (F.col("df_before") != F.col("df_after")))
     return rows.select("token", "df_before", "df_after", F.round((F.col("df_after") - F.col("df_before")) / most, 6).alias("ratio"))
@@ -51,12 +51,12 @@ def company(before: DataFrame, after: DataFrame, least_df: int = LEAST_DF) -> Da
     for name, arrays in (("x", before), ("y", after)):
         scored = cooc.ppmi(cooc.pair_weights(arrays))
         both = scored.select(F.col("a").alias("token"), F.col("b").alias("other"), F.col("ppmi").alias(name)).unionByName(scored.where("a <> b").select(F.col("b").alias("token"), F.col("a").alias("other"), F.col("ppmi").alias(name)))
-        df = corpus.vocabulary_from_counts(corpus.term_counts(arrays)).where(F.col("df") >= least_df).select("token")
+        df = corpus.vocabulary(arrays).where(F.col("df") >= least_df).select("token")
         both = both.join(df, "token", "left_semi")
         rows = both if rows is None else rows.join(both, ["token", "other"], "full")
     x, y = F.coalesce("x", F.lit(0.0)), F.coalesce("y", F.lit(0.0))
     sums = rows.groupBy("token").agg(F.sum(x * y).alias("dot"), F.sum(x * x).alias("xx"), F.sum(y * y).alias("yy"), F.max(F.abs(x - y)).alias("apart"))
-    words = [corpus.vocabulary_from_counts(corpus.term_counts(s)).where(F.col("df") >= least_df).select("token") for s in (before, after)]
+    words = [corpus.vocabulary(s).where(F.col("df") >= least_df).select("token") for s in (before, after)]
     sums = sums.join(words[0], "token", "left_semi").join(words[1], "token", "left_semi")
     drift = F.when(F.col("apart") == 0, 0.0).when((F.col("xx") == 0) | (F.col("yy") == 0), 1.0).otherwise(1 - F.col("dot") / F.sqrt(F.col("xx") * F.col("yy")))
     return sums.select("token", F.round(drift, 6).alias("drift"))

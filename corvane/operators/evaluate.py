@@ -38,7 +38,7 @@ def held_out(arrays: DataFrame, least_tokens: int = 40, terms: int = 6, queries:
     if queries is not None:
         long = long.orderBy("doc_id").limit(queries)
     tail = long.select("doc_id", F.explode(F.slice("tokens", half + 1, F.size("tokens"))).alias("token")).where(~T.is_stopword(F.col("token"))).groupBy("doc_id", "token").agg(F.count("*").alias("tf"))
-    vocab = corpus.with_idf(corpus.vocabulary_from_counts(corpus.term_counts(arrays)), arrays)
+    vocab = corpus.with_idf(corpus.vocabulary(arrays), arrays)
     order = Window.partitionBy("doc_id").orderBy(F.desc("score"), "token")
     best = tail.join(vocab, "token").withColumn("score", F.round(F.col("tf") * F.col("idf"), 9)).withColumn("r", F.row_number().over(order)).where(F.col("r") <= terms)
     return best.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "token"))), lambda x: x["token"]), " ").alias("query"))

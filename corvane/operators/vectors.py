@@ -254,5 +254,70 @@ def grid_dim(dim: int, vocab: int, learns: bool = True, largest: int = 12288) ->
 def document_grids(arrays: DataFrame, dim: int = DIM) -> DataFrame:
     """``encode`` of every document with the corpus's own idf; doc_id must be unique."""
     counts = corpus.signed_counts(arrays)
-    vocab = corpus.with_idf(corpus.vocabulary_from_counts(corpus.term_counts(arrays)), arrays)
+    vocab = corpus.with_idf(corpus.vocabulary(arrays), arrays)
     return encode(counts, vocab, arrays, dim)
+
+
+def profiles(scored: DataFrame, dim: int = DIM) -> DataFrame:
+    """(token, profile): the sum of the signatures of a word's partners, weighted by PPMI; a pair of a word with itself counts twice.
+
+    ``scored``: (a, b, w, ppmi). Partners travel as names, their signatures are made where they are added.
+    """
+    flipped = scored.select(F.col("b").alias("token"), F.col("a").alias("other"), "ppmi")
+    both = scored.select(F.col("a").alias("token"), F.col("b").alias("other"), "ppmi").unionByName(flipped)
+    rows = both.groupBy("token").agg(F.array_sort(F.collect_list(F.struct("other", "ppmi"))).alias("partners"))
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                out = np.zeros((part.num_rows, dim))
+                for i, partners in enumerate(part.column(1).to_pylist()):
+                    for p in partners:
+                        places = signature(p["other"], dim)
+                        out[i, places] += _signs(len(places)) * p["ppmi"]
+                values = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, dim, dtype=np.int32)), pa.array(out.ravel()))
+                yield pa.RecordBatch.from_arrays([part.column(0), values], ["token", "profile"])
+
+    return rows.mapInArrow(batches, "token string, profile array<double>")
+
+
+def word_vectors(words: DataFrame, profile: DataFrame | None = None, table: DataFrame | None = None, weights: tuple[float, float, float] = (0.25, 0.15, 0.6), dim: int = DIM) -> DataFrame:
+    """(token, vec): unit vectors of a * signature + b * profile + g * embedding, each part a unit vector, the weights shared among the parts a word has.
+
+    Without a ``table`` of (word, vec of ``dim``) the weights are 0.5, 0.5 and 0, whatever was asked for. Zero profiles count as absent.
+    ``words``: (token).
+    """
+    a, b, g = weights if table is not None else (0.5, 0.5, 0.0)
+    rows = words.select("token").distinct()
+    rows = rows.join(profile.select("token", "profile"), "token", "left") if profile is not None else rows.withColumn("profile", F.lit(None).cast("array<double>"))
+    rows = rows.join(table.select(F.col("word").alias("token"), F.col("vec").cast("array<double>").alias("embedding")), "token", "left") if table is not None else rows.withColumn("embedding", F.lit(None).cast("array<double>"))
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            out = []
+            for token, prof, emb in zip(*(c.to_pylist() for c in batch.columns)):
+                places = signature(token, dim)
+                v = np.zeros(dim)
+                v[places] = _signs(len(places))
+                parts = [(w, x / n) for w, x in ((a, v), (b, None if prof is None else np.array(prof)), (g, None if emb is None else np.array(emb))) if w and x is not None and (n := np.linalg.norm(x)) > 0]
+                v = sum((w * x for w, x in parts), np.zeros(dim)) / max(sum(w for w, _ in parts), 1e-12)
+                n = np.linalg.norm(v)
+                out.append(v / n if n else v)
+            if out:
+                values = pa.ListArray.from_arrays(pa.array(np.arange(0, len(out) * dim + 1, dim, dtype=np.int32)), pa.array(np.concatenate(out)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), values], ["token", "vec"])
+
+    return rows.select("token", "profile", "embedding").mapInArrow(batches, "token string, vec array<double>")
+
+
+def with_document_channel(grids: DataFrame, channel: DataFrame, share: float) -> DataFrame:
+    """(doc_id, vec): unit vectors of (1 - share) * grid + share * channel, both as unit vectors; the grid alone for a document without a channel.
+
+    ``channel``: (doc_id, vec) in the grid's dimension, as of ``embeddings.document_sums`` and ``embeddings.projected``.
+    """
+    rows = grids.select("doc_id", "q").join(channel.select("doc_id", F.col("vec").alias("_c")), "doc_id", "left")
+    unit = lambda v: F.transform(v, lambda x: x / F.greatest(F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, y: s + y * y)), F.lit(1e-300)))
+    q = unit(F.transform("q", lambda x: x.cast("double")))
+    mixed = F.zip_with(q, unit(F.col("_c")), lambda x, y: (1 - share) * x + share * y)
+    return rows.select("doc_id", F.when(F.col("_c").isNull() | F.lit(share == 0), q).otherwise(unit(mixed)).alias("vec"))

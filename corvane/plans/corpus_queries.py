@@ -28,7 +28,7 @@ def path_tokens(spark, d):
 
 def vocab_df_idf(spark, d):
     a = doc_arrays(spark, d)
-    return corpus.with_idf(corpus.vocabulary_from_counts(corpus.term_counts(a)), a).select("token", "df", "cf", F.round("idf", 6).alias("idf"))
+    return corpus.with_idf(corpus.vocabulary(a), a).select("token", "df", "cf", F.round("idf", 6).alias("idf"))
 
 
 def collocations_pmi(spark, d):
@@ -162,7 +162,7 @@ def index_stats(spark, d):
 def near_words(spark, d):
     """Words in the company that the benchmark's words keep."""
     a = doc_arrays(spark, d)
-    vocab = corpus.vocabulary_from_counts(corpus.term_counts(a))
+    vocab = corpus.vocabulary(a)
     asked = benchmark_queries(spark, d).select(F.explode("tokens").alias("token")).distinct()
     return explain.near_words(cooc.ppmi(cooc.pair_weights(a)), vocab, a.count(), asked)
 

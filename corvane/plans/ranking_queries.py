@@ -29,7 +29,7 @@ def bm25_batch_benchmark(spark, d):
 
 
 def _query_grids(spark, d, arrays, queries):
-    vocab = corpus.with_idf(corpus.vocabulary_from_counts(corpus.term_counts(arrays)), arrays)
+    vocab = corpus.with_idf(corpus.vocabulary(arrays), arrays)
     rows = queries.select(F.col("qid").alias("doc_id"), "tokens")
     return vectors.encode(corpus.signed_counts(rows), vocab, rows).where("norm > 0").select(F.col("doc_id").alias("qid"), "q")
 

@@ -21,10 +21,7 @@ def count_words(docs: DataFrame) -> DataFrame:
 
     df counts rows: a stream must hold each document once.
     """
-    arrays = corpus.token_arrays(docs)
-    rows = arrays.select(F.array_sort("tokens").alias("s"))
-    each = F.transform("s", lambda t, i: F.struct(t.alias("token"), F.when((i == 0) | (F.col("s")[F.greatest(i - 1, F.lit(0))] != t), 1).otherwise(0).alias("first")))
-    return rows.select(F.explode(each).alias("e")).select("e.*").groupBy("token").agg(F.sum("first").alias("df"), F.count("*").alias("cf"))
+    return corpus.vocabulary(corpus.token_arrays(docs))
 
 
 def append_to(index: Index, docs: DataFrame, checkpoint: str, available_now: bool = True):

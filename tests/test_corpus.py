@@ -226,3 +226,32 @@ def test_versions(spark):
     assert got == {"a": ("b", False), "b": ("b", True), "c": ("b", False), "x": ("x", True)}
     v = spark.createDataFrame([(1, "a", [1, 0], 1.0), (1, "b", [1, 0], 1.0), (1, "c", [0, 1], 1.0), (2, "a", [1, 0], 1.0)], "qid int, doc_id string, q array<int>, norm double")
     assert rows(versions.similar_pairs(v)) == [(1, "a", "b")]
+
+
+def test_word_vectors(spark, arrays):
+    scored = spark.createDataFrame([("eau", "lac", 5, 1.0), ("lac", "lac", 5, 0.5)], "a string, b string, w int, ppmi double")
+    p = {r.token: np.array(r.profile) for r in vectors.profiles(scored).collect()}
+    full = lambda t: np.bincount(vectors.signature(t), weights=vectors._signs(vectors.ACTIVE), minlength=vectors.DIM)
+    assert np.allclose(p["eau"], full("lac")) and np.allclose(p["lac"], full("eau") + full("lac"))
+    words = spark.createDataFrame([("eau",), ("seul",)], "token string")
+    got = {r.token: np.array(r.vec) for r in vectors.word_vectors(words, vectors.profiles(scored), weights=(0.9, 0.1, 0.0)).collect()}
+    want = full("eau") / 40**0.5 + full("lac") / 40**0.5
+    assert np.allclose(got["eau"], want / np.linalg.norm(want)) and np.allclose(got["seul"], full("seul") / 40**0.5)
+    table = spark.createDataFrame([("eau", [1.0] + [0.0] * (vectors.DIM - 1))], "word string, vec array<double>")
+    pure = vectors.word_vectors(words, None, table, (0.0, 0.0, 1.0)).where("token = 'eau'").first().vec
+    assert pure[0] == 1.0 and sum(pure) == 1.0
+    grids = vectors.document_grids(arrays("eau lac", "lac"))
+    mixed = {r.doc_id: np.array(r.vec) for r in vectors.with_document_channel(grids, spark.createDataFrame([(0, [2.0] + [0.0] * (vectors.DIM - 1))], "doc_id bigint, vec array<double>"), 0.5).collect()}
+    assert all(abs(np.linalg.norm(v) - 1) < 1e-9 for v in mixed.values()) and mixed[0][0] > 0.5
+
+
+def test_near_words(spark):
+    """Words with the partners of the asked word, against cosines by hand."""
+    kind = "a string, b string, w int, ppmi double"
+    pairs = [("cat", "milk", 5, 2.0), ("cat", "purr", 5, 1.0), ("kitten", "milk", 5, 2.0), ("kitten", "purr", 5, 1.0), ("dog", "milk", 5, 1.0), ("bark", "dog", 5, 3.0), ("le", "milk", 5, 9.0)]
+    scored = spark.createDataFrame(pairs, kind)
+    vocab = spark.createDataFrame([(t, 1) for t in ("cat", "kitten", "dog", "milk", "purr", "bark", "le")], "token string, df int")
+    got = rows(explain.near_words(scored, vocab, 10, spark.createDataFrame([("cat",)], "token string")), "rank")
+    assert got == [("cat", "kitten", 1, 1.0), ("cat", "dog", 2, round(2 / (5**0.5 * 10**0.5), 6))]
+    common = vocab.where("token <> 'kitten'").unionByName(spark.createDataFrame([("kitten", 5)], "token string, df int"))
+    assert [r[1] for r in rows(explain.near_words(scored, common, 10, spark.createDataFrame([("cat",)], "token string")), "rank")] == ["dog"]
