@@ -71,6 +71,22 @@ def test_copies_with_edits_go_and_others_stay(make):
     assert all(v < 60 and (k % 100 == v if k < 200 else (k - 200) // 10 == v) for k, v in got.items())
 
 
+@pytest.mark.parametrize(("words", "changed"), [(8, 1), (9, 1), (12, 2), (20, 3), (40, 6), (120, 18)])
+def test_close_pairs_of_every_length_are_candidates(make, words, changed):
+    rng, rows = random.Random(words), []
+    for i in range(100):
+        text = [f"w{rng.randrange(10**6)}" for _ in range(words)]
+        other = list(text)
+        for k in rng.sample(range(words), changed):
+            other[k] = f"x{rng.randrange(10**6)}"
+        rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(other))]
+    docs = make(rows)
+    prints = {r.doc_id: list(r)[1:] for r in simhash.fingerprint_table(docs).collect()}
+    close = {2 * i + 1 for i in range(100) if sum(((a ^ b) & ((1 << 64) - 1)).bit_count() for a, b in zip(prints[2 * i], prints[2 * i + 1])) <= simhash.MAX_DISTANCE}
+    got = {r.doc_id for r in simhash.near_duplicates(docs).collect()}
+    assert len(close) >= 20 and got <= close and len(got) >= 0.9 * len(close)
+
+
 def test_near_duplicates_of_odd_rows(odd, make):
     assert {r.doc_id for r in simhash.near_duplicates(odd).collect()} == set()
     assert sorted(map(str, simhash.drop_near_duplicates(odd).collect())) == sorted(map(str, odd.collect()))
