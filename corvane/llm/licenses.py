@@ -64,15 +64,16 @@ class Index:
         self.postings = [postings[int(k)] for k in self.keys]
 
 
-def align(template: list[int], words: list[int], low: int, high: int) -> tuple[int, int, int]:
-    """(matched words, first, end) of the best local alignment with ``words``, on diagonals (word minus template place) from low to high.
+def align(template: list[int], words: list[int], low: int, high: int) -> list[tuple[int, int, int, int]]:
+    """(score, matched words, first, end) of the best local alignment that ends in each word, on diagonals (word minus template place) from
+    low to high, best first.
 
     Ties go to the earlier end in the template, then in the words.
     """
     width = high - low + 1
     dead = (0, 0, -1)  # score, matches, first word
-    above, best, where = [dead] * (width + 1), (0, 0), (-1, -1)
-    n = len(words)
+    above, n = [dead] * (width + 1), len(words)
+    best: dict[int, tuple[int, int, int, int]] = {}  # score, matches, first word, template place, by last word
     for i, word in enumerate(template):
         row, left = [dead] * (width + 1), dead
         for b in range(width):
@@ -90,10 +91,40 @@ def align(template: list[int], words: list[int], low: int, high: int) -> tuple[i
             if cell[0] <= 0:
                 cell = dead
             row[b] = left = cell
-            if (cell[0], cell[1]) > best:
-                best, where = (cell[0], cell[1]), (cell[2], j + 1)
+            if words[j] == word and (j not in best or cell[:2] > best[j][:2]):
+                best[j] = (*cell, i)
         above = row
-    return best[1], *where
+    return [(s, m, f, j + 1) for j, (s, m, f, _) in sorted(best.items(), key=lambda x: (-x[1][0], -x[1][1], x[1][3], x[0]))]
+
+
+def stretches(template: list[int], counts: Counter, words: list[int], low: int, high: int, need: float) -> list[tuple[int, int, int]]:
+    """(matched words, first, end) of the best local alignment, then of the best in what lies before and after it, and so on.
+
+    Those with fewer than ``need`` matched words are left out.
+    """
+    out, todo = [], [(0, len(words))]
+    while todo:
+        a, b = todo.pop()
+        have = Counter(words[a:b])
+        if sum(min(n, have[w]) for w, n in counts.items()) < need:  # can't be covered enough, however aligned
+            continue
+        used, taken = bytearray(b - a), []
+        for _, matched, first, end in align(template, words[a:b], max(low - a, 1 - len(template)), min(high - a, b - a - 1)):
+            if used[end - 1]:
+                continue
+            if 1 in used[first:end]:  # without the words that are taken, another alignment may end here
+                break
+            used[first:end] = b"\1" * (end - first)
+            taken.append((first, end))
+            if matched >= need:
+                out.append((matched, a + first, a + end))
+        at = 0
+        for first, end in sorted(taken):
+            todo.append((a + at, a + first))
+            at = end
+        if taken:
+            todo.append((a + at, b))
+    return out
 
 
 def _scan_document(index: Index, words: np.ndarray, at: np.ndarray, which: np.ndarray) -> list[tuple[int, int, int, int]]:
@@ -116,12 +147,7 @@ def _scan_document(index: Index, words: np.ndarray, at: np.ndarray, which: np.nd
         for first, last in groups:
             lo = max(0, first - BAND)
             part = words[lo : last + BAND + len(template)].tolist()
-            have = Counter(part)
-            if sum(min(n, have[w]) for w, n in counts.items()) < need:  # can't be covered enough, however aligned
-                continue
-            matched, a, b = align(template, part, first - BAND - lo, last + BAND - lo)
-            if matched >= need:
-                found.append((t, matched, lo + a, lo + b))
+            found += [(t, matched, lo + a, lo + b) for matched, a, b in stretches(template, counts, part, first - BAND - lo, last + BAND - lo, need)]
     for x in sorted(found, key=lambda x: (-x[1], len(index.lists[x[0]]), x[2], x[0])):
         if not any(x[2] < y[3] and y[2] < x[3] for y in out):
             out.append(x)
@@ -157,8 +183,8 @@ def scan_texts(index: Index, data: np.ndarray, offsets: np.ndarray) -> Iterator[
 def license_spans(docs: DataFrame, templates: list[tuple[str, str, str]] = TEMPLATES) -> DataFrame:
     """(doc_id, license, template, coverage, matched_words, start, end) of every stretch that covers MIN_COVERAGE of a template.
 
-    Words are compared without case and signs. coverage: matched words of the best local alignment over the template's words; start
-    and end are characters of the text. Of overlapping stretches the one with most matched words stays, then that of the shorter
+    Words are compared without case and signs. coverage: matched words of the best local alignment over the template's words, then of the
+    best in the words around it, until none covers enough; start and end are characters of the text. Of overlapping stretches the one with most matched words stays, then that of the shorter
     template, then the first. A stretch is seen if it has GRAM + WINDOW - 1 of the template's words in a row, or a template of fewer
     as a whole. Null and empty texts hold nothing; templates under three words are never found. Rows that repeat a
     doc_id, null ids too, are scanned each on its own. Other columns are not read. Texts are scanned whole. An empty table or list

@@ -90,6 +90,17 @@ def test_licences_agree_with_whole_alignments(spark, make):
         assert found.get(i, set()) == want, text
 
 
+def test_notices_in_a_row_are_all_found(make):
+    mit, cc = "Licensed under the MIT License.", "Licensed under CC BY-SA 4.0."
+    texts = [f"{mit}\n{mit}", f"a.py {mit} b.py {mit} c.py {cc} d.py {mit}", "\n".join([mit] * 300), f"{mit} Licensed under the {mit} {mit}"]
+    got = {}
+    for r in licenses.license_spans(make(list(enumerate(texts)))).collect():
+        got.setdefault(r.doc_id, []).append((r.license, r.start, r.end))
+    for i, text in enumerate(texts):
+        want = [(name, m.start(), m.end() - 1) for name, notice in (("MIT", mit), ("CC-BY-SA-4.0", cc)) for m in re.finditer(re.escape(notice), text)]
+        assert sorted(got[i]) == sorted(want), text
+
+
 def test_licences_of_odd_rows(odd, make):
     assert licenses.license_spans(odd).collect() == []
     assert licenses.license_spans(make([])).collect() == []
