@@ -1,4 +1,4 @@
-"""SimHash near-duplicates: candidates that share a block of the fingerprint or a band of least shingles, verified by Hamming distance."""
+"""SimHash near-duplicates: fingerprints split into blocks of which close pairs must share one, verified by Hamming distance."""
 
 from __future__ import annotations
 
@@ -6,166 +6,137 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corvane.llm._text import WORD_LUT, buffers, mix, slices, span_hashes, word_bounds
 from corvane.operators.graph import components
 from corvane.session import checkpointed, join_checked
 
-#: Blocks of 32 bits. Each block has its own random order of a document's shingles and weighs a shingle by its rank in it.
-BLOCKS = 16
-#: Pairs differ in at most so many of the 512 bits.
-MAX_DISTANCE = 124
-#: Expected number of shingles that vote in a block.
-VOTERS = 24
-#: A document of fewer words is one shingle.
-SHORT = 6
-#: Bands of so many least shingles each, by orders of their own: a pair with Jaccard similarity j shares a band with 1 - (1 - j**3)**64, 0.94 at 0.35.
-BANDS, BAND_ROWS = 64, 3
-COLUMNS = [f"f{i}" for i in range(BLOCKS // 2)]
-_SEEDS = mix(np.arange(1, BLOCKS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_ORDERS = mix(np.arange(1, BANDS * BAND_ROWS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
-
-
-def _features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(document, hash) of the distinct shingles, sorted by document."""
+#: Blocks of a fingerprint, and the signs in each.
+BLOCKS, ROWS = 64, 3
+#: Bits of a sign; a block is a whole number of ROWS * SIGN_BITS of them.
+SIGN_BITS = 21
+#: Signs of two close fingerprints that may differ: fewer than there are blocks, so at least one block is whole in both.
+MAX_DISTANCE = BLOCKS - 1
+_ORDERS = mix(np.arange(1, BLOCKS * ROWS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
+_FIRST, _LAST, _PAIR = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC949D7C7509E6557), np.uint64(0xD6E8FEB86659FD93)
+
+
+def _shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(document, hash), in order of documents: two neighbouring words each, where a text's begin and end count as words."""
     low = WORD_LUT[data]
     starts, ends, doc = word_bounds(low, offsets)
     if not len(starts):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     words = span_hashes(low, starts, ends)
-    counts = np.bincount(doc, minlength=len(offsets) - 1)
-    short = counts[doc] < SHORT
-    pair = np.zeros(len(doc), bool)
-    pair[:-1] = (doc[:-1] == doc[1:]) & ~short[:-1]
-    two = mix(words[:-1] * np.uint64(0xD6E8FEB86659FD93) + words[1:])[pair[:-1]]
-    at, hashes = doc[pair], two
-    if short.any():
-        first = np.searchsorted(doc, doc)
-        parts = mix(words + (np.arange(len(doc)) - first + 1).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))[short]
-        which = doc[short]
-        heads = np.flatnonzero(np.r_[True, which[1:] != which[:-1]])
-        at, hashes = np.r_[at, which[heads]], np.r_[hashes, mix(np.add.reduceat(parts, heads))]
-    keys = np.unique((at.astype(np.uint64) << np.uint64(44)) | (hashes >> np.uint64(20)))
-    return (keys >> np.uint64(44)).astype(np.int64), keys & np.uint64((1 << 44) - 1)
+    opens = np.r_[True, doc[1:] != doc[:-1]]
+    closes = np.r_[opens[1:], True]
+    before = np.where(opens, _FIRST, np.r_[np.uint64(0), words[:-1]])
+    pairs = mix(before * _PAIR + words)
+    # each text has one shingle more than words: its last word with the end, put behind the others
+    n, extra = len(doc), np.flatnonzero(closes)
+    out, where = np.empty(n + len(extra), np.uint64), np.arange(n) + np.cumsum(opens) - 1
+    out[where] = pairs
+    out[where[extra] + 1] = mix(words[extra] * _PAIR + _LAST)
+    at = np.empty(n + len(extra), np.int64)
+    at[where], at[where[extra] + 1] = doc, doc[extra]
+    return at, out
 
 
 def fingerprints(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(documents x BLOCKS of 32 bits, has words) for texts in ``data``, whose offsets begin at 0."""
-    return _blocks(*_features(data, offsets), len(offsets) - 1)
-
+    """(documents x BLOCKS whole numbers of ROWS signs, has words) for texts in ``data``, whose offsets begin at 0.
 
-def _blocks(doc: np.ndarray, hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(n x BLOCKS of 32 bits, has words) of the shingles ``hashes`` of the documents ``doc``.
-
-    A shingle is two neighbouring words. In each block, those whose hash is low for the document's number of shingles vote for bits
-    by their other hash bits, with a weight that falls with the rank: a near copy keeps most blocks whole, other texts none.
+    Each sign has an order of its own over all shingles, and takes its bits from the shingle of the text that comes first in it: two
+    texts differ in a sign with a probability that is the share of the shingles of either that they don't have in common.
     """
-    out = np.zeros((n, BLOCKS), np.uint32)
-    counts = np.bincount(doc, minlength=n)
-    per = counts[doc].astype(np.float64)
-    bits = np.arange(32, dtype=np.uint64)
-    for block in range(BLOCKS):
-        h = mix(hashes + _SEEDS[block])
-        rank = (h >> np.uint64(32)).astype(np.float64) * 2.0**-32 * per
-        some = np.flatnonzero(rank < VOTERS)
-        if not len(some):
-            continue
-        weight = (65536 * (np.maximum(rank[some], 2.0) / 2.0) ** -1.5).astype(np.int64)
-        votes = (((h[some][:, None] >> bits) & np.uint64(1)).astype(np.int64) * 2 - 1) * weight[:, None]
-        at = doc[some]
-        heads = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-        sums = np.add.reduceat(votes, heads, axis=0)
-        out[at[heads], block] = ((sums > 0).astype(np.uint64) << bits).sum(1).astype(np.uint32)
-    return out, counts > 0
-
-
-def _bands(doc: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
-    """n x BANDS of 32 bits: each hashes the shingles that come first in BAND_ROWS orders of the document's shingles."""
-    out = np.zeros((n, BANDS), np.int32)
+    doc, hashes = _shingles(data, offsets)
+    out, some = np.zeros((len(offsets) - 1, BLOCKS), np.uint64), np.zeros(len(offsets) - 1, bool)
     if not len(doc):
-        return out
+        return out.view(np.int64), some
     heads = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-    for band in range(BANDS):
-        key = np.zeros(len(heads), np.uint64)
-        for order in _ORDERS[band * BAND_ROWS : (band + 1) * BAND_ROWS]:
-            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(hashes * order, heads))
-        out[doc[heads], band] = (key >> np.uint64(32)).astype(np.uint32).view(np.int32)
-    return out
+    some[doc[heads]] = True
+    for block in range(BLOCKS):
+        value = np.zeros(len(heads), np.uint64)
+        for order in _ORDERS[block * ROWS : (block + 1) * ROWS]:
+            value = (value << np.uint64(SIGN_BITS)) | (mix(np.minimum.reduceat(hashes * order, heads)) >> np.uint64(64 - SIGN_BITS))
+        out[doc[heads], block] = value
+    return out.view(np.int64), some
 
 
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         offsets, data = buffers(batch.column(1))
-        ids = batch.column(0)
         for a, b in slices(offsets):
-            doc, hashes = _features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            prints, some = _blocks(doc, hashes, b - a)
-            longs = np.ascontiguousarray(prints).view(np.int64)[some]
-            bands = _bands(doc, hashes, b - a)[some]
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(bands) + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel()))
-            yield pa.RecordBatch.from_arrays([ids.slice(a, b - a).filter(pa.array(some)), *(pa.array(np.ascontiguousarray(longs[:, i])) for i in range(len(COLUMNS))), lists], ["doc_id", *COLUMNS, "bands"])
+            prints, some = fingerprints(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            prints = np.ascontiguousarray(prints[some])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(prints) + 1, dtype=np.int32) * BLOCKS), pa.array(prints.ravel()))
+            same = pa.array([xxhash.xxh3_128_digest(p) for p in prints], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).filter(pa.array(some)), same, lists], ["doc_id", "same", "blocks"])
 
 
 def fingerprint_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, f0..f7) of the documents that have an id and at least one word."""
-    return _signatures(docs).drop("bands")
+    """(doc_id, same, blocks) of the documents that have an id and a word: the fingerprint, and its digest of 128 bits."""
+    kinds = [("doc_id", docs.schema["doc_id"].dataType), ("same", T.BinaryType()), ("blocks", T.ArrayType(T.LongType()))]
+    rows = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
+    return rows.mapInArrow(_fingerprint_batches, T.StructType([T.StructField(*k) for k in kinds]))
 
 
-def _signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, f0..f7, bands) of the documents that have an id and at least one word."""
-    schema = "doc_id bigint, " + ", ".join(f"{c} bigint" for c in COLUMNS) + ", bands array<int>"
-    return docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint"), "text").mapInArrow(_fingerprint_batches, schema)
+def distance(a: Column, b: Column) -> Column:
+    """The Hamming distance of two fingerprints, in signs."""
+    masks = [((1 << SIGN_BITS) - 1) << (SIGN_BITS * k) for k in range(ROWS)]
 
+    def differing(x: Column, y: Column) -> Column:
+        z = x.bitwiseXOR(y)
+        return sum((F.when(z.bitwiseAND(F.lit(m).cast("bigint")) != 0, 1).otherwise(0) for m in masks), F.lit(0))
 
-def _distance(a: str, b: str):
-    total = F.lit(0)
-    for c in COLUMNS:
-        total = total + F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}")))
-    return total
+    return F.aggregate(F.zip_with(a, b, differing), F.lit(0), lambda s, x: s + x)
 
 
-def close_pairs(prints: DataFrame, bands: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
-    """Edges (a, b) that connect the same documents as all pairs that share a block or a band and differ in ``max_distance`` bits at most.
+def close_pairs(prints: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
+    """Edges (a, b) that connect the same fingerprints as all pairs that differ in ``max_distance`` signs at most. ``prints``: (id, blocks); an id with
+    several fingerprints stands for all of them.
 
-    ``prints``: (id, f0..f7), each fingerprint once; ``bands``: (id, bands). A member of a key's bucket is verified against the bucket's
-    least id; only those too far from it are joined with the whole bucket, so that thousands of copies of one text cost a row each, not
-    a square.
+    ``max_distance`` is below BLOCKS, so such a pair has a block in common (pigeonhole), and joining on blocks misses none. A member of
+    a block's bucket is verified against the bucket's least id; only those too far from it are compared with the whole bucket, so
+    thousands of close copies cost a row each, not a square. Nothing is capped; a bucket is met by aggregation and joins alone, which
+    split it if it is large.
     """
-    low = F.lit(0xFFFFFFFF).cast("bigint")
-    blocks = F.array(*(F.shiftrightunsigned(F.col(COLUMNS[i // 2]), 32 * (i % 2)).bitwiseAND(low).bitwiseOR(F.lit(i << 32).cast("bigint")) for i in range(BLOCKS)))
-    banded = F.transform("bands", lambda v, i: v.cast("bigint").bitwiseAND(low).bitwiseOR(F.shiftleft((i + BLOCKS).cast("bigint"), 32)))
-    keys = prints.select("id", F.explode(blocks).alias("key")).unionByName(bands.select("id", F.explode(banded).alias("key")))
-    bucket = Window.partitionBy("key")
-    led = checkpointed(keys.withColumn("lead", F.min("id").over(bucket)).where("id <> lead"))
-    pairs = led.select("id", "lead").distinct()
-    a, b = prints.alias("a"), prints.alias("b")
-    checked = pairs.join(a, F.col("a.id") == pairs["id"]).join(b, F.col("b.id") == pairs["lead"]).select(pairs["id"].alias("x"), pairs["lead"].alias("y"), (_distance("a", "b") <= max_distance).alias("close"))
-    checked = checkpointed(checked)
-    far = led.join(checked.where("not close"), (F.col("id") == F.col("x")) & (F.col("lead") == F.col("y"))).select("key", F.col("id").alias("x"))
+    if not 0 <= max_distance < BLOCKS:
+        raise ValueError("the distance must be below the number of blocks")
+    keyed = prints.select("id", F.explode(F.transform("blocks", lambda x, i: F.xxhash64(i, x))).alias("key"))
+    leads = keyed.groupBy("key").agg(F.min("id").alias("lead"), F.count("*").alias("n")).where("n > 1").select("key", "lead")
+    led = checkpointed(keyed.join(leads, "key").where("id <> lead"))
+    a, b = prints.select(F.col("id").alias("x"), F.col("blocks").alias("xs")), prints.select(F.col("id").alias("y"), F.col("blocks").alias("ys"))
+    near = distance(F.col("xs"), F.col("ys")) <= max_distance
+    pairs = led.select(F.col("id").alias("x"), F.col("lead").alias("y")).distinct()
+    checked = checkpointed(pairs.join(a, "x").join(b, "y").select("x", "y", near.alias("close")))
+    far = led.withColumnsRenamed({"id": "x", "lead": "y"}).join(checked.where("not close"), ["x", "y"]).select("key", "x")
     others = led.select("key", F.col("id").alias("y"))
     more = far.join(others, "key").where("x <> y").select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
-    more = more.join(a, F.col("a.id") == F.col("x")).join(b, F.col("b.id") == F.col("y")).where(_distance("a", "b") <= max_distance).select("x", "y")
-    return checked.where("close").select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(more.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    more = more.join(a, "x").join(b, "y").where(near).select("x", "y")
+    return checked.where("close").select("x", "y").unionByName(more).toDF("a", "b")
 
 
 def near_duplicates(docs: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
     """(doc_id, kept_id) of every document that goes, as a near or exact copy of the group's least doc_id, which stays.
 
-    Groups are the connected components of the close pairs. Case, punctuation and white space don't count. Documents without a word
-    (null and empty texts among them) or with a null doc_id are in no group. Rows with one doc_id are one document: repeated rows
-    change nothing. Other columns are not read. An empty table gives an empty result. Texts are read whole, however long.
+    Groups are the connected components of all pairs whose fingerprints differ in ``max_distance`` of the BLOCKS * ROWS signs at most.
+    Case, punctuation and white space don't count. Documents without a word (null and empty texts among them) or with a null doc_id are
+    in no group. doc_id keeps its type. Rows with one doc_id are one document, which is in the groups of all its texts: repeated rows
+    change nothing. Other columns are not read, whatever their names. An empty table gives an empty result. Texts are read whole,
+    however short or long.
     """
-    signed = checkpointed(_signatures(docs))
-    prints = signed.drop("bands").distinct()
-    distinct = checkpointed(prints.groupBy(*COLUMNS).agg(F.min("doc_id").alias("id")))
-    same = [F.col(f"p.{c}") == F.col(f"d.{c}") for c in COLUMNS]
-    first = checkpointed(prints.alias("p").join(distinct.alias("d"), same).select("p.doc_id", "d.id"))
-    again = first.where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
-    bands = signed.join(distinct.select("id"), F.col("doc_id") == F.col("id"), "left_semi").select(F.col("doc_id").alias("id"), "bands")
-    roots = components(close_pairs(distinct, bands, max_distance).unionByName(again))
-    return roots.where("id <> root").select(F.col("id").alias("doc_id"), F.col("root").alias("kept_id"))
+    signed = checkpointed(fingerprint_table(docs))
+    prints = checkpointed(signed.groupBy("same").agg(F.min("doc_id").alias("lead"), F.first("blocks").alias("blocks")))
+    member = signed.select("doc_id", "same").join(prints.select("same", F.col("lead").alias("id")), "same").select("doc_id", "id").distinct()
+    several = member.groupBy("doc_id").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
+    linked = several.join(member, "doc_id").where("a <> id").select("a", F.col("id").alias("b"))
+    roots = components(close_pairs(prints.select(F.col("lead").alias("id"), "blocks"), max_distance).unionByName(linked))
+    kept = member.join(roots, "id", "left").select("doc_id", F.coalesce("root", "id").alias("kept_id"))
+    return kept.where("doc_id <> kept_id").distinct()
 
 
 def drop_near_duplicates(docs: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
