@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
 
+T = TypeVar("T")
+
 #: Bytes of text that the vectorised steps take at once; a longer document is a slice of its own.
 SLICE_BYTES = 1 << 20
 
@@ -24,6 +27,17 @@ for _c in b"ABCDEFGHIJKLMNOPQRSTUVWXYZ":
 WORD_LUT[128:] = np.arange(128, 256)
 
 
+_HELD: dict[str, object] = {}
+
+
+def held(key: str, make: Callable[[], T]) -> T:
+    """``make()``, once in each worker process for a key; what was made for the key before is let go."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The finishing steps of splitmix64."""
     x = (x ^ (x >> np.uint64(30))) * _M1

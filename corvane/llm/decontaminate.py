@@ -2,31 +2,39 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 from functools import reduce
+from uuid import uuid4
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
+from corvane.llm._text import held
 from corvane.session import checkpointed, join_checked
 
 #: Edits allowed for each character of an item.
 EDIT_RATE = 0.06
-#: Shorter items match nothing but a document that is the item.
-MIN_CHARS = 40
 #: Characters of items in one automaton; more items than that are searched in several passes.
 AUTOMATON_CHARS = 4_000_000
 
 
+_SIGNS = re.compile(r"[\W_]+")
+
+
 def normalize(text: str) -> str:
-    """Lower case with single spaces."""
-    return " ".join(text.lower().split())
+    """The words in lower case, with one space before, between and behind them, so that a match of a short text begins and ends with a word."""
+    words = _SIGNS.sub(" ", text.lower()).strip()
+    return f" {words} " if words else ""
 
 
 def budget(length: int, rate: float = EDIT_RATE) -> int:
-    return int(length * rate)
+    """Edits allowed for a normalized item of ``length`` characters, of which the outer spaces don't count."""
+    return int(max(0, length - 2) * rate)
 
 
 def pieces(text: str, rate: float = EDIT_RATE) -> list[tuple[int, str]]:
@@ -83,13 +91,9 @@ class Matcher:
 
     def __init__(self, items: Iterable[tuple[int, str]], rate: float = EDIT_RATE):
         self.items = [(item, text, budget(len(text), rate), masks(text), masks(text[::-1])) for item, text in items]
-        self.whole: dict[str, list[int]] = {}
         self.automaton = ahocorasick.Automaton()
         places: dict[str, list[tuple[int, int]]] = {}
         for i, (_, text, *_rest) in enumerate(self.items):
-            if len(text) < MIN_CHARS:
-                self.whole.setdefault(text, []).append(i)
-                continue
             for at, piece in pieces(text, rate):
                 places.setdefault(piece, []).append((i, at))
         for piece, where in places.items():
@@ -98,8 +102,8 @@ class Matcher:
             self.automaton.make_automaton()
 
     def find(self, text: str) -> list[tuple[int, int, int, int]]:
-        """(item, distance, start, end) of each item's best match in a normalized text."""
-        out = [(self.items[i][0], 0, 0, len(text)) for i in self.whole.get(text, ())]
+        """(item, distance, start, end) of each item's best match in a normalized text; the bounds are those of its words."""
+        out: list[tuple[int, int, int, int]] = []
         windows: dict[int, list[int]] = {}
         if len(self.automaton):
             for last, (size, where) in self.automaton.iter(text):
@@ -123,14 +127,19 @@ class Matcher:
                 if best is None or found < best:
                     best = found
             if best is not None:
-                out.append((item, *best))
+                distance, start, end = best
+                while start < end and text[start] == " ":
+                    start += 1
+                while start < end and text[end - 1] == " ":
+                    end -= 1
+                out.append((item, distance, start, end))
         return out
 
 
-def _slices(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
+def _slices(benchmark: DataFrame) -> Iterator[list[tuple]]:
     """The normalized items, each once, in slices of AUTOMATON_CHARS."""
     chunk, size = [], 0
-    rows = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("bigint"), "text").distinct().orderBy("item_id", "text")
+    rows = benchmark.where("item_id is not null and text is not null").select("item_id", "text").distinct().orderBy("item_id", "text")
     for item, text in rows.toLocalIterator():
         text = normalize(text)
         if not text:
@@ -147,33 +156,43 @@ def _slices(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
 def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE) -> DataFrame:
     """(doc_id, item_id, distance, start, end): the best match of each item in each document that holds it.
 
-    An item of m characters matches if a stretch of the document is within floor(rate * m) edits of it, both in lower case with
-    single spaces; start and end count characters of that form, the least distance wins, then the leftmost stretch. Items under
-    MIN_CHARS match only a document that equals them. Null ids, null texts and empty items or documents match nothing. Repeated rows
-    give one row; if texts differ under one doc_id or item_id, the best match of any counts. Texts are searched whole. Without
-    documents or items the result is empty. A benchmark beyond AUTOMATON_CHARS takes several passes over the documents.
+    An item whose words, with single spaces between, have m characters matches if a stretch of the document is within floor(rate * m)
+    edits of it; both are taken as words in lower case, without signs, and a space at either end counts as a character, so that an item
+    too short for an edit matches whole words alone. start and end count characters of ``normalize(text)``; the least distance wins,
+    then the leftmost stretch. Items of any length are searched in the same way. Null ids, null texts and items or documents without a
+    word match nothing. Ids keep their types. Repeated rows give one row; if texts differ under one doc_id or item_id, the best match of
+    any counts. Other columns are not read. Texts are searched whole, however long. Without documents or items the result is empty. A
+    benchmark beyond AUTOMATON_CHARS takes several passes over the documents, one after the other.
     """
-    schema = "doc_id bigint, item_id bigint, distance int, start bigint, end bigint"
+    kinds = [("doc_id", docs.schema["doc_id"].dataType), ("item_id", benchmark.schema["item_id"].dataType), ("distance", T.IntegerType()), ("start", T.LongType()), ("end", T.LongType())]
+    schema, arrow, names = T.StructType([T.StructField(*k) for k in kinds]), [to_arrow_type(k) for _, k in kinds], [n for n, _ in kinds]
     spark = docs.sparkSession
-    texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    texts = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
 
-    def scan(items: list[tuple[int, str]]) -> DataFrame:
-        shared = spark.sparkContext.broadcast((items, rate))
+    def scan(items: list[tuple]) -> tuple[DataFrame, object]:
+        shared, key = spark.sparkContext.broadcast((items, rate)), uuid4().hex
 
         def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(*shared.value)
+            matcher = held(key, lambda: Matcher(*shared.value))
             for batch in it:
                 rows = [(doc, *found) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for found in matcher.find(normalize(text))]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()))], ["doc_id", "item_id", "distance", "start", "end"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), arrow)], names)
+
+        return texts.mapInArrow(batches, schema), shared
 
-        return texts.mapInArrow(batches, schema)
+    def best(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("doc_id", "item_id").agg(F.min(F.struct("distance", "start", "end")).alias("m")).select("doc_id", "item_id", "m.*")
 
-    parts = [scan(items) for items in _slices(benchmark)]
-    if not parts:
+    done, last = [], None
+    for items in _slices(benchmark):
+        if last is not None:
+            done.append(checkpointed(last[0]))
+            last[1].destroy()  # so that one slice at a time is held
+        last = scan(items)
+    if last is None:
         return spark.createDataFrame([], schema)
-    best = F.min(F.struct("distance", "start", "end")).alias("m")
-    return reduce(DataFrame.unionByName, parts).groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "m.*")
+    return best(reduce(DataFrame.unionByName, [*done, last[0]]))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE) -> DataFrame:
