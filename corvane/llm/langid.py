@@ -165,12 +165,12 @@ def fit(samples: list[tuple[str, np.ndarray, np.ndarray]], families: dict[str, s
 
 
 def train(docs: DataFrame, max_rows: int = MAX_TRAIN_ROWS, families: dict[str, str] = FAMILIES) -> Model:
-    """Fit on ``max_rows`` rows a language at most: those with a doc_id, a text and a lang that come first by a hash of doc_id."""
-    labelled = docs.where("doc_id is not null and lang is not null")
+    """Fit on ``max_rows`` rows a language at most: of those with a doc_id, a lang and a letter in the text the first by a hash of doc_id."""
+    labelled = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     # a rank below a bound is cut off in each task before the shuffle; repeated rows share a rank, so they go afterwards
     chosen = labelled.select("doc_id", "lang").withColumn("_n", F.dense_rank().over(order)).where(F.col("_n") <= max_rows).select(F.col("doc_id").alias("_chosen"), F.col("lang").alias("_as")).distinct()
-    texts = join_checked(labelled.where("text is not null").select("doc_id", "lang", "text"), chosen, (F.col("doc_id") == F.col("_chosen")) & (F.col("lang") == F.col("_as")), "left_semi", row_bytes=64)
+    texts = join_checked(labelled.select("doc_id", "lang", "text"), chosen, (F.col("doc_id") == F.col("_chosen")) & (F.col("lang") == F.col("_as")), "left_semi", row_bytes=64)
     rows = texts.select("lang", "text").mapInArrow(_count_batches, "lang string, index array<int>, count array<int>").toArrow()
     return fit([(a, np.array(b), np.array(c)) for a, b, c in zip(*(rows.column(i).to_pylist() for i in range(3)))], families)
 
@@ -199,13 +199,15 @@ def identify(docs: DataFrame, max_rows: int = MAX_TRAIN_ROWS, families: dict[str
     The family is the best of one-versus-rest linear models; within it, each pair of languages has a linear SVM and the language with
     most votes wins, ties by summed margin, then by name. ``known``: the share of the text's trigrams that training saw. A null or
     empty text, or one without a letter, has no language and is not accepted; nor is one with ``known`` under MIN_KNOWN. Rows with a
-    null lang aren't trained on. If no row has a label, no language is known and nothing is accepted. Texts are read whole.
+    null lang or without a letter aren't trained on and take no place among those that are. If no row has a label, no language is known
+    and nothing is accepted. doc_id keeps its type; other columns, whatever their names, are of no effect. An empty table gives an empty
+    result. Texts are read whole.
     """
     out = predict(docs, train(docs, max_rows, families), [F.col("doc_id")])
     return out.select(F.col("_row.doc_id").alias("doc_id"), F.col("_family").alias("family"), F.col("_language").alias("language"), F.col("_margin").alias("margin"), F.col("_known").alias("known"), F.col("_accepted").alias("accepted"))
 
 
 def keep_identified(docs: DataFrame, max_rows: int = MAX_TRAIN_ROWS, families: dict[str, str] = FAMILIES) -> DataFrame:
-    """The rows of ``docs`` that ``identify`` accepts, with all their columns as they are."""
+    """The rows of ``docs`` that ``identify`` accepts, with all their columns as they are, null ids and repeated rows too."""
     out = predict(docs, train(docs, max_rows, families), [F.col(f"`{c}`") for c in docs.columns])
     return out.where("_accepted").select(*(F.col(f"_row.`{c}`").alias(c) for c in docs.columns))
