@@ -8,12 +8,12 @@ from collections import defaultdict
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.session import checkpointed
+from corvane.session import checkpointed, join_checked
 
 #: Tokens in a bin.
 CAPACITY = 2048
-#: Documents are ranked within (size, one of so many shares), so that a frequent size isn't one task's work.
-SHARES = 64
+#: Items of one size are ranked in shares of about so many, so that a frequent size isn't one task's work.
+SHARE_ROWS = 1 << 20
 
 
 class _Gaps:
@@ -114,40 +114,57 @@ def token_counts(text):
     return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0))
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, size: str | None = None) -> DataFrame:
     """(doc_id, piece, first_token, n_tokens, bin, offset): where every token of ``docs`` goes.
 
-    A document longer than a bin gives full pieces and a rest; a full piece is a bin by itself. Items of one size are taken share
-    by share (SHARES hash values of doc_id and piece), within a share by doc_id and piece, nulls first. A document without tokens (null and empty texts among them) has one row with n_tokens 0 and no bin. Rows that
-    repeat a doc_id are items of their own; which of those of one size comes first is of no effect on the bins' sizes. Other columns
-    are not read. An empty table gives an empty result.
+    Tokens are words between white space, or as many as the column ``size`` says, by any tokenizer. A document longer than a bin gives
+    full pieces and a rest; a full piece is a bin by itself. Items of one size are taken share by share (hash values of doc_id and
+    piece), within a share by doc_id and piece, nulls first. A document without tokens (null and empty texts, a null ``size``) has one
+    row with n_tokens 0 and no bin. doc_id keeps its type. Rows that repeat a doc_id are items of their own; which of those of one size
+    comes first is of no effect on the bins' sizes. Other columns are not read, whatever their names. An empty table gives an empty
+    result. The driver holds a row for each size (``capacity`` at most) and for each SHARE_ROWS items.
     """
-    sized = docs.select("doc_id", token_counts(F.col("text")).cast("bigint").alias("n"))
+    count = token_counts(F.col("text")) if size is None else F.coalesce(F.greatest(F.col(f"`{size}`"), F.lit(0)), F.lit(0))
+    sized = docs.select("doc_id", count.cast("bigint").alias("n"))
     last = F.greatest(F.lit(0), F.floor((F.col("n") - 1) / capacity)).cast("int")
     items = sized.select("doc_id", "n", F.explode(F.sequence(F.lit(0), last)).alias("piece"))
-    items = items.select("doc_id", "piece", (F.col("piece").cast("bigint") * capacity).alias("first_token"), F.least(F.lit(capacity), F.col("n") - F.col("piece").cast("bigint") * capacity).alias("n_tokens"))
-    share = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SHARES)).cast("int")
-    # the rank counts shares one after the other; within a share it follows doc_id and piece
-    ranked = items.withColumn("share", share).withColumn("local", F.row_number().over(Window.partitionBy("n_tokens", "share").orderBy("doc_id", "piece")) - 1)
-    ranked = checkpointed(ranked)
-    counts = {(r[0], r[1]): r[2] for r in ranked.where("n_tokens > 0").groupBy("n_tokens", "share").count().collect()}  # capacity * SHARES rows at most
-    before, histogram = [], defaultdict(int)
-    for (size, part), n in sorted(counts.items()):
-        before.append((size, part, histogram[size]))
-        histogram[size] += n
-    steps, _ = plan(dict(histogram), capacity)
+    first = F.col("piece").cast("bigint") * capacity
+    items = checkpointed(items.select("doc_id", "piece", first.alias("first_token"), F.least(F.lit(capacity), F.col("n") - first).alias("n_tokens")))
+    histogram = {r[0]: r[1] for r in items.where("n_tokens > 0").groupBy("n_tokens").count().collect()}  # capacity rows at most
     spark = docs.sparkSession
-    starts: dict[int, list] = defaultdict(list)
-    for size, rank, _n, first, each, offset in sorted(steps):
-        starts[size].append((rank, first, each, offset))
-    shares: dict[int, list] = defaultdict(list)
-    for size, part, n in before:
-        shares[size].append((part, n))
-    # a row for each size, capacity rows at most: the offsets of its shares and its steps in order of rank
-    table = [(s, dict(shares[s]), [x[0] for x in v], [tuple(x) for x in v]) for s, v in starts.items()]
-    steps_df = spark.createDataFrame(table, "_size bigint, _shares map<int,bigint>, _ranks array<bigint>, _steps array<struct<rank:bigint,first:bigint,each:bigint,offset:bigint>>")
-    rows = ranked.join(steps_df, ranked["n_tokens"] == steps_df["_size"], "left")
-    rank = F.col("local") + F.col("_shares")[F.col("share")]
-    rows = rows.withColumn("_rank", rank).withColumn("_step", F.element_at("_steps", F.size(F.filter("_ranks", lambda r: r <= F.col("_rank")))))
+    parts = spark.createDataFrame([(s, 1 + n // SHARE_ROWS) for s, n in sorted(histogram.items())], "_size bigint, _parts bigint")
+    ranked = items.join(F.broadcast(parts), F.col("n_tokens") == F.col("_size"))  # capacity rows at most
+    ranked = ranked.withColumn("share", F.pmod(F.xxhash64("doc_id", "piece"), F.col("_parts")))
+    # the rank counts shares one after the other; within a share it follows doc_id and piece
+    local = F.row_number().over(Window.partitionBy("n_tokens", "share").orderBy("doc_id", "piece")) - 1
+    ranked = checkpointed(ranked.select("doc_id", "piece", "first_token", "n_tokens", "share", local.alias("local")))
+    counts = sorted(ranked.groupBy("n_tokens", "share").count().collect())  # a row for each SHARE_ROWS items
+    before, upto = [], defaultdict(int)
+    for n_tokens, part, n in counts:
+        before.append((n_tokens, part, upto[n_tokens]))
+        upto[n_tokens] += n
+    steps: dict[int, list] = defaultdict(list)
+    for n_tokens, rank, _n, first_bin, each, offset in sorted(plan(histogram, capacity)[0]):
+        steps[n_tokens].append((rank, first_bin, each, offset))
+    table = spark.createDataFrame([(s, [x[0] for x in v], v) for s, v in steps.items()], "_size bigint, _ranks array<bigint>, _steps array<struct<rank:bigint,first:bigint,each:bigint,offset:bigint>>")
+    bases = spark.createDataFrame(before, "_of bigint, _share bigint, _base bigint")
+    rows = join_checked(ranked, bases, (F.col("n_tokens") == F.col("_of")) & (F.col("share") == F.col("_share")), "inner", row_bytes=48, rows=len(before))
+    rows = rows.join(F.broadcast(table), F.col("n_tokens") == F.col("_size"))  # a row a size; its steps depend on the sizes alone
+    rows = rows.withColumn("_rank", F.col("local") + F.col("_base"))
+    rows = rows.withColumn("_step", F.element_at("_steps", F.size(F.filter("_ranks", lambda r: r <= F.col("_rank")))))
     done = F.col("_rank") - F.col("_step.rank")
-    return rows.select("doc_id", "piece", "first_token", "n_tokens", (F.col("_step.first") + F.floor(done / F.col("_step.each"))).cast("bigint").alias("bin"), (F.col("_step.offset") + F.pmod(done, F.col("_step.each")) * F.col("n_tokens")).cast("bigint").alias("offset"))
+    where = (F.col("_step.first") + F.floor(done / F.col("_step.each"))).cast("bigint"), (F.col("_step.offset") + F.pmod(done, F.col("_step.each")) * F.col("n_tokens")).cast("bigint")
+    placed = rows.select("doc_id", "piece", "first_token", "n_tokens", where[0].alias("bin"), where[1].alias("offset"))
+    nothing = F.lit(None).cast("bigint")
+    return placed.unionByName(items.where("n_tokens <= 0").select("doc_id", "piece", "first_token", "n_tokens", nothing.alias("bin"), nothing.alias("offset")))
+
+
+def bins(places: DataFrame) -> DataFrame:
+    """(bin, n_tokens, pieces): a row for each bin of ``pack``, with its pieces (offset, doc_id, piece, first_token, n_tokens) in order.
+
+    ``offset`` is where a piece begins in the bin, so the offsets are the boundaries that attention must not cross; the pieces follow on
+    each other without a gap, and what is left of the bin is behind them. A bin has as many pieces as tokens at most. Documents without
+    tokens are in no bin.
+    """
+    piece = F.struct("offset", "doc_id", "piece", "first_token", "n_tokens")
+    return places.where("bin is not null").groupBy("bin").agg(F.sum("n_tokens").alias("n_tokens"), F.array_sort(F.collect_list(piece)).alias("pieces"))

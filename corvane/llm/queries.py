@@ -26,7 +26,8 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents"))
+    """The bins of all documents, each with its pieces in order."""
+    return packing.bins(packing.pack(_table(spark, sf_dir, "documents")))
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
