@@ -54,7 +54,18 @@ _UNLICENSE = """This is free and unencumbered software released into the public
 compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or
 non-commercial, and by any means."""
 
+_AGPL = _GPL.replace("GNU General", "GNU Affero General")
+
+#: Licences that are known by their tags.
+_TAGS = (
+    "0BSD", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "Artistic-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-NC-ND-4.0", "CC-BY-NC-SA-4.0", "CC-BY-ND-4.0",
+    "CC-BY-SA-3.0", "CC-BY-SA-4.0", "CC0-1.0", "CDDL-1.0", "EPL-1.0", "EPL-2.0", "EUPL-1.2", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-2.1-only",
+    "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "MIT", "MIT-0", "MPL-2.0", "MS-PL", "OFL-1.1", "PSF-2.0", "Unlicense", "WTFPL", "Zlib",
+)
+
 TEMPLATES: list[tuple[str, str, str]] = [
+    *((tag, "notice", f"SPDX-License-Identifier: {tag}") for tag in _TAGS),
+    ("AGPL-3.0-or-later", "text", _AGPL.format(v=3)),
     ("MIT", "text", _MIT),
     ("MIT", "notice", "Released under the MIT License."),
     ("MIT", "notice", "Licensed under the MIT License."),

@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from corvane.llm._text import WORD_LUT, buffers, mix, slices, span_hashes, word_bounds
 from corvane.llm.license_texts import TEMPLATES
@@ -20,7 +23,7 @@ GRAM, WINDOW = 3, 2
 BAND = 8
 #: Share of a template's words that must be matched in order; of a notice, which a single word may turn into another's, all.
 MIN_COVERAGE = {"text": 0.8, "notice": 1.0}
-FOUND = "doc_id bigint, license string, template int, coverage double, matched_words int, start bigint, end bigint"
+_FOUND = [("license", T.StringType()), ("template", T.IntegerType()), ("coverage", T.DoubleType()), ("matched_words", T.IntegerType()), ("start", T.LongType()), ("end", T.LongType())]
 _MATCH, _OTHER, _GAP = 2, -1, -1
 
 
@@ -30,12 +33,12 @@ def _words(text: str) -> np.ndarray:
     return span_hashes(low, starts, ends)
 
 
-def grams(words: np.ndarray) -> np.ndarray:
-    if len(words) < GRAM:
+def grams(words: np.ndarray, size: int = GRAM) -> np.ndarray:
+    if len(words) < size:
         return np.zeros(0, np.uint64)
-    out = np.zeros(len(words) - GRAM + 1, np.uint64)
-    for k in range(GRAM):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + words[k : len(words) - GRAM + 1 + k]
+    out = np.full(len(words) - size + 1, size, np.uint64)
+    for k in range(size):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + words[k : len(words) - size + 1 + k]
     return mix(out)
 
 
@@ -47,17 +50,19 @@ def winnowed(hashes: np.ndarray) -> list[int]:
 
 
 class Index:
-    """Fingerprint to the templates and places that have it."""
+    """Fingerprint to the templates and places that have it; a template of fewer than GRAM words is one fingerprint."""
 
     def __init__(self, templates: list[tuple[str, str, str]]):
+        templates = [x for x in templates if len(_words(x[2]))]
         self.names = [x[0] for x in templates]
         self.words = [_words(x[2]) for x in templates]
         self.lists = [w.tolist() for w in self.words]
         self.counts = [Counter(w) for w in self.lists]
         self.need = [MIN_COVERAGE[x[1]] * len(w) for x, w in zip(templates, self.lists)]
         postings: dict[int, list[tuple[int, int]]] = {}
+        self.sizes = sorted({min(GRAM, len(w)) for w in self.words})
         for t, words in enumerate(self.words):
-            hashes = grams(words)
+            hashes = grams(words, min(GRAM, len(words)))
             for i in winnowed(hashes):
                 postings.setdefault(int(hashes[i]), []).append((t, i))
         self.keys = np.array(sorted(postings), np.uint64)
@@ -163,16 +168,20 @@ def scan_texts(index: Index, data: np.ndarray, offsets: np.ndarray) -> Iterator[
     """(document, licence, template, coverage, matched words, start, end) for texts in ``data``; bounds are characters of the text."""
     low = WORD_LUT[data]
     starts, ends, doc = word_bounds(low, offsets)
-    if len(starts) < GRAM:
-        return
     words = span_hashes(low, starts, ends)
-    hashes = grams(words)
-    slot = np.minimum(np.searchsorted(index.keys, hashes), len(index.keys) - 1)
-    hits = np.flatnonzero((index.keys[slot] == hashes) & (doc[: len(hashes)] == doc[GRAM - 1 :]))
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for size in index.sizes:
+        hashes = grams(words, size)
+        slot = np.minimum(np.searchsorted(index.keys, hashes), len(index.keys) - 1)
+        at = np.flatnonzero((index.keys[slot] == hashes) & (doc[: len(hashes)] == doc[size - 1 : len(doc)][: len(hashes)]))
+        found.append((at, slot[at]))
+    hits, which = (np.concatenate(x) for x in zip(*found))
+    order = np.argsort(hits, kind="stable")
+    hits, which = hits[order], which[order]
     for d in np.unique(doc[hits]):
-        mine = hits[doc[hits] == d] if len(hits) < 64 else hits[np.searchsorted(doc[hits], d) : np.searchsorted(doc[hits], d + 1)]
+        lo, hi = np.searchsorted(doc[hits], d), np.searchsorted(doc[hits], d + 1)
         a, b = np.searchsorted(doc, d), np.searchsorted(doc, d + 1)
-        for t, matched, first, end in _scan_document(index, words[a:b], mine - a, slot[mine]):
+        for t, matched, first, end in _scan_document(index, words[a:b], hits[lo:hi] - a, which[lo:hi]):
             text = data[offsets[d] : offsets[d + 1]]
             s, e = int(starts[a + first] - offsets[d]), int(ends[a + end - 1] - offsets[d])
             before = int(((text[:s] & 0xC0) != 0x80).sum())
@@ -180,22 +189,30 @@ def scan_texts(index: Index, data: np.ndarray, offsets: np.ndarray) -> Iterator[
             yield int(d), index.names[t], t, round(matched / len(index.lists[t]), 6), matched, before, before + inside
 
 
+def folder_templates(folder: str) -> list[tuple[str, str, str]]:
+    """A "text" template for each file of a folder of licences, named like the file."""
+    files = sorted(p for p in Path(folder).iterdir() if p.is_file())
+    return [(p.name.removesuffix(".txt"), "text", p.read_text(encoding="utf-8", errors="replace")) for p in files]
+
+
 def license_spans(docs: DataFrame, templates: list[tuple[str, str, str]] = TEMPLATES) -> DataFrame:
     """(doc_id, license, template, coverage, matched_words, start, end) of every stretch that covers MIN_COVERAGE of a template.
 
-    Words are compared without case and signs. coverage: matched words of the best local alignment over the template's words, then of the
-    best in the words around it, until none covers enough; start and end are characters of the text. Of overlapping stretches the one with most matched words stays, then that of the shorter
-    template, then the first. A stretch is seen if it has GRAM + WINDOW - 1 of the template's words in a row, or a template of fewer
-    as a whole. Null and empty texts hold nothing; templates under three words are never found. Rows that repeat a
-    doc_id, null ids too, are scanned each on its own. Other columns are not read. Texts are scanned whole. An empty table or list
-    of templates gives an empty result. Templates are sent once to each executor; they don't grow with the documents.
+    Words are compared without case and signs. coverage: matched words of the best local alignment over the template's words, then of
+    the best in the words around it, until none covers enough; start and end are characters of the text. Of overlapping stretches the
+    one with most matched words stays, then that of the shorter template, then the first. A stretch is seen if it has GRAM + WINDOW - 1
+    of the template's words in a row, or a template of fewer as a whole. The band of an alignment is BAND diagonals to either side of
+    those that fingerprints lie on; diagonals that near are aligned together. Null and empty texts and templates without a word hold
+    nothing. doc_id keeps its type. Rows that repeat a doc_id, null ids too, are scanned each on its own. Other columns are not read,
+    whatever their names. Texts are scanned whole. An empty table or list of templates gives an empty result. Templates are sent once
+    to each executor; they don't grow with the documents.
     """
-    texts = docs.where("text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    kinds = [("doc_id", docs.schema["doc_id"].dataType), *_FOUND]
+    arrow, names = [to_arrow_type(k) for _, k in kinds], [n for n, _ in kinds]
     shared = docs.sparkSession.sparkContext.broadcast(tuple(templates))
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = _index(shared.value)
-        kinds = (pa.int64(), pa.string(), pa.int32(), pa.float64(), pa.int32(), pa.int64(), pa.int64())
         for batch in it:
             if not len(index.keys):
                 continue
@@ -204,6 +221,6 @@ def license_spans(docs: DataFrame, templates: list[tuple[str, str, str]] = TEMPL
             for a, b in slices(offsets):
                 rows = [(ids[a + d].as_py(), *x) for d, *x in scan_texts(index, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [c.split()[0] for c in FOUND.split(", ")])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), arrow)], names)
 
-    return texts.mapInArrow(batches, FOUND)
+    return docs.where("text is not null").select("doc_id", "text").mapInArrow(batches, T.StructType([T.StructField(*k) for k in kinds]))
