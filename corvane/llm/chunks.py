@@ -1,4 +1,4 @@
-"""Substring deduplication by content-defined chunks cut where a gear rolling hash is least."""
+"""Substring deduplication by content-defined chunks, cut where a gear rolling hash is least among its neighbours."""
 
 from __future__ import annotations
 
@@ -8,20 +8,17 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corvane.llm._text import buffers, mix, slices
-from corvane.session import checkpointed
+from corvane.session import checkpointed, join_checked
 
-#: A cut is a word start whose gear hash is the least among so many word starts to either side: a chunk has 2 * REACH + 1 words on average.
-REACH = 3
-#: Runs of repeated chunks go if they have at least so many bytes of text.
+#: A cut is a character whose gear hash is the least among so many bytes to either side: a chunk has 2 * REACH + 1 bytes on average, REACH at least.
+REACH = 20
+#: A passage is a run of repeated chunks of so many bytes; what is shorter, a few words that any two texts may share, is no repetition.
 MIN_RUN = 100
-#: In a stretch without white space of so many bytes, hash values with low bits of 0 are cut points too.
-LONG_WORD = 64
-
 #: Bytes that a gear hash looks back on.
 GEAR_BYTES = 16
 
@@ -38,52 +35,48 @@ def gear(data: np.ndarray) -> np.ndarray:
     return h
 
 
+def _least_ahead(x: np.ndarray, n: int) -> np.ndarray:
+    """At i the least of x[i : i + n], by doubling windows."""
+    out, size = x.copy(), 1
+    while size < n:
+        step = min(size, n - size)
+        out[:-step] = np.minimum(out[:-step], out[step:])
+        size += step
+    return out
+
+
 def cuts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(chunk starts, document of each) for texts in ``data``; a text's first chunk starts at its first byte.
 
-    Cuts depend on the bytes near them alone: an insertion moves those within a window and REACH words of it, no others.
+    Cuts depend on the bytes near them alone, and are REACH bytes or more from the ends of a text: an insertion moves those within
+    REACH + GEAR_BYTES of it, no others.
     """
-    space = data <= 32
-    after = np.zeros(len(data), bool)
-    after[1:] = space[:-1]
-    start = after & ~space
     heads = offsets[:-1][np.diff(offsets) > 0]
-    h = gear(data)[:-1]
-    marks = np.where(space, np.arange(len(data)), -1)
-    marks[heads] = heads
-    since = np.arange(len(data)) - np.maximum.accumulate(marks)
-    if len(since) and since.max() >= LONG_WORD:
-        start |= (since >= LONG_WORD) & ((h & np.uint32(7)) == 0) & ((data & 0xC0) != 0x80)
-    start[heads] = False
-    at = np.flatnonzero(start)
-    doc = np.searchsorted(offsets, at, side="right") - 1
-    value = h[at].astype(np.int64)
-    near = np.flatnonzero(at - offsets[doc] < GEAR_BYTES)  # a window that would reach into the text before begins at this one
-    if len(near):
-        back = at[near][:, None] - 1 - np.arange(GEAR_BYTES)
-        inside = back >= offsets[doc[near]][:, None]
-        parts = np.where(inside, _GEAR[data[np.maximum(back, 0)]] << np.arange(GEAR_BYTES, dtype=np.uint32), np.uint32(0))
-        value[near] = parts.sum(1, dtype=np.uint32)
-    least = np.ones(len(at), bool)
-    for k in range(1, REACH + 1):
-        same = doc[k:] == doc[:-k]
-        least[k:] &= ~same | (value[k:] < value[:-k])
-        least[:-k] &= ~same | (value[:-k] <= value[k:])
-    at = np.union1d(at[least], heads)
+    inner = np.zeros(0, np.int64)
+    if len(data) > 2 * REACH:
+        value = gear(data)[:-1].astype(np.uint32)
+        value[(data & 0xC0) == 0x80] = 0xFFFFFFFF  # inside a character
+        first = (heads[:, None] + np.arange(GEAR_BYTES)).ravel()
+        value[first[first < len(data)]] = 0xFFFFFFFF  # these look back into the text before, so they are neither cuts nor compared
+        ahead = _least_ahead(value, REACH)
+        inner = REACH + np.flatnonzero((value[REACH:-REACH] < ahead[: -2 * REACH]) & (value[REACH:-REACH] <= ahead[REACH + 1 : len(data) - REACH + 1]))
+        doc = np.searchsorted(offsets, inner, side="right") - 1
+        inner = inner[(inner - offsets[doc] >= REACH) & (offsets[doc + 1] - inner >= REACH)]
+    at = np.union1d(inner, heads)
     return at, np.searchsorted(offsets, at, side="right") - 1
 
 
 def _chunked(offsets: np.ndarray, data: np.ndarray, a: int, b: int):
-    """(starts, ends, document, index in it, digest) of the chunks of documents a to b."""
+    """(starts, ends, document, index in it, digest of 2 * 64 bits) of the chunks of documents a to b."""
     base = int(offsets[a])
     part = data[base : offsets[b]]
     at = offsets[a : b + 1] - base
     starts, doc = cuts(part, at)
     ends = np.minimum(np.r_[starts[1:], len(part)], at[doc + 1]) if len(starts) else starts
     view = memoryview(part)
-    digest = np.fromiter(map(xxhash.xxh3_64_intdigest, (view[s:e] for s, e in zip(starts.tolist(), ends.tolist()))), np.uint64, len(starts)).view(np.int64)
+    digest = b"".join(map(xxhash.xxh3_128_digest, (view[s:e] for s, e in zip(starts.tolist(), ends.tolist()))))
     index = np.arange(len(doc)) - np.searchsorted(doc, doc)
-    return starts, ends, doc, index, digest
+    return starts, ends, doc, index, np.frombuffer(digest, np.int64).reshape(-1, 2)
 
 
 def _chunk_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,18 +85,34 @@ def _chunk_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         ids = batch.column(0)
         for a, b in slices(offsets):
             _, _, doc, index, digest = _chunked(offsets, data, a, b)
-            yield pa.RecordBatch.from_arrays([pa.array(digest), ids.take(pa.array(doc + a)), pa.array(index.astype(np.int32))], ["digest", "doc_id", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(digest[:, 0]), pa.array(digest[:, 1]), ids.take(pa.array(doc + a)), pa.array(index.astype(np.int32))], ["digest", "more", "doc_id", "at"])
+
+
+def _digest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        offsets, data = buffers(batch.column(0))
+        for a, b in slices(offsets):
+            yield pa.RecordBatch.from_arrays([pa.array(_chunked(offsets, data, a, b)[4][:, 0])], ["digest"])
 
 
 def chunk_table(docs: DataFrame) -> DataFrame:
-    """(digest, doc_id, at): every chunk of the documents with an id and a text."""
-    return docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint"), "text").mapInArrow(_chunk_batches, "digest bigint, doc_id bigint, at int")
+    """(digest, more, doc_id, at): every chunk of the documents with an id and a text, its digest as two numbers."""
+    kinds = [("digest", T.LongType()), ("more", T.LongType()), ("doc_id", docs.schema["doc_id"].dataType), ("at", T.IntegerType())]
+    return docs.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(_chunk_batches, T.StructType([T.StructField(*k) for k in kinds]))
 
 
 def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """(_of, _at, _digest): for each document, the chunks that stand earlier in the order of doc_id and place as well."""
-    chunks = chunk_table(docs).withColumn("first", F.min(F.struct("doc_id", "at")).over(Window.partitionBy("digest")))
-    repeats = chunks.where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("at") != F.col("first.at")))
+    """(_of, _repeats): for each document the chunks (at, digest) that stand earlier in the order of doc_id and place as well.
+
+    First the halves of digests that occur more than once are counted, with partial sums, so a chunk that is everywhere is a row a task;
+    then only chunks with such a half go on, and each digest's first place is an aggregate too.
+    """
+    halves = docs.where("doc_id is not null and text is not null").select("text").mapInArrow(_digest_batches, "digest bigint")
+    common = checkpointed(halves.groupBy("digest").count().where(F.col("count") > 1).select(F.col("digest").alias("_half")))
+    some = join_checked(chunk_table(docs), common, F.col("digest") == F.col("_half"), "left_semi", row_bytes=24)
+    some = checkpointed(some)
+    firsts = some.groupBy("digest", "more").agg(F.min(F.struct("doc_id", "at")).alias("first"))
+    repeats = some.join(firsts, ["digest", "more"]).where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("at") != F.col("first.at")))
     return repeats.groupBy(F.col("doc_id").alias("_of")).agg(F.collect_list(F.struct("at", "digest")).alias("_repeats"))
 
 
@@ -140,7 +149,7 @@ def _cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at, value = where[p:q], digests[p:q]
                 ok = at < hi - lo
                 at, value = at[ok], value[ok]
-                flags[at[digest[lo:hi][at] == value]] = True
+                flags[at[digest[lo:hi, 0][at] == value]] = True
                 origin = int(offsets[d]) - int(offsets[a])
                 out = runs(starts[lo:hi] - origin, ends[lo:hi] - origin, flags)
                 if out:
@@ -173,11 +182,13 @@ def removed_passages(docs: DataFrame) -> DataFrame:
     A chunk is repeated if the same bytes are a chunk at an earlier (doc_id, place); runs of repeated chunks of MIN_RUN bytes or more
     go, so the first copy of a passage stays. Spans are [start, end) in characters of the old text. Null and empty texts and rows
     with a null doc_id neither lose nor cause anything. Rows that share a doc_id are matched by place and digest: identical rows are
-    treated alike and don't count as copies of each other. Other columns are not read. An empty table gives an empty result.
+    treated alike and don't count as copies of each other, but a passage that stands twice in one text loses its second copy. doc_id
+    keeps its type. Other columns are not read, whatever their names. An empty table gives an empty result. Texts are read whole; one
+    rule cuts them all, with or without white space.
     """
     rows = _with_cuts(docs.select("doc_id", "text")).where(F.size("_spans") > 0)
     lost = F.aggregate("_spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
-    return rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("_spans").alias("spans"), lost.alias("chars_removed"), F.col("_new").alias("text"))
+    return rows.select("doc_id", F.col("_spans").alias("spans"), lost.alias("chars_removed"), F.col("_new").alias("text"))
 
 
 def drop_repeated_passages(docs: DataFrame) -> DataFrame:
