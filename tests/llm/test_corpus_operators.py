@@ -198,21 +198,59 @@ def test_cuts_resist_insertions(text, inserted, at):
     assert sum((before & after).values()) >= len(pieces(far)) - 8
 
 
-def test_passages_of_odd_rows(odd, make):
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text("ab é\n", max_size=150), min_size=1, max_size=6))
+def test_cuts_do_not_depend_on_the_texts_around(texts):
+    raw = [t.encode() for t in texts]
+    offsets = np.r_[0, np.cumsum([len(t) for t in raw])]
+    starts, doc = chunks.cuts(np.frombuffer(b"".join(raw), np.uint8), offsets)
+    for i, t in enumerate(raw):
+        alone, _ = chunks.cuts(np.frombuffer(t, np.uint8), np.array([0, len(t)]))
+        assert (starts[doc == i] - offsets[i]).tolist() == alone.tolist()
+
+
+def test_text_without_white_space_is_cut_alike(make):
+    rng = random.Random(2)
+    shared = "".join(rng.choice("abcdefghij") for _ in range(800))
+    rows = [(i, "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(60, 200))) + shared) for i in range(4)]
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans] for r in chunks.removed_passages(make(rows)).collect()}
+    assert got == removed_by_hand(rows) and set(got) == {1, 2, 3} and all(sum(e - s for s, e in v) > 650 for v in got.values())
+
+
+def test_a_chunk_that_is_everywhere_is_no_window(make):
+    plan = chunks.repeated_chunks(make([(1, "a b c")]))._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
+    line = "the same line of boilerplate stands at the head of every one of these documents, whatever follows it. "
+    rows = [(i, line * 2 + f"own words {i * 7919} " * 3) for i in range(200)]
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans] for r in chunks.removed_passages(make(rows, 7)).collect()}
+    assert got == removed_by_hand(rows) and len(got) == 199
+
+
+def test_passages_of_odd_rows(spark, odd, make):
     out = chunks.drop_repeated_passages(odd)
     assert out.columns == odd.columns and out.count() == odd.count()
+    rest = [c for c in odd.columns if c not in ("text", "n_chars")]
+    assert sorted(map(str, out.select(rest).collect())) == sorted(map(str, odd.select(rest).collect()))
     left = {r.doc_id: r.text for r in out.collect() if r.doc_id != 4}
     assert left == {r.doc_id: r.text for r in odd.collect() if r.doc_id != 4}
+    by_hand = removed_by_hand([(r.doc_id, r.text) for r in odd.collect() if r.doc_id == 4][1:])  # one of the two equal rows
+    for r in out.where("doc_id = 4").collect():  # a text that repeats itself keeps the first copy
+        old = next(x.text for x in odd.collect() if x.doc_id == r.doc_id)
+        spans = by_hand.get(r.doc_id, [])
+        assert r.text == "".join(old[a:b] for a, b in zip([0] + [e for _, e in spans], [s for s, _ in spans] + [len(old)])) and len(r.text) < len(old) / 4
+        assert r.n_chars == len(r.text)
     assert chunks.removed_passages(make([])).collect() == []
+    named = spark.createDataFrame([("b", "one and the same text " * 1 + "with many different words in it so that it is long enough to count as a passage of its own"), ("a", "one and the same text with many different words in it so that it is long enough to count as a passage of its own")], "doc_id string, text string")
+    assert [(r.doc_id, r.text) for r in chunks.removed_passages(named).collect()] == [("b", "")]
 
 
 # --- contamination
 
 
 def edit_distance_within(pattern, text):
-    """(least distance of the pattern to any stretch, leftmost end) by the plain table."""
+    """(least distance of the pattern to any stretch, leftmost end) by the plain table; ends are behind a character."""
     row = list(range(len(pattern) + 1))
-    best = (row[-1], 0)
+    best = (len(pattern) + 1, -1)
     for j, c in enumerate(text, 1):
         new = [0]
         for i, p in enumerate(pattern, 1):
@@ -228,37 +266,60 @@ def edit_distance_within(pattern, text):
 def test_bit_parallel_distance(pattern, text, limit):
     want, end = edit_distance_within(pattern, text)
     got = decontaminate.myers(decontaminate.masks(pattern), len(pattern), text, limit)
-    assert got == ((want, end) if want <= limit and end else (limit + 1, -1)) or want == len(pattern)
+    assert got == ((want, end) if end > 0 and want <= limit else (limit + 1, -1))
+
+
+def contamination_by_hand(rows, items):
+    want = {}
+    for i, text in rows:
+        for k, item in items:
+            pattern, text_ = decontaminate.normalize(item or ""), decontaminate.normalize(text or "")
+            if pattern and text_ and k is not None:
+                d, _ = edit_distance_within(pattern, text_)
+                if d <= decontaminate.budget(len(pattern)):
+                    want[i, k] = d
+    return want
 
 
 def test_contamination_agrees_with_plain_distances(spark, make):
     rng = random.Random(9)
-    items = [(i, prose(rng, rng.randrange(8, 30)).capitalize() + ".") for i in range(12)] + [(50, "Short item"), (51, None), (None, "x" * 60)]
+    items = [(i, prose(rng, rng.randrange(1, 30)).capitalize() + ".") for i in range(14)] + [(50, "Short item"), (51, None), (52, "?!"), (None, "x" * 60), (53, "Kafka")]
     rows = []
-    for i in range(80):
+    for i in range(90):
         text = prose(rng, rng.randrange(5, 60))
         if i % 2:
-            item = list(items[i % 12][1])
+            item = list(items[i % 14][1])
             for _ in range(rng.randrange(0, 12)):
                 k = rng.randrange(len(item))
                 item[k : k + 1] = rng.choice(["", "z", item[k] + "y"])
             text += " " + "".join(item).upper() + "  " + prose(rng, 10)
         rows.append((i, text))
-    rows += [(90, "short  ITEM"), (91, "a short item"), (92, None), (93, "")]
+    rows += [(90, "short  ITEM"), (91, "a short item."), (92, None), (93, ""), (94, "cohort itemised"), (95, "(Short-item)"), (96, "shortitem kafkaesque")]
     benchmark = spark.createDataFrame(items, "item_id bigint, text string")
     got = {(r.doc_id, r.item_id): r.distance for r in decontaminate.contamination(make(rows), benchmark).collect()}
-    want = {(90, 50): 0}
-    for i, text in rows[:80]:
-        for k, item in items[:12]:
-            pattern = decontaminate.normalize(item)
-            d, _ = edit_distance_within(pattern, decontaminate.normalize(text))
-            if d <= decontaminate.budget(len(pattern)):
-                want[i, k] = d
-    assert got == want and len(want) >= 20
+    want = contamination_by_hand(rows, items)
+    assert got == want and len(want) >= 20 and {i for i, k in got if k == 50} == {90, 91, 95} and not any(k == 53 for _, k in got)
     left = {r.doc_id for r in decontaminate.drop_contaminated(make(rows), benchmark).collect()}
     assert left == {i for i, _ in rows} - {i for i, _ in want}
 
 
+def test_short_items_inside_documents(spark, make):
+    items = [(1, "What is the capital of France?"), (2, "Name three primes"), (3, "Why?")]
+    rows = [(1, "Quiz. What is the capital of France? Paris."), (2, "what was the capital of France"), (3, "They name three primes: 2, 3, 5"), (4, "whys and wherefores"), (5, "He asked why, twice."), (6, "what is the capitol of france")]
+    got = {(r.doc_id, r.item_id): (r.distance, r.start, r.end) for r in decontaminate.contamination(make(rows), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    assert {k: v[0] for k, v in got.items()} == {(1, 1): 0, (6, 1): 1, (3, 2): 0, (5, 3): 0}
+    for (doc, item), (d, a, b) in got.items():
+        if not d:
+            assert decontaminate.normalize(dict(rows)[doc])[a:b] == decontaminate.normalize(dict(items)[item]).strip()
+
+
+def test_contamination_keeps_the_types_of_ids(spark):
+    docs = spark.createDataFrame([("a1", "here one long enough item stands"), ("b", "nothing")], "doc_id string, text string")
+    got = decontaminate.contamination(docs, spark.createDataFrame([("x9", "one long enough item")], "item_id string, text string")).collect()
+    assert [(r.doc_id, r.item_id, r.distance) for r in got] == [("a1", "x9", 0)]
+    assert [r.doc_id for r in decontaminate.drop_contaminated(docs, spark.createDataFrame([("x9", "one long enough item")], "item_id string, text string")).collect()] == ["b"]
+
+
 def test_contamination_in_several_passes(spark, make, monkeypatch):
     monkeypatch.setattr(decontaminate, "AUTOMATON_CHARS", 100)
     rng = random.Random(2)
@@ -298,7 +359,72 @@ def test_language_of_odd_rows(spark, odd, make):
     assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} >= {4, 6}
     assert langid.identify(make([])).collect() == []
     unlabelled = make([(1, "some text", None)])
-    assert [(r.language, r.accepted) for r in langid.identify(unlabelled).collect()] in ([(None, False)],) or not langid.keep_identified(unlabelled).count()
+    assert [(r.language, r.accepted) for r in langid.identify(unlabelled).collect()] == [(None, False)]
+    assert langid.keep_identified(unlabelled).collect() == []
+
+
+TEXTS = {"en": "the cat and the dog were there with that thing", "de": "der hund und die katze waren nicht auch dort", "fr": "le chat et les chiens sont dans la maison", "es": "el perro y los gatos estan en la casa"}
+
+
+def language_rows(n, extra=""):
+    rng, rows = random.Random(6), []
+    for k, (lang, words) in enumerate(TEXTS.items()):
+        words = (words + extra).split()
+        rows += [(1000 * k + i, " ".join(rng.choice(words) for _ in range(rng.randrange(8, 60))), lang) for i in range(n)]
+    return rows
+
+
+def by_plain_votes(model, text):
+    """Family and language from sums over single trigrams, a pair of languages at a time."""
+    code, _ = langid.trigrams(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]))
+    if not len(code):
+        return None, None
+    score = [sum(float(w[c]) for c in code) / len(code) + b for w, b in zip(model.weights, model.bias)]
+    family = max(model.families, key=lambda f: score[model.families.index(f)])
+    votes, strength = Counter(), Counter()
+    for (a, b), margin in zip(model.pairs, score[len(model.families) :]):
+        votes[a if margin >= 0 else b] += 1
+        strength[a] += margin
+        strength[b] -= margin
+    return family, max((x for x in model.languages if model.family_of[x] == family), key=lambda x: (votes[x], strength[x]))
+
+
+def test_language_agrees_with_plain_votes(make):
+    rows = language_rows(40)
+    docs = make(rows)
+    model = langid.train(docs, 20)
+    got = {r.doc_id: (r.family, r.language) for r in langid.identify(docs, 20).collect()}
+    assert got == {i: by_plain_votes(model, text) for i, text, _ in rows}
+    assert sum(got[i][1] == lang for i, _, lang in rows) >= 0.95 * len(rows)
+
+
+def test_svm_reaches_the_least_cost():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(40, 5)) + np.repeat([[0.8], [-0.8]], 20, 0)
+    y = np.repeat([1.0, -1.0], 20)
+    rows, index = np.repeat(np.arange(40), 5), np.tile(np.arange(5), 40)
+    w, b = langid._svm(rows, index, x.ravel() / 3, 40, y, steps=3000)
+
+    def cost(w, b):
+        return 0.5e-3 * (w @ w) + (10.0 * 0.5 / 20 * np.maximum(0, 1 - y * (x / 3 @ w + b)) ** 2).sum()
+
+    best, bias = np.zeros(5), 0.0
+    for _ in range(100_000):  # plain gradient descent
+        slack = np.maximum(0, 1 - y * (x / 3 @ best + bias)) * y * 0.25
+        best, bias = best - 0.02 * (1e-3 * best - 2 * x.T / 3 @ slack), bias + 0.02 * 2 * slack.sum()
+    assert abs(cost(w[:5], b) - cost(best, bias)) < 1e-3 * cost(best, bias) and not w[5:].any()
+
+
+def test_rows_without_a_text_take_no_place(make):
+    rows = language_rows(20)
+    empty = [(10_000 + i, None if i % 2 else " 12 ", "en") for i in range(3000)]
+    got = {r.doc_id: r.language for r in langid.identify(make(rows + empty), 5).collect()}
+    assert sum(got[i] == lang for i, _, lang in rows) >= 0.9 * len(rows) and {got[i] for i, *_ in empty} == {None}
+
+
+def test_language_ties_go_by_name(make):
+    same = [(i, "one and the same text for both", lang) for i, lang in enumerate(["en", "de"] * 3)]
+    assert {r.language for r in langid.identify(make(same * 2)).collect()} == {"de"}
 
 
 # --- packing
@@ -357,12 +483,40 @@ def test_every_token_has_a_place(make):
     assert len({r.bin for r in out if r.n_tokens}) == len(by_hand([r.n_tokens for r in out if r.n_tokens], 100))
 
 
+@pytest.mark.parametrize("share_rows", [3, 1 << 20])
+def test_bins_hold_their_pieces_in_order(spark, make, monkeypatch, share_rows):
+    monkeypatch.setattr(packing, "SHARE_ROWS", share_rows)
+    rng = random.Random(7)
+    sizes = [rng.choice([0, 1, 2, 5, 20, 33, 34, 35, 60, 66, 67, 70, 100, 130, 333]) for _ in range(400)]
+    docs = spark.createDataFrame([(i, "not read", n) for i, n in enumerate(sizes)], "doc_id int, text string, tokens int")
+    places = packing.pack(docs, 100, "tokens")
+    rows = places.collect()
+    assert fits(rows, 100) == len(by_hand([min(100, n - at) for n in sizes for at in range(0, n, 100)], 100))
+    seen = []
+    for b in packing.bins(places).collect():
+        at = 0
+        for p in b.pieces:
+            assert p.offset == at
+            at += p.n_tokens
+            seen.append((p.doc_id, p.piece, p.first_token, p.n_tokens, b.bin, p.offset))
+        assert at == b.n_tokens <= 100
+    assert sorted(seen) == sorted(tuple(r) for r in rows if r.n_tokens)
+    assert sorted((r.doc_id, r.first_token) for r in rows) == sorted((i, at) for i, n in enumerate(sizes) for at in range(0, max(n, 1), 100))
+
+
+def test_packing_plan_has_no_join_or_window_on_one_size(make):
+    plan = packing.pack(make([(1, "a b c")]))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "hashpartitioning(n_tokens" not in plan
+
+
 def test_packing_of_odd_rows(odd, make):
     out = packing.pack(odd).collect()
     fits(out, packing.CAPACITY)
     assert {(r.n_tokens, r.bin) for r in out if r.doc_id in (1, 2, 3)} == {(0, None)}
     assert sum(r.n_tokens for r in out if r.doc_id == 4) == 2 * 32000
-    assert packing.pack(make([])).collect() == []
+    assert packing.pack(make([])).collect() == packing.bins(packing.pack(make([]))).collect() == []
+    ties = packing.pack(make([(1, "a b c"), (1, "a b c"), (2, "d e f"), (None, "g h i")]), 3).collect()
+    assert fits(ties, 3) == 4 and sorted(r.bin for r in ties) == [0, 1, 2, 3]
 
 
 # --- the pipeline

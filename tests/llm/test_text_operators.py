@@ -101,6 +101,43 @@ def test_notices_in_a_row_are_all_found(make):
         assert sorted(got[i]) == sorted(want), text
 
 
+def test_several_insertions_are_each_found_once(make):
+    rng, filler, rows, want = random.Random(11), "lorem ipsum dolor sit amet consectetur adipiscing elit".split(), [], {}
+    for i in range(40):
+        words, inside = [], []
+        for _ in range(rng.randrange(1, 6)):
+            words += [rng.choice(filler) for _ in range(rng.randrange(0, 20))]
+            name, kind, text = TEMPLATES[rng.randrange(len(TEMPLATES))]
+            inner = re.findall("[0-9a-z]+", text.lower())
+            for _ in range(rng.randrange(3) if kind == "text" else 0):
+                inner[rng.randrange(2, len(inner) - 2)] = "changed"
+            inside.append((name, len(words), len(words) + len(inner)))
+            words += inner
+        rows.append((i, " ".join(words)))
+        starts = [m.start() for m in re.finditer(r"\S+", rows[-1][1])] + [len(rows[-1][1])]
+        want[i] = [(name, starts[a], starts[b]) for name, a, b in inside]
+    got = {}
+    for r in licenses.license_spans(make(rows)).collect():
+        got.setdefault(r.doc_id, []).append((r.license, r.start, r.end))
+    for i, text in rows:
+        mine = sorted(got[i], key=lambda x: x[1])
+        assert len(mine) == len(want[i]), text
+        for (name, a, b), (found, s, e) in zip(want[i], mine):
+            assert min(b, e) - max(a, s) >= 0.75 * (b - a), (name, found, text)
+            assert found == name or found.split("-")[0] == name.split("-")[0], (name, found)  # notices that begin alike
+
+
+def test_short_templates_and_types_of_ids(spark, tmp_path):
+    docs = spark.createDataFrame([("a", "under WTFPL, they say; public domain too"), ("b", "nothing"), (None, "wtfpl")], "doc_id string, text string")
+    got = licenses.license_spans(docs, [("W", "notice", "WTFPL"), ("P", "notice", "public domain"), ("none", "notice", "?!")]).collect()
+    assert sorted(((r.doc_id or ""), r.license, r.start, r.end) for r in got) == [("", "W", 0, 5), ("a", "P", 23, 36), ("a", "W", 6, 11)]
+    (tmp_path / "Mine-1.0.txt").write_text("You may do what you like with all of these things here")
+    mine = licenses.folder_templates(str(tmp_path))
+    assert [(r.doc_id, r.license) for r in licenses.license_spans(spark.createDataFrame([("x", "x " + mine[0][2])], "doc_id string, text string"), mine).collect()] == [("x", "Mine-1.0")]
+    tag = spark.createDataFrame([(1, "// SPDX-License-Identifier: GPL-2.0-or-later\n// SPDX-License-Identifier: MIT")], "doc_id int, text string")
+    assert [r.license for r in licenses.license_spans(tag).orderBy("start").collect()] == ["GPL-2.0-or-later", "MIT"]
+
+
 def test_licences_of_odd_rows(odd, make):
     assert licenses.license_spans(odd).collect() == []
     assert licenses.license_spans(make([])).collect() == []
