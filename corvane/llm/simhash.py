@@ -21,6 +21,8 @@ BLOCKS, ROWS = 64, 3
 SIGN_BITS = 21
 #: Signs of two close fingerprints that may differ: fewer than there are blocks, so at least one block is whole in both.
 MAX_DISTANCE = BLOCKS - 1
+#: Two low bits of each sign, 32 signs to a number: where these differ, the signs do.
+SKETCH = [f"s{i}" for i in range(BLOCKS * ROWS // 32)]
 _ORDERS = mix(np.arange(1, BLOCKS * ROWS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
 _FIRST, _LAST, _PAIR = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC949D7C7509E6557), np.uint64(0xD6E8FEB86659FD93)
 
@@ -66,6 +68,12 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return out.view(np.int64), some
 
 
+def sketches(prints: np.ndarray) -> np.ndarray:
+    """Fingerprints x len(SKETCH) whole numbers."""
+    low = np.stack([(prints.view(np.uint64) >> np.uint64(SIGN_BITS * k)) & np.uint64(3) for k in range(ROWS)], 2).reshape(len(prints), len(SKETCH), 32)
+    return (low << (np.arange(32, dtype=np.uint64) * np.uint64(2))).sum(2, dtype=np.uint64).view(np.int64)
+
+
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         offsets, data = buffers(batch.column(1))
@@ -74,12 +82,13 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
             prints = np.ascontiguousarray(prints[some])
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(prints) + 1, dtype=np.int32) * BLOCKS), pa.array(prints.ravel()))
             same = pa.array([xxhash.xxh3_128_digest(p) for p in prints], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).filter(pa.array(some)), same, lists], ["doc_id", "same", "blocks"])
+            short = sketches(prints)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).filter(pa.array(some)), same, lists, *(pa.array(np.ascontiguousarray(c)) for c in short.T)], ["doc_id", "same", "blocks", *SKETCH])
 
 
 def fingerprint_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, same, blocks) of the documents that have an id and a word: the fingerprint, and its digest of 128 bits."""
-    kinds = [("doc_id", docs.schema["doc_id"].dataType), ("same", T.BinaryType()), ("blocks", T.ArrayType(T.LongType()))]
+    """(doc_id, same, blocks, s0, s1, ...) of the documents that have an id and a word: the fingerprint, its digest of 128 bits and its sketch."""
+    kinds = [("doc_id", docs.schema["doc_id"].dataType), ("same", T.BinaryType()), ("blocks", T.ArrayType(T.LongType())), *((c, T.LongType()) for c in SKETCH)]
     rows = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
     return rows.mapInArrow(_fingerprint_batches, T.StructType([T.StructField(*k) for k in kinds]))
 
@@ -95,29 +104,42 @@ def distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, differing), F.lit(0), lambda s, x: s + x)
 
 
+def _at_least(a: str, b: str) -> Column:
+    """A bound that the distance of two fingerprints isn't below, from the sketches a.s0, ... and b.s0, ..."""
+    total = F.lit(0)
+    for c in SKETCH:
+        z = F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))
+        total = total + F.bit_count(z.bitwiseOR(F.shiftrightunsigned(z, 1)).bitwiseAND(F.lit(0x5555555555555555).cast("bigint")))
+    return total
+
+
 def close_pairs(prints: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
-    """Edges (a, b) that connect the same fingerprints as all pairs that differ in ``max_distance`` signs at most. ``prints``: (id, blocks); an id with
-    several fingerprints stands for all of them.
+    """Edges (a, b) that connect the same fingerprints as all pairs that differ in ``max_distance`` signs at most.
 
-    ``max_distance`` is below BLOCKS, so such a pair has a block in common (pigeonhole), and joining on blocks misses none. A member of
-    a block's bucket is verified against the bucket's least id; only those too far from it are compared with the whole bucket, so
-    thousands of close copies cost a row each, not a square. Nothing is capped; a bucket is met by aggregation and joins alone, which
-    split it if it is large.
+    ``prints``: (id, blocks, s0, s1, ...); an id with several fingerprints stands for all of them. ``max_distance`` is below BLOCKS, so
+    such a pair has a block in common (pigeonhole), and joining on blocks misses none. A member of a block's bucket is compared with the
+    bucket's least id; only those too far from it are compared with the whole bucket, so thousands of close copies cost a row each, not
+    a square. Sketches travel with the buckets and rule out most unlike pairs where they meet; what is left is verified with the whole
+    fingerprints. Nothing is capped; a bucket is met by aggregation and joins alone, which split it if it is large.
     """
     if not 0 <= max_distance < BLOCKS:
         raise ValueError("the distance must be below the number of blocks")
+    sketch = prints.select("id", *SKETCH)
     keyed = prints.select("id", F.explode(F.transform("blocks", lambda x, i: F.xxhash64(i, x))).alias("key"))
     leads = keyed.groupBy("key").agg(F.min("id").alias("lead"), F.count("*").alias("n")).where("n > 1").select("key", "lead")
-    led = checkpointed(keyed.join(leads, "key").where("id <> lead"))
+    led = checkpointed(keyed.join(leads, "key").where("id <> lead").join(sketch, "id"))
     a, b = prints.select(F.col("id").alias("x"), F.col("blocks").alias("xs")), prints.select(F.col("id").alias("y"), F.col("blocks").alias("ys"))
-    near = distance(F.col("xs"), F.col("ys")) <= max_distance
-    pairs = led.select(F.col("id").alias("x"), F.col("lead").alias("y")).distinct()
-    checked = checkpointed(pairs.join(a, "x").join(b, "y").select("x", "y", near.alias("close")))
-    far = led.withColumnsRenamed({"id": "x", "lead": "y"}).join(checked.where("not close"), ["x", "y"]).select("key", "x")
-    others = led.select("key", F.col("id").alias("y"))
-    more = far.join(others, "key").where("x <> y").select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
-    more = more.join(a, "x").join(b, "y").where(near).select("x", "y")
-    return checked.where("close").select("x", "y").unionByName(more).toDF("a", "b")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        return pairs.distinct().join(a, "x").join(b, "y").where(distance(F.col("xs"), F.col("ys")) <= max_distance).select("x", "y")
+
+    may = _at_least("p", "q") <= max_distance
+    p, q = led.alias("p"), sketch.alias("q")
+    close = checkpointed(verified(p.join(q, F.col("p.lead") == F.col("q.id")).where(may).select(F.col("p.id").alias("x"), F.col("p.lead").alias("y"))))
+    far = led.join(close, (led["id"] == close["x"]) & (led["lead"] == close["y"]), "left_anti").alias("p")
+    both = far.join(led.alias("q"), F.col("p.key") == F.col("q.key")).where((F.col("p.id") != F.col("q.id")) & may)
+    more = verified(both.select(F.greatest("p.id", "q.id").alias("x"), F.least("p.id", "q.id").alias("y")))
+    return close.unionByName(more).toDF("a", "b")
 
 
 def near_duplicates(docs: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
@@ -130,11 +152,11 @@ def near_duplicates(docs: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFr
     however short or long.
     """
     signed = checkpointed(fingerprint_table(docs))
-    prints = checkpointed(signed.groupBy("same").agg(F.min("doc_id").alias("lead"), F.first("blocks").alias("blocks")))
+    prints = checkpointed(signed.groupBy("same").agg(F.min("doc_id").alias("lead"), *(F.first(c).alias(c) for c in ("blocks", *SKETCH))))
     member = signed.select("doc_id", "same").join(prints.select("same", F.col("lead").alias("id")), "same").select("doc_id", "id").distinct()
     several = member.groupBy("doc_id").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
     linked = several.join(member, "doc_id").where("a <> id").select("a", F.col("id").alias("b"))
-    roots = components(close_pairs(prints.select(F.col("lead").alias("id"), "blocks"), max_distance).unionByName(linked))
+    roots = components(close_pairs(prints.drop("same").withColumnRenamed("lead", "id"), max_distance).unionByName(linked))
     kept = member.join(roots, "id", "left").select("doc_id", F.coalesce("root", "id").alias("kept_id"))
     return kept.where("doc_id <> kept_id").distinct()
 
