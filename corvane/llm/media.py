@@ -9,13 +9,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 SIZE, SYNC = 188, 0x47
 #: Bytes in one elementary packet, and the distance of two in ticks of the 90 kHz clock, as ``mux`` writes them.
 UNIT, TICKS = 2048, 3600
 _STREAMS = ((0x101, 0x1B, 0xE0), (0x102, 0x0F, 0xC0))  # pid, stream type, stream id
 _PMT_PID = 0x1000
-PACKETS = "doc_id bigint, program int, pid int, stream_type int, seq int, pts bigint, dts bigint, random_access boolean, discontinuities int, complete boolean, n_bytes bigint, data binary"
+_COLUMNS = [("program", T.IntegerType()), ("pid", T.IntegerType()), ("stream_type", T.IntegerType()), ("seq", T.IntegerType()), ("pts", T.LongType()), ("dts", T.LongType()), ("random_access", T.BooleanType())]
+_COLUMNS += [("discontinuities", T.IntegerType()), ("complete", T.BooleanType()), ("n_bytes", T.LongType()), ("data", T.BinaryType())]
 
 _CRC = []
 for _i in range(256):
@@ -110,8 +113,8 @@ def _aligned(data: np.ndarray) -> np.ndarray:
 
 @lru_cache(maxsize=4096)
 def _parsed(section: bytes) -> tuple:
-    """('pat', ((program, pid), ...)) or ('pmt', program, ((pid, stream type), ...)); () if it is neither, or damaged."""
-    if len(section) < 12 or crc32(section):
+    """('pat', ((program, pid), ...)) or ('pmt', program, ((pid, stream type), ...)); () if it is neither, damaged, or not in force yet."""
+    if len(section) < 12 or crc32(section) or not section[5] & 1:
         return ()
     if section[0] == 0:
         body = section[8:-4]
@@ -212,27 +215,30 @@ def _demux_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 held.append((doc, *x, len(data), data))
                 size += len(data)
             if size > 8 << 20:
-                yield _batch(held)
+                yield _batch(held, batch.column(0).type)
                 held, size = [], 0
         if held:
-            yield _batch(held)
+            yield _batch(held, batch.column(0).type)
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), *[pa.int32()] * 4, pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.bool_(), pa.int64(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], [c.split()[0] for c in PACKETS.split(", ")])
+def _batch(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    kinds = [kind, *(to_arrow_type(k) for _, k in _COLUMNS)]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["doc_id", *(n for n, _ in _COLUMNS)])
 
 
 def elementary_packets(media: DataFrame) -> DataFrame:
     """A row for each elementary packet of (doc_id, media): program, pid, stream_type, seq, pts, dts, random_access, data and its state.
 
-    Program tables say which pids are streams; a table whose checksum is wrong is ignored. Of two equal packets in a row with one
+    Program tables say which pids are streams; a table whose checksum is wrong or that isn't in force yet is ignored, and of tables that
+    follow each other in several versions all count. Of two equal packets in a row with one
     counter the second is dropped; any other jump of the counter counts in ``discontinuities`` of the packet that it falls in or
     before, unless the stream announces it. ``complete`` is false if data are missing inside. dts is pts where none is sent; both are null
     without a stamp. Bytes that aren't packets are skipped. Null and empty columns, and streams without tables, give no row. Rows
-    that share a doc_id, null ids too, are columns of their own. Blobs are read whole. An empty table gives an empty result.
+    that share a doc_id, null ids too, are columns of their own. doc_id keeps its type; other columns are not read, whatever their names.
+    Blobs are read whole. An empty table gives an empty result.
     """
-    return media.where("media is not null").select(F.col("doc_id").cast("bigint"), "media").mapInArrow(_demux_batches, PACKETS)
+    schema = T.StructType([T.StructField("doc_id", media.schema["doc_id"].dataType), *(T.StructField(*c) for c in _COLUMNS)])
+    return media.where("media is not null").select("doc_id", "media").mapInArrow(_demux_batches, schema)
 
 
 def _mux_batches(lose: int):
@@ -250,5 +256,5 @@ def _mux_batches(lose: int):
 
 def media_table(docs: DataFrame, lose: int = 0) -> DataFrame:
     """(doc_id, media): the bytes of each text as a transport stream. ``lose``: streams whose number of packets it divides lack the last but one, as after a bad transmission; 0 for none."""
-    rows = docs.where("text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(_mux_batches(lose), "doc_id bigint, media binary")
+    rows = docs.where("text is not null").select("doc_id", F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(_mux_batches(lose), T.StructType([rows.schema["doc_id"], T.StructField("media", T.BinaryType())]))
