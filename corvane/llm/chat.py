@@ -8,12 +8,16 @@ from itertools import accumulate
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Tokens of a window, of the history that it repeats at most, and of a turn's frame.
 BUDGET, HISTORY, FRAME = 384, 128, 4
 #: The role whose turns are targets.
 TARGET = "assistant"
-WINDOWS = "conv_id bigint, window int, first_turn bigint, new_turn bigint, last_turn bigint, n_turns int, n_tokens bigint, n_target_tokens bigint, oversize boolean, text string, targets array<struct<start:bigint,end:bigint>>"
+_SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+_COLUMNS = [("window", T.IntegerType()), *((c, T.LongType()) for c in ("first_turn", "new_turn", "last_turn")), ("n_turns", T.IntegerType()), ("n_tokens", T.LongType()), ("n_target_tokens", T.LongType())]
+_COLUMNS += [("oversize", T.BooleanType()), ("text", T.StringType()), ("targets", _SPANS)]
 
 
 def spans(tokens: list[int], room: int, history: int = HISTORY) -> list[tuple[int, int, int]]:
@@ -42,7 +46,7 @@ def framed(role: str, text: str) -> tuple[str, int, int]:
     return f"{head}{text}<|end|>\n", len(head), len(head) + len(text) + len("<|end|>")
 
 
-def _conversation(conv: int, turns: list[tuple[int, str, str, int]], budget: int, history: int) -> Iterator[tuple]:
+def _conversation(conv, turns: list[tuple[int, str, str, int]], budget: int, history: int) -> Iterator[tuple]:
     system = turns[:1] if turns[0][1] == "system" else []
     rest = turns[len(system) :]
     kept = sum(t[3] for t in system)
@@ -69,16 +73,17 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTO
     of the TARGET role; what a window repeats is masked. A turn that doesn't fit with the system turn is a window by itself, whole
     and marked ``oversize``. Rows with a null conv_id or turn are left out; a null role is "user", a null text is empty. Equal rows
     are one turn; unequal rows of one turn number follow by role, then text. A conversation of a system turn alone is one window
-    without targets. Other columns are not read. An empty table gives an empty result.
+    without targets. conv_id keeps its type. Other columns are not read, whatever their names. Texts are taken whole, however long. An
+    empty table gives an empty result.
     """
     rows = conversations.where("conv_id is not null and turn is not null").select(
-        F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), F.coalesce("role", F.lit("user")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
+        "conv_id", F.col("turn").cast("bigint").alias("turn"), F.coalesce("role", F.lit("user")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
     )
     size = F.regexp_count("text", F.lit(r"[^ \t\r\n]+")) + FRAME
     turns = F.array_sort(F.array_distinct(F.collect_list(F.struct("turn", "role", "text", size.cast("bigint").alias("tokens")))))
     grouped = rows.groupBy("conv_id").agg(turns.alias("turns"))
-    kinds = (pa.int64(), pa.int32(), *[pa.int64()] * 3, pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
-    names = [c.split()[0] for c in WINDOWS.split(", ")]
+    schema = T.StructType([rows.schema["conv_id"], *(T.StructField(*c) for c in _COLUMNS)])
+    kinds, names = [to_arrow_type(f.dataType) for f in schema.fields], schema.names
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -93,7 +98,7 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTO
             if held:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), kinds)], names)
 
-    return grouped.mapInArrow(batches, WINDOWS)
+    return grouped.mapInArrow(batches, schema)
 
 
 def flat(rows: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corvane.llm._text import buffers, slices, span_hashes
 
@@ -163,7 +163,7 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
     A word counts with the space before it, the first of a text too. A word that has no division into pieces is one token. A null or
     empty text has none. Rows that repeat a doc_id, null ids too, have each their row; other columns are not read. Texts are counted
-    whole. The vocabulary is read on the driver and sent once to each executor; its size doesn't depend on the documents. An empty
+    whole. doc_id keeps its type. The vocabulary is read on the driver and sent once to each executor; its size doesn't depend on the documents. An empty
     table gives an empty result.
     """
     opening, inner = load(vocabulary)
@@ -177,4 +177,5 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
                 words, tokens = text_counts(automaton, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(words), pa.array(tokens)], ["doc_id", "n_words", "n_tokens"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(batches, "doc_id bigint, n_words bigint, n_tokens bigint")
+    rows = docs.select("doc_id", "text")
+    return rows.mapInArrow(batches, T.StructType([rows.schema["doc_id"], T.StructField("n_words", T.LongType()), T.StructField("n_tokens", T.LongType())]))
