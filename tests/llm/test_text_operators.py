@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from corvane.llm import chat, html, licenses, media, wordpieces
 from corvane.llm.license_texts import TEMPLATES
@@ -42,11 +43,13 @@ def test_automaton_for_any_vocabulary(opening, inner, word):
     assert a.count(b" " + word.encode()) == want == a.counts(data, np.array([0]), np.array([len(data)]))[0]
 
 
-def test_wordpieces_of_odd_rows(odd, make):
+def test_wordpieces_of_odd_rows(spark, odd, make):
     out = sorted(wordpieces.token_counts(odd).collect(), key=str)
     assert len(out) == odd.count()
     assert {(r.n_words, r.n_tokens) for r in out if r.doc_id in (1, 2, 3)} == {(0, 0)}
     assert wordpieces.token_counts(make([])).collect() == []
+    named = spark.createDataFrame([("a1", "one two"), (None, "x")], "doc_id string, text string")
+    assert {(r.doc_id, r.n_words) for r in wordpieces.token_counts(named).collect()} == {("a1", 2), (None, 1)}
 
 
 def whole_alignment(template, words):
@@ -172,6 +175,31 @@ def test_page_cases(spark):
     assert html.main_text(spark.createDataFrame([], "page_id int, html string")).collect() == []
 
 
+def test_references_are_decoded_as_by_the_standard_library(spark):
+    from html.entities import html5
+
+    cases = [f"a&{n}b" for n in html5 if n.endswith(";")] + ["caf&eacute; &#233; &#x27;q&#X27;", "&#150;&#8212;&#x1F600;", "&amp;lt; &amp;amp;", "&&lt;&", "AT&T; &nosuch; & ;", "no reference", ""]
+    odd = ["&#0;", "&#xD800;", "&#1114112;", "&#;", "&#x;", "&lt", "&#99999999;"]  # these stay
+    got = [r[0] for r in spark.createDataFrame([(c,) for c in cases + odd], "html string").select(html.decoded(F.split("html", "&"))).collect()]
+    assert got == [unescape(c).replace("\xa0", " ") for c in cases] + odd
+
+
+def test_a_region_ends_at_the_dive(spark):
+    dense, thin, none = "<p>" + "word " * 40 + "</p>", "<p>" + "thin " * 12 + "</p>", "<br>" * 5
+    rows = [(1, thin + none + dense + thin + thin + none + thin), (2, dense + none + dense), (3, thin + thin)]
+    out = {r.page_id: r for r in html.main_text(spark.createDataFrame(rows, "page_id int, html string"), surge=150, dive=40).collect()}
+    assert out[1].text.split() == ["word"] * 40 + ["thin"] * 24 and out[1].n_regions == 1
+    assert out[2].text.split() == ["word"] * 80 and out[2].n_regions == 2
+    assert out[3].text.split() == ["thin"] * 24
+
+
+def test_long_pages_and_clashing_columns(spark):
+    page = "<p>" + "text " * 200_000 + "</p>" + "<p>a</p><p></p>" * 20_000
+    rows = spark.createDataFrame([("x", page, "l", "m", 1)], "page_id string, html string, lines string, marks string, lens int")
+    r = html.main_text(rows).first()
+    assert r.page_id == "x" and len(r.text) >= 999_999 and r.n_regions == 1 and r.n_lines > 40_000
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.binary(max_size=9000), st.integers(1, 4000))
 def test_streams_round_trip(content, unit):
@@ -198,6 +226,102 @@ def test_lost_repeated_and_damaged_packets():
     assert media.demux(b"") == media.demux(b"G") == []
 
 
+def plain_demux(blob):
+    """(pid, pts, dts, random access, discontinuities, complete, payload), read bit by bit as the standard lays it out; aligned streams."""
+    packets = []
+    for at in range(0, len(blob) - 187, 188):
+        p = blob[at : at + 188]
+        bits = int.from_bytes(p[:4], "big")
+        assert bits >> 24 == 0x47
+        body, flags = p[4:], 0
+        if bits >> 5 & 1:
+            flags = body[1] if body[0] else 0
+            body = body[1 + body[0] :]
+        if bits >> 4 & 1 and not bits >> 23 & 1:
+            packets.append((bits >> 8 & 0x1FFF, bits >> 22 & 1, bits & 15, flags, body, p[4:]))
+
+    def section(pid):
+        for n, start, _, _, body, _ in packets:
+            if n == pid and start:
+                s = body[1 + body[0] :]
+                s = s[: 3 + (int.from_bytes(s[1:3], "big") & 0xFFF)]
+                crc = 0xFFFFFFFF
+                for byte in s:
+                    for k in range(7, -1, -1):
+                        crc = (crc << 1 ^ (0x04C11DB7 if (crc >> 31 ^ byte >> k) & 1 else 0)) & 0xFFFFFFFF
+                if not crc and s[5] & 1:
+                    yield s
+
+    pids = set()
+    for pat in section(0):
+        for i in range(8, len(pat) - 4, 4):
+            for pmt in section(int.from_bytes(pat[i + 2 : i + 4], "big") & 0x1FFF):
+                i2 = 12 + (int.from_bytes(pmt[10:12], "big") & 0xFFF)
+                while i2 < len(pmt) - 4:
+                    pids.add(int.from_bytes(pmt[i2 + 1 : i2 + 3], "big") & 0x1FFF)
+                    i2 += 5 + (int.from_bytes(pmt[i2 + 3 : i2 + 5], "big") & 0xFFF)
+    out = []
+    for pid in sorted(pids):
+        last, unit, units = None, None, []
+        for n, start, counter, flags, body, raw in packets:
+            if n != pid:
+                continue
+            gap = 0
+            if last is not None:
+                if counter == last[0] and raw == last[1]:
+                    continue
+                gap = int(counter != (last[0] + 1) % 16 and not flags >> 7)
+            last = counter, raw
+            if start:
+                unit = [b"", gap, 0, flags >> 6 & 1]
+                units.append(unit)
+            elif unit:
+                unit[2] += gap
+            if unit:
+                unit[0] += body
+        for pes, before, inner, access in units:
+            if pes[:3] != b"\0\0\1" or len(pes) < 9:
+                continue
+
+            def stamp(b):
+                bits = f"{int.from_bytes(b, 'big'):040b}"
+                return int(bits[4:7] + bits[8:23] + bits[24:39], 2)
+
+            pts = stamp(pes[9:14]) if pes[7] & 0x80 else None
+            dts = stamp(pes[14:19]) if pes[7] & 0x40 else pts
+            size = int.from_bytes(pes[4:6], "big")
+            data = pes[9 + pes[8] : 6 + size if size else None]
+            out.append((pid, pts, dts, bool(access), before + inner, not inner and (not size or len(pes) >= 6 + size), data))
+    return out
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.binary(min_size=1, max_size=12000), st.integers(100, 4000), st.lists(st.tuples(st.sampled_from("lrs"), st.integers(2, 90)), max_size=5))
+def test_streams_as_by_another_parser(content, unit, damage):
+    blob = media.mux(content, unit)
+    packets = [blob[i : i + 188] for i in range(0, len(blob), 188)]
+    for kind, i in damage:  # lost, repeated, marked as damaged
+        if i < len(packets):
+            packets[i : i + 1] = {"l": [], "r": [packets[i]] * 2, "s": [packets[i][:1] + bytes([packets[i][1] | 0x80]) + packets[i][2:]]}[kind]
+    blob = b"".join(packets)
+    assert [(x[1], *x[4:]) for x in media.demux(blob)] == plain_demux(blob)
+
+
+def test_tables_that_are_not_in_force(spark):
+    blob = media.mux(b"abc" * 2000)
+    later = bytearray(blob[:188])
+    at = 188 - 184 + later[4] + 1 if later[3] & 0x20 else 4
+    section = bytearray(later[at + 1 :])
+    size = 3 + ((section[1] & 15) << 8 | section[2])
+    section = section[:size]
+    section[5] &= 0xFE
+    body = bytes(section[:-4])
+    later[at + 1 : at + 1 + size] = body + media.crc32(body).to_bytes(4, "big")
+    assert len(media.demux(blob)) == 3 and media.demux(bytes(later) + blob[188:]) == []
+    named = media.elementary_packets(spark.createDataFrame([("x", blob), (None, blob)], "doc_id string, media binary")).collect()
+    assert sorted(str(r.doc_id) for r in named) == ["None"] * 3 + ["x"] * 3
+
+
 def test_media_table(spark, odd, make):
     docs = make([(1, "abc" * 3000), (2, "é" * 10), (3, None), (4, "")])
     rows = media.elementary_packets(media.media_table(docs)).orderBy("doc_id", "pts").collect()
@@ -205,7 +329,13 @@ def test_media_table(spark, odd, make):
         mine = [r for r in rows if r.doc_id == i]
         assert b"".join(r.data for r in mine) == text.encode() and mine[0].random_access and mine[0].pts == 90000
     assert {r.doc_id for r in rows} == {1, 2}
-    assert media.elementary_packets(media.media_table(odd)).count() > 0
+    texts = {}
+    for r in media.elementary_packets(media.media_table(odd)).collect():
+        texts.setdefault((r.doc_id, r.pts), []).append(r.data)
+    for doc, text in {(r.doc_id, r.text) for r in odd.collect() if r.text}:
+        mine = sorted((pts, parts[0]) for (d, pts), parts in texts.items() if d == doc)
+        assert b"".join(x for _, x in mine) == text.encode()
+    assert {len(v) for (d, _), v in texts.items() if d == 4} == {2} and {d for d, _ in texts} == {r.doc_id for r in odd.collect() if r.text}
     assert media.elementary_packets(media.media_table(make([]))).collect() == []
     raw = spark.createDataFrame([(1, None), (2, b""), (3, b"not a stream" * 99)], "doc_id int, media binary")
     assert media.elementary_packets(raw).collect() == []
@@ -244,6 +374,14 @@ def test_chat_cases(spark):
     assert chat.windows(spark.createDataFrame([], kind)).collect() == []
 
 
+def test_long_turns_and_ids_of_any_type(spark):
+    long = "word " * 300_000
+    rows = [("c", 0, "system", "brief", 1), ("c", 1, "user", long, 2), ("c", 2, "assistant", long, 3)]
+    out = sorted(chat.windows(spark.createDataFrame(rows, "conv_id string, turn int, role string, text string, turns int")).collect(), key=lambda r: r.window)
+    assert [(r.conv_id, r.oversize, r.n_tokens, r.n_target_tokens) for r in out] == [("c", True, 300_009, 0), ("c", True, 300_009, 300_000)]
+    assert out[1].text[out[1].targets[0].start : out[1].targets[0].end] == long + "<|end|>"
+
+
 @pytest.mark.parametrize("history", [0, 500])
 def test_repeated_targets_are_masked(spark, history):
     rows = [(1, i, "assistant" if i % 2 else "user", f"t{i} " * 20) for i in range(12)]
