@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corvane.llm._text import buffers, mix, slices
-from corvane.session import checkpointed, join_checked
+from corvane.session import checkpointed
 
 #: A cut is a character whose gear hash is the least among so many bytes to either side: a chunk has 2 * REACH + 1 bytes on average, REACH at least.
 REACH = 20
@@ -109,8 +109,7 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     """
     halves = docs.where("doc_id is not null and text is not null").select("text").mapInArrow(_digest_batches, "digest bigint")
     common = checkpointed(halves.groupBy("digest").count().where(F.col("count") > 1).select(F.col("digest").alias("_half")))
-    some = join_checked(chunk_table(docs), common, F.col("digest") == F.col("_half"), "left_semi", row_bytes=24)
-    some = checkpointed(some)
+    some = checkpointed(chunk_table(docs).join(common, F.col("digest") == F.col("_half"), "left_semi"))
     firsts = some.groupBy("digest", "more").agg(F.min(F.struct("doc_id", "at")).alias("first"))
     repeats = some.join(firsts, ["digest", "more"]).where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("at") != F.col("first.at")))
     return repeats.groupBy(F.col("doc_id").alias("_of")).agg(F.collect_list(F.struct("at", "digest")).alias("_repeats"))
