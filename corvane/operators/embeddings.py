@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Words that the driver may hold for a decomposition or a map.
@@ -173,23 +173,17 @@ def word_map(table: DataFrame, side: int = 16, rounds: int = 30, seed: int = 42,
     return table.select(F.col(word).cast("string").alias("token"), cell(vec).alias("cell"))
 
 
-def like(vectors: DataFrame, sources: list, k: int = 10, ident: str = "vec_id", vec: str = "embedding") -> DataFrame:
-    """(doc_id, rank, score): what resembles one document, or the mean direction of several; these are left out.
+def like(vectors: DataFrame, sets: DataFrame, k: int = 10, ident: str = "vec_id", vec: str = "embedding") -> DataFrame:
+    """(sid, doc_id, rank, score): for each set what resembles its document, or the mean direction of its documents; these are left out.
 
-    Repeated or unknown sources are refused.
+    ``sets``: (sid, ident), each source once a set. Sources that aren't there are passed over; a set without any gives no row.
     """
-    from corvane.operators.vectors import cosine_scores
-
-    if len(set(sources)) != len(sources) or not sources:
-        raise ValueError("give each source once")
-    rows = vectors.where(F.col(ident).isin(sources)).select(ident, vec).collect()
-    if len(rows) != len(sources):
-        raise ValueError("a source isn't there")
-    units = [np.asarray(r[1], np.float64) for r in rows]
-    units = [u / n if (n := np.linalg.norm(u)) else u for u in units]
-    mean = np.mean(units, 0) if len(units) > 1 else units[0]
-    q = vectors.sparkSession.createDataFrame([(0, [float(x) for x in mean])], "qid bigint, q array<double>")
-    scores = cosine_scores(vectors, q, k + len(sources), doc_id=ident, doc_vec=vec).where(~F.col("doc_id").isin(sources))
-    order = Window.orderBy(F.round("score", 9).desc(), "doc_id")
-    best = scores.orderBy(F.round("score", 9).desc(), "doc_id").limit(k)
-    return best.select("doc_id", F.row_number().over(order).alias("rank"), F.round("score", 6).alias("score"))
+    from corvane.operators.vectors import cosine_scores, ranked
+
+    pairs = sets.select("sid", F.col(ident)).distinct()
+    places = pairs.join(vectors.select(ident, vec), ident).select("sid", F.posexplode(unit(F.col(vec))).alias("i", "x"))
+    means = places.groupBy("sid", "i").agg(F.avg("x").alias("x")).groupBy("sid").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("q"))
+    own = pairs.groupBy(ident).agg(F.collect_list("sid").alias("_own"))
+    rows = vectors.select(ident, F.col(vec).cast("array<double>").alias("_vec")).join(own, ident, "left")
+    scores = cosine_scores(rows, means, k, doc_id=ident, doc_vec="_vec", query_id="sid", own="_own")
+    return ranked(scores, k).select(F.col("qid").alias("sid"), "doc_id", "rank", F.round("score", 6).alias("score"))

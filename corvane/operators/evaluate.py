@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as ST
+from pyspark.sql.pandas.types import to_arrow_type
 
 from corvane.functions import text as T
 from corvane.operators import corpus, vectors
@@ -12,6 +18,50 @@ from corvane.operators import corpus, vectors
 TRIPLES = ((0.25, 0.15, 0.6), (0.3, 0.1, 0.6), (0.2, 0.2, 0.6), (0.35, 0.15, 0.5), (0.4, 0.2, 0.4), (0.5, 0.3, 0.2), (0.5, 0.5, 0.0), (0.6, 0.3, 0.1), (0.7, 0.2, 0.1), (0.8, 0.2, 0.0), (1.0, 0.0, 0.0))
 
 
+#: Characters of items that one pass over the documents looks for.
+ITEM_CHARS = 4_000_000
+
+
+def verbatim(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(qid, doc_id), each once: the documents (doc_id, text) that hold the text of an item (qid, text) as it is.
+
+    One automaton finds all items in one reading of a document. Items beyond ITEM_CHARS take a pass for each slice. An empty item is in
+    every document and says nothing: it is left out.
+    """
+    spark = docs.sparkSession
+    schema = ST.StructType([items.schema["qid"], docs.schema["doc_id"]])
+    kinds = [to_arrow_type(f.dataType) for f in schema.fields]
+    slices, size = [[]], 0
+    for qid, text in items.where("length(text) > 0").select("qid", "text").toLocalIterator():
+        if size > ITEM_CHARS:
+            slices.append([])
+            size = 0
+        slices[-1].append((text, qid))
+        size += len(text)
+
+    def scan(part: list) -> DataFrame:
+        shared = spark.sparkContext.broadcast(part)
+
+        def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            automaton = ahocorasick.Automaton()
+            for text, qid in shared.value:
+                automaton.add_word(text, [*automaton.get(text, []), qid])
+            automaton.make_automaton()
+            for batch in it:
+                rows = {(qid, doc) for doc, text in zip(*(c.to_pylist() for c in batch.columns)) for _, qids in automaton.iter(text) for qid in qids}
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], schema.names)
+
+        return docs.where("text is not null").select("doc_id", "text").mapInArrow(batches, schema)
+
+    out = None
+    for part in slices:
+        if part:
+            found = scan(part)
+            out = found if out is None else out.unionByName(found)
+    return (out if out is not None else spark.createDataFrame([], schema)).distinct()
+
+
 def quality(hits: DataFrame, truth: DataFrame, k: int = 10) -> DataFrame:
     """(queries, mrr, recall, hit_rate) over the queries with a relevant document: recall is the share of these found, hit_rate that of queries with one found.
 

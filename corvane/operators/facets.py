@@ -47,9 +47,10 @@ def latest(facets: DataFrame, k: int = 1, **filters) -> DataFrame:
 
 
 def holders(facets: DataFrame, codes: DataFrame) -> DataFrame:
-    """(ref, doc_id, type, date) of the documents with each code. ``codes``: (ref)."""
+    """(ref, doc_id, type, date, place) of the documents with each code, place by date, the latest first, then doc_id. ``codes``: (ref)."""
     rows = facets.select("doc_id", "type", "date", F.explode(F.array_distinct("refs")).alias("ref"))
-    return rows.join(codes.select("ref").distinct(), "ref").select("ref", "doc_id", "type", "date")
+    order = Window.partitionBy("ref").orderBy(F.desc("date"), "doc_id")
+    return rows.join(codes.select("ref").distinct(), "ref").select("ref", "doc_id", "type", "date", F.row_number().over(order).alias("place"))
 
 
 def pool_size(k: int, kind: bool, recency: bool, code: bool) -> int:
@@ -59,18 +60,23 @@ def pool_size(k: int, kind: bool, recency: bool, code: bool) -> int:
     return max(5 * k, 50) if recency else k
 
 
-def apply(hits: DataFrame, facets: DataFrame, k: int = 10, kind: str | None = None, recency: float = 0.0, codes: list[str] = ()) -> DataFrame:
+def apply(hits: DataFrame, facets: DataFrame, k: int = 10, kind: str | None = None, recency: float = 0.0, codes: list[str] = (), asked: DataFrame | None = None) -> DataFrame:
     """(qid, doc_id, rank, score, type, date, exact) from hits (qid, doc_id, rank, score), the pool already cut to ``pool_size``.
 
     Of one type if asked; holders of a code first, in the order of the hits; the others by (1 - recency) / (60 + rank) + recency / (60 +
-    rank by date, latest first). Documents without facets have type "?" and no date.
+    rank by date, latest first). Documents without facets have type "?" and no date. ``asked``: (qid, codes), the codes of each query
+    beside ``codes``.
     """
     if not 0 <= recency <= 1:
         raise ValueError("recency is from 0 to 1")
     rows = hits.join(facets, "doc_id", "left").select("qid", "doc_id", F.col("rank").alias("_r"), "score", F.coalesce("type", F.lit("?")).alias("type"), F.coalesce("date", F.lit(T.NO_DATE)).alias("date"), F.coalesce("refs", F.array().cast("array<string>")).alias("refs"))
     if kind is not None:
         rows = rows.where(F.col("type") == kind)
-    held = F.arrays_overlap("refs", F.lit(list(codes)).cast("array<string>")) if codes else F.lit(False)
+    wanted = F.lit(list(codes)).cast("array<string>")
+    if asked is not None:
+        rows = rows.join(asked.select("qid", F.col("codes").alias("_codes")), "qid", "left")
+        wanted = F.concat(wanted, F.coalesce("_codes", F.array().cast("array<string>")))
+    held = F.arrays_overlap("refs", wanted) if codes or asked is not None else F.lit(False)
     rows = rows.withColumn("exact", held)
     rest = Window.partitionBy("qid", "exact")
     sense = F.row_number().over(rest.orderBy("_r"))

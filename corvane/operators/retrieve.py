@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.operators.corpus import bm25_idf
-from corvane.operators.vectors import ranked
-from corvane.session import join_checked
+from corvane.operators.vectors import better_counts, cosine_scores, pair_cosines, ranked
+from corvane.session import checkpointed, join_checked
 
 K1, B = 1.5, 0.75
 #: Constant of reciprocal-rank fusion.
@@ -27,12 +29,22 @@ def bm25_scores(arrays: DataFrame, queries: DataFrame) -> DataFrame:
 
     Only the tokens of the queries are counted in the documents: they are sent along if there are few, else both sides are shuffled.
     """
-    terms = queries.select("qid", F.explode("tokens").alias("token")).groupBy("qid", "token").agg(F.count("*").alias("qtf"))
-    wanted = terms.select("token").distinct()
     rows = arrays.select("doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("token"))
+    wanted = queries.select(F.explode("tokens").alias("token")).distinct()
     hits = join_checked(rows, wanted, "token", "left_semi", row_bytes=64).groupBy("token", "doc_id", "dl").agg(F.count("*").alias("tf"))
+    return _bm25(hits, arrays.select(F.size("tokens").alias("dl")), queries)
+
+
+def bm25_from_postings(posted: DataFrame, lengths: DataFrame, queries: DataFrame) -> DataFrame:
+    """``bm25_scores`` from stored postings (token, doc_id, tf, dl) and lengths (doc_id, dl): only the postings of query tokens are read on."""
+    wanted = queries.select(F.explode("tokens").alias("token")).distinct()
+    return _bm25(join_checked(posted.select("token", "doc_id", "tf", "dl"), wanted, "token", "left_semi", row_bytes=64), lengths, queries)
+
+
+def _bm25(hits: DataFrame, lengths: DataFrame, queries: DataFrame) -> DataFrame:
+    terms = queries.select("qid", F.explode("tokens").alias("token")).groupBy("qid", "token").agg(F.count("*").alias("qtf"))
     df = hits.groupBy("token").agg(F.count("*").alias("df"))
-    corpus = arrays.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
+    corpus = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     weights = terms.join(df, "token").crossJoin(F.broadcast(corpus)).select("qid", "token", "avgdl", (F.col("qtf") * bm25_idf(F.col("n"), F.col("df"))).alias("weight"))
     tf = F.col("tf")
     part = F.col("weight") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
@@ -43,21 +55,89 @@ def bm25_topk(arrays: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     return ranked(bm25_scores(arrays, queries), k).select("qid", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
-def channel_ranks(scores: DataFrame, ids: DataFrame) -> DataFrame:
-    """(qid, doc_id, rank) over all documents for one channel; documents without a score have 0 and follow by id.
+@dataclass
+class Channel:
+    """One ranking of all documents for each query that it says something about, asked for in parts.
 
-    A query to which the channel gives no positive score has no row. ``scores``: (qid, doc_id, score). That every channel ranks every
-    document is what fusion means here, so this is queries times documents.
+    ``top(r)``: (qid, doc_id, rank) of the first r; ``ranks(pairs)``: (qid, doc_id, rank) of given (qid, doc_id) that aren't among them.
     """
-    order = Window.partitionBy("qid").orderBy(F.round("score", 9).desc(), "doc_id")
-    live = scores.groupBy("qid").agg(F.max("score").alias("_max")).where(F.col("_max") > 0).select("qid")
-    every = live.crossJoin(ids.select("doc_id")).join(scores, ["qid", "doc_id"], "left").select("qid", "doc_id", F.coalesce("score", F.lit(0.0)).alias("score"))
-    return every.select("qid", "doc_id", F.row_number().over(order).alias("rank"))
+
+    top: Callable[[int], DataFrame]
+    ranks: Callable[[DataFrame], DataFrame]
+
+
+def _ordinals(ids: DataFrame) -> DataFrame:
+    """(doc_id, nth) in the order of ids from 0, by ranges: each task counts its own, and starts where those before it end."""
+    parts = checkpointed(ids.select("doc_id").repartitionByRange("doc_id").select("doc_id", F.spark_partition_id().alias("part")))
+    sizes = parts.groupBy("part").count().withColumn("base", F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    local = F.row_number().over(Window.partitionBy("part").orderBy("doc_id")) - 1
+    return parts.withColumn("local", local).join(F.broadcast(sizes.select("part", "base")), "part").select("doc_id", (F.col("base") + F.col("local")).alias("nth"))
 
 
-def rrf(channels: dict[str, DataFrame], k: int = 10) -> DataFrame:
-    """(qid, doc_id, rank, score): the sum of 1 / (RRF + rank) over channels of (qid, doc_id, rank)."""
-    rows = reduce(DataFrame.unionByName, (c.select("qid", "doc_id", F.lit(name).alias("channel"), (1 / (F.lit(RRF) + F.col("rank"))).alias("part")) for name, c in channels.items()))
+def sparse_channel(scores: DataFrame, ids: DataFrame) -> Channel:
+    """The ranking by (qid, doc_id, score): positive scores first, then all other documents by id. A query without a positive score has none.
+
+    The documents without a score are never multiplied with the queries: their ranks follow from their place among all ids, less the
+    documents with a score before them.
+    """
+    scores = checkpointed(scores.where("score > 0").select("qid", "doc_id", F.round("score", 9).alias("score")))
+    live = scores.groupBy("qid").agg(F.count("*").alias("n"))
+
+    def top(r: int) -> DataFrame:
+        best = ranked(scores, r).select("qid", "doc_id", "rank")
+        first = ids.select("doc_id").orderBy("doc_id").limit(r)  # the others that can be among the first r are among these
+        rest = live.where(F.col("n") < r).crossJoin(F.broadcast(first)).join(scores.select("qid", "doc_id"), ["qid", "doc_id"], "left_anti")
+        rest = rest.withColumn("rank", (F.col("n") + F.row_number().over(Window.partitionBy("qid").orderBy("doc_id"))).cast("int"))
+        return best.unionByName(rest.where(F.col("rank") <= r).select("qid", "doc_id", "rank"))
+
+    def ranks(pairs: DataFrame) -> DataFrame:
+        found = checkpointed(pairs.select("qid", "doc_id").join(live, "qid").join(scores, ["qid", "doc_id"], "left"))
+        key = F.struct((-F.col("score")).alias("s"), F.col("doc_id"))
+        asked = found.where("score is not null").groupBy("qid").agg(F.array_sort(F.collect_list(key)).alias("asked"))
+        before = F.size(F.filter("asked", lambda x: x < key))
+        counts = scores.join(asked, "qid").groupBy("qid", before.alias("before")).agg(F.count("*").alias("n"))
+        each = asked.select("qid", F.posexplode("asked").alias("at", "x"))
+        scored = each.join(counts, "qid").where("before <= at").groupBy("qid", "x.doc_id").agg(F.sum("n").cast("int").alias("rank"))
+        blank = found.where("score is null")
+        held = blank.groupBy("qid").agg(F.array_sort(F.collect_list("doc_id")).alias("asked"))
+        under = scores.join(held, "qid").groupBy("qid", F.size(F.filter("asked", lambda x: x < F.col("doc_id"))).alias("before")).agg(F.count("*").alias("under"))
+        spots = held.select("qid", F.posexplode("asked").alias("at", "doc_id")).join(under, "qid", "left").groupBy("qid", "doc_id", "at").agg(F.coalesce(F.sum(F.when(F.col("before") <= F.col("at"), F.col("under"))), F.lit(0)).alias("under"))
+        rest = blank.join(spots, ["qid", "doc_id"]).join(_ordinals(ids), "doc_id").select("qid", "doc_id", (F.col("n") + F.col("nth") - F.col("under") + 1).cast("int").alias("rank"))
+        return scored.unionByName(rest)
+
+    return Channel(top, ranks)
+
+
+def dense_channel(docs: DataFrame, queries: DataFrame) -> Channel:
+    """The ranking by cosine of (doc_id, q) with (qid, q). A query without a positive cosine has none."""
+
+    def top(r: int) -> DataFrame:
+        best = ranked(cosine_scores(docs, queries, r), r)
+        live = best.where("rank = 1 and score > 0").select("qid")
+        return best.join(live, "qid", "left_semi").select("qid", "doc_id", "rank")
+
+    def ranks(pairs: DataFrame) -> DataFrame:
+        return better_counts(docs, queries, pair_cosines(docs, queries, pairs)).select("qid", "doc_id", (F.col("better") + 1).cast("int").alias("rank"))
+
+    return Channel(top, ranks)
+
+
+def rrf(channels: dict[str, Channel], k: int = 10) -> DataFrame:
+    """(qid, doc_id, rank, score): the ``k`` best by the sum of 1 / (RRF + rank) over the channels, each of which ranks all documents.
+
+    With c channels only documents among the first r = c * (RRF + k) - RRF of one can win: any other has at most c / (RRF + r + 1),
+    less than the 1 / (RRF + k) that each of the first ``k`` of a channel has. So the first r of each channel are taken, then the exact
+    ranks of these in the other channels.
+    """
+    depth = len(channels) * (RRF + k) - RRF
+    tops = {name: checkpointed(c.top(depth)) for name, c in channels.items()}
+    chosen = checkpointed(reduce(DataFrame.unionByName, (t.select("qid", "doc_id") for t in tops.values())).distinct())
+    parts = []
+    for name, c in channels.items():
+        live = tops[name].select("qid").distinct()
+        missing = chosen.join(live, "qid", "left_semi").join(tops[name].select("qid", "doc_id"), ["qid", "doc_id"], "left_anti")
+        parts += [tops[name], c.ranks(checkpointed(missing))]
+    rows = reduce(DataFrame.unionByName, (p.select("qid", "doc_id", (1 / (F.lit(RRF) + F.col("rank"))).alias("part")) for p in parts))
     return ranked(rows.groupBy("qid", "doc_id").agg(F.sum("part").alias("score")), k).select("qid", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
@@ -81,6 +161,21 @@ def combine(wanted: DataFrame, unwanted: DataFrame, penalty: float = 0.7, k: int
     return ranked(rows.groupBy("qid", "doc_id").agg(F.sum("score").alias("score")), k).select("qid", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
+def connected(docs: DataFrame, wanted: DataFrame, unwanted: DataFrame, penalty: float = 0.7, k: int = 10) -> DataFrame:
+    """(qid, doc_id, rank, score): cosine with the wanted terms less ``penalty`` times that with the unwanted, over all documents.
+
+    Both are products with a document's unit vector, so their difference is one with the difference of the unit query vectors: a search
+    for one vector a query. ``docs``: (doc_id, q); ``wanted``, ``unwanted``: (qid, q, norm).
+    """
+    unit = lambda df, name, w: df.where("norm > 0").select("qid", F.transform("q", lambda x: F.lit(w) * x / F.sqrt(F.aggregate("q", F.lit(0.0), lambda s, y: s + y.cast("double") * y))).alias(name))
+    both = unit(wanted, "a", 1.0).join(unit(unwanted, "b", -penalty), "qid", "full")
+    mixed = F.when(F.col("b").isNull(), F.col("a")).when(F.col("a").isNull(), F.col("b")).otherwise(F.zip_with("a", "b", lambda x, y: x + y))
+    queries = checkpointed(both.select("qid", mixed.alias("q")))
+    size = queries.select("qid", F.sqrt(F.aggregate("q", F.lit(0.0), lambda s, y: s + y * y)).alias("size"))
+    scores = cosine_scores(docs, queries, k).join(size, "qid").select("qid", "doc_id", (F.col("score") * F.col("size")).alias("score"))
+    return ranked(scores, k).select("qid", "doc_id", "rank", F.round("score", 6).alias("score"))
+
+
 def fuse_ranks(hits: DataFrame, k: int = 10) -> DataFrame:
     """Fusion over sources of (source, id, rank): a key is source and id, so that one id in two sources is two rows."""
     summed = hits.groupBy("source", "id").agg(F.sum(1 / (F.lit(RRF) + F.col("rank"))).alias("score"), F.min("rank").alias("local_rank"))
@@ -108,17 +203,17 @@ def by_source(hits: DataFrame) -> DataFrame:
 
 def confidence(scores: DataFrame, k: int = 10) -> DataFrame:
     """(qid, nqc): deviation of the ``k`` best scores over the size of the mean of all; 0 if that mean is 0."""
-    order = Window.partitionBy("qid").orderBy(F.round("score", 9).desc(), "doc_id")
-    rows = scores.withColumn("rank", F.row_number().over(order))
-    sums = rows.groupBy("qid").agg(F.stddev_pop(F.when(F.col("rank") <= k, F.col("score"))).alias("spread"), F.abs(F.avg("score")).alias("mean"))
-    return sums.select("qid", F.round(F.when(F.col("mean") > 0, F.coalesce("spread", F.lit(0.0)) / F.col("mean")).otherwise(0.0), 6).alias("nqc"))
+    best = ranked(scores, k).groupBy("qid").agg(F.stddev_pop("score").alias("spread"))
+    means = scores.groupBy("qid").agg(F.abs(F.avg("score")).alias("mean"))
+    ratio = F.when(F.col("mean") > 0, F.coalesce("spread", F.lit(0.0)) / F.col("mean")).otherwise(0.0)
+    return means.join(best, "qid", "left").select("qid", F.round(ratio, 6).alias("nqc"))
 
 
 def convex(channels: dict[str, tuple[DataFrame, float]], k: int = 10) -> DataFrame:
-    """(qid, doc_id, rank, score): weighted sum of each channel's z-scores within its query."""
-    per = Window.partitionBy("qid")
+    """(qid, doc_id, rank, score): weighted sum of each channel's z-scores within its query, from one row of moments a query."""
     parts = []
     for scores, weight in channels.values():
-        spread = F.stddev_pop("score").over(per)
-        parts.append(scores.select("qid", "doc_id", (weight * (F.col("score") - F.avg("score").over(per)) / F.when(spread > 1e-12, spread).otherwise(1.0)).alias("score")))
+        moments = scores.groupBy("qid").agg(F.avg("score").alias("mean"), F.stddev_pop("score").alias("spread"))
+        z = weight * (F.col("score") - F.col("mean")) / F.when(F.col("spread") > 1e-12, F.col("spread")).otherwise(1.0)
+        parts.append(scores.join(moments, "qid").select("qid", "doc_id", z.alias("score")))
     return ranked(reduce(DataFrame.unionByName, parts).groupBy("qid", "doc_id").agg(F.sum("score").alias("score")), k).select("qid", "doc_id", "rank", F.round("score", 6).alias("score"))

@@ -14,6 +14,7 @@ from pyspark.sql import types as ST
 from pyspark.sql.pandas.types import to_arrow_type
 
 from corvane.operators import corpus
+from corvane.session import BROADCAST_LIMIT, checkpointed
 
 DIM = 768
 #: Non-zero places of a signature; the first half is +1, the rest -1.
@@ -21,8 +22,8 @@ ACTIVE = 40
 _BLOCKS = 5
 #: Weights are carried as integers of so many steps a unit, so that sums don't depend on their order.
 SCALE = 1_000_000
-#: Queries that one pass over the documents scores, so that what is sent to the executors is bounded.
-QUERY_BLOCK = 2048
+#: Queries that are scored together, as one matrix.
+QUERY_BLOCK = 1024
 
 
 def signature_places(token: Column, dim: int = DIM) -> Column:
@@ -133,91 +134,195 @@ def bind(edges: DataFrame, dim: int = DIM) -> DataFrame:
 def unbind(channel: DataFrame, known: DataFrame, dim: int = DIM, least: float = 0.15) -> DataFrame:
     """(doc_id, role, entity, score): known entities whose cosine with the unturned channel reaches ``least``.
 
-    ``known``: (role, entity). A join on places: each entity has ACTIVE, each document ``dim``; entities that share no place with a
-    document cost nothing.
+    ``known``: (role, entity). Turning a document's vector back for a role is turning the entity's signature forward, so each block of
+    entities is a matrix that a block of documents is multiplied with, and only what reaches ``least`` leaves the task.
     """
-    roles = [r[0] for r in known.select("role").distinct().orderBy("role").collect()]  # a closed class of a few names
-    shift = F.coalesce(*(F.when(F.col("role") == r, F.lit(role_shift(r, dim))) for r in roles)) if roles else F.lit(0)
-    marks = known.distinct().select("role", "entity", shift.alias("turn"), F.posexplode(signature_places(F.col("entity"), dim)).alias("nth", "place"))
-    marks = marks.select("role", "entity", F.pmod(F.col("place") + F.col("turn"), F.lit(dim)).alias("idx"), F.when(F.col("nth") < ACTIVE // 2, 1).otherwise(-1).alias("sign"))
-    values = channel.select("doc_id", "norm", F.posexplode("q").alias("idx", "v")).where("v <> 0")
-    dots = values.join(marks, "idx").groupBy("doc_id", "norm", "role", "entity").agg(F.sum(F.col("v") * F.col("sign")).alias("dot"))
-    score = F.col("dot") / (F.col("norm") * ACTIVE**0.5)
-    return dots.select("doc_id", "role", "entity", score.alias("score")).where(F.col("score") >= least)
-
-
-def _blocks(queries: DataFrame, id_col: str, vec_col: str) -> Iterator[tuple[list, np.ndarray]]:
-    ids, rows = [], []
-    for r in queries.select(id_col, vec_col).orderBy(id_col).toLocalIterator():
-        ids.append(r[0])
-        rows.append(r[1])
-        if len(ids) == QUERY_BLOCK:
-            yield ids, np.array(rows, np.float64)
-            ids, rows = [], []
-    if ids:
-        yield ids, np.array(rows, np.float64)
-
-
-def cosine_scores(docs: DataFrame, queries: DataFrame, k: int | None, doc_id: str = "doc_id", doc_vec: str = "q", query_id: str = "qid", query_vec: str = "q") -> DataFrame:
+    entities = known.distinct().select(F.struct("role", "entity").alias("id"))
+    kind = entities.schema["id"].dataType
+
+    def marked(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for at in range(0, batch.num_rows, QUERY_BLOCK):
+                part = batch.slice(at, QUERY_BLOCK)
+                m = np.zeros((part.num_rows, dim), np.int8)
+                for i, x in enumerate(part.column(0).to_pylist()):
+                    places = signature(x["entity"], dim)
+                    m[i, (places + role_shift(x["role"], dim)) % dim] = _signs(len(places))
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(0)), pa.array([m.tobytes()], pa.binary())], ["q_ids", "q_vecs"])
+
+    blocks = checkpointed(entities.coalesce(64).mapInArrow(marked, ST.StructType([ST.StructField("q_ids", ST.ArrayType(kind)), ST.StructField("q_vecs", ST.BinaryType())])))
+    chunks = _packed(channel.where("norm > 0").select("doc_id", "q"), 1024, "d")
+    held = blocks.agg(F.coalesce(F.sum(F.length("q_vecs")), F.lit(0))).first()[0]
+    pairs = chunks.crossJoin(F.broadcast(blocks) if held <= BROADCAST_LIMIT else blocks)  # block by block, not row by row
+    dkind = channel.schema["doc_id"].dataType
+    out = ST.StructType([ST.StructField("doc_id", dkind), ST.StructField("id", kind), ST.StructField("score", ST.DoubleType())])
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            at = {n: batch.schema.get_field_index(n) for n in batch.schema.names}
+            for i in range(batch.num_rows):
+                ids, docs = batch.column(at["q_ids"])[i].values, batch.column(at["d_ids"])[i].values
+                q, d = (np.frombuffer(batch.column(at[f"{n}_vecs"])[i].as_buffer(), np.int8).reshape(-1, dim).astype(np.float32) for n in "qd")
+                # whole numbers below 2 ** 24, so the products are exact in 32 bits
+                score = (d @ q.T).astype(np.float64) / (np.sqrt((d.astype(np.float64) ** 2).sum(1)) * ACTIVE**0.5)[:, None]
+                a, b = np.nonzero(score >= least)
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([docs.take(pa.array(a)), ids.take(pa.array(b)), pa.array(score[a, b])], ["doc_id", "id", "score"])
+
+    return pairs.mapInArrow(batches, out).select("doc_id", "id.role", "id.entity", "score")
+
+
+_VECTOR = {"tinyint": np.int8, "float": np.float32, "double": np.float64}
+
+
+def _packed(rows: DataFrame, size: int, prefix: str, own: str | None = None) -> DataFrame:
+    """(ids, vecs[, own]) with the prefix: ``size`` rows of (id, vector) to a row, the vectors one after the other in bytes."""
+    ident, vec = rows.columns[:2]
+    kind = np.dtype(_VECTOR[rows.schema[vec].dataType.elementType.simpleString()])
+    fields = [ST.StructField(f"{prefix}_ids", ST.ArrayType(rows.schema[ident].dataType)), ST.StructField(f"{prefix}_vecs", ST.BinaryType())]
+    if own:
+        fields.append(ST.StructField(f"{prefix}_own", ST.ArrayType(rows.schema[own].dataType)))
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for at in range(0, batch.num_rows, size):
+                part = batch.slice(at, size)
+                flat = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(kind)
+                one = lambda c: pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), c)  # noqa: B023, E731
+                columns = [one(part.column(0)), pa.array([flat.tobytes()], pa.binary())]
+                if own:
+                    columns.append(one(part.column(2)))
+                yield pa.RecordBatch.from_arrays(columns, [f.name for f in fields])
+
+    return rows.mapInArrow(batches, ST.StructType(fields))
+
+
+def _cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Cosine of every row of x with every row of y, 0 where either is zero."""
+    scale = np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)[None, :]
+    return np.where(scale > 0, x @ y.T / np.where(scale > 0, scale, 1), 0.0)
+
+
+def _best(score: np.ndarray, k: int) -> list[np.ndarray]:
+    """For each row the places of its ``k`` largest entries, with all that tie with the last of them."""
+    if score.shape[1] <= k:
+        return [np.arange(score.shape[1])] * len(score)
+    least = np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k] - 1e-9
+    return [np.flatnonzero(row >= low) for row, low in zip(score, least)]
+
+
+def cosine_scores(docs: DataFrame, queries: DataFrame, k: int | None, doc_id: str = "doc_id", doc_vec: str = "q", query_id: str = "qid", query_vec: str = "q", own: str | None = None) -> DataFrame:
     """(qid, doc_id, score): cosine of every query with every document, 0 if either is zero; the best ``k`` of each query, ties by id.
 
-    Queries go out in blocks of QUERY_BLOCK, each a matrix product per batch of documents; a task keeps its best ``k`` of a query, so
-    that what is shuffled grows with tasks and queries, not with documents. ``k`` None keeps all.
+    Queries are packed in blocks of QUERY_BLOCK, documents in blocks too, and each pair of blocks is a matrix product; blocks of queries
+    are sent along if they are small, else they meet those of documents task by task. Nothing passes through the driver. A task keeps
+    its best ``k`` of a query, so that what is shuffled grows with tasks and queries, not with documents. ``k`` None keeps all.
+    ``own``: a column of documents with an array of the queries that don't look at this document.
     """
-    kinds = {f.name: f.dataType for f in docs.schema.fields}
-    qkind = queries.schema[query_id].dataType
-    schema = ST.StructType([ST.StructField("qid", qkind), ST.StructField("doc_id", kinds[doc_id]), ST.StructField("score", ST.DoubleType())])
-    spark = docs.sparkSession
-    rows = docs.select(doc_id, doc_vec)
-    qtype, dtype = to_arrow_type(qkind), to_arrow_type(kinds[doc_id])
-
-    def scan(ids: list, matrix: np.ndarray) -> DataFrame:
-        shared = spark.sparkContext.broadcast((ids, matrix))
-
-        def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            names, m = shared.value
-            length = np.linalg.norm(m, axis=1)
-            best: list[list[tuple]] = [[] for _ in names]
-            for batch in it:
-                for at in range(0, batch.num_rows, 1024):
-                    part = batch.slice(at, 1024)
-                    flat = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-                    if not len(flat):
-                        continue
-                    d = flat.reshape(part.num_rows, -1)
-                    scale = np.linalg.norm(d, axis=1)[:, None] * length[None, :]
-                    score = np.where(scale > 0, d @ m.T / np.where(scale > 0, scale, 1), 0.0)
-                    if k is None:
-                        here = part.column(0).take(pa.array(np.tile(np.arange(part.num_rows), len(names))))
-                        yield pa.RecordBatch.from_arrays([pa.array(names, qtype).take(pa.array(np.repeat(np.arange(len(names)), part.num_rows))), here.cast(dtype), pa.array(score.T.ravel())], ["qid", "doc_id", "score"])
-                        continue
-                    docs_here = part.column(0).to_pylist()
-                    for j in range(len(names)):
-                        s = score[:, j]
-                        if len(s) <= k:
-                            some = range(len(s))
-                        else:
-                            some = np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k] - 1e-9)
-                        best[j] = sorted(best[j] + [(-round(float(s[i]), 9), docs_here[i], -float(s[i])) for i in some])[:k]
-            if k is not None:
-                yield _scored(names, best, qtype, dtype)
-
-        return rows.mapInArrow(batches, schema)
-
-    out = None
-    for ids, matrix in _blocks(queries, query_id, query_vec):
-        part = scan(ids, matrix)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return spark.createDataFrame([], schema)
-    return out
-
-
-def _scored(names: list, best: list[list[tuple]], qtype, dtype) -> pa.RecordBatch:
-    q = [n for n, rows in zip(names, best) for _ in rows]
-    d = [r[1] for rows in best for r in rows]
-    s = [-r[-1] for rows in best for r in rows]
-    return pa.RecordBatch.from_arrays([pa.array(q, qtype), pa.array(d, dtype), pa.array(s, pa.float64())], ["qid", "doc_id", "score"])
+    qkind, dkind = queries.schema[query_id].dataType, docs.schema[doc_id].dataType
+    schema = ST.StructType([ST.StructField("qid", qkind), ST.StructField("doc_id", dkind), ST.StructField("score", ST.DoubleType())])
+    qtype, dtype = to_arrow_type(qkind), to_arrow_type(dkind)
+    vector = {n: np.dtype(_VECTOR[df.schema[c].dataType.elementType.simpleString()]) for n, df, c in (("d", docs, doc_vec), ("q", queries, query_vec))}
+    blocks = checkpointed(_packed(queries.where(F.size(query_vec) > 0).select(query_id, query_vec).coalesce(64), QUERY_BLOCK, "q"))
+    rows = docs.where(F.size(doc_vec) > 0).select(doc_id, doc_vec, *([own] if own else []))
+    chunks = _packed(rows, 1024, "d", own)
+    held = blocks.agg(F.coalesce(F.sum(F.length("q_vecs")), F.lit(0))).first()[0]
+    pairs = chunks.crossJoin(F.broadcast(blocks) if held <= BROADCAST_LIMIT else blocks)  # block by block, not row by row
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[object, list[tuple]] = {}
+        for batch in it:
+            at = {n: batch.schema.get_field_index(n) for n in batch.schema.names}
+            for i in range(batch.num_rows):
+                qids, dids = (batch.column(at[f"{n}_ids"])[i].as_py() for n in "qd")
+                q, d = (np.frombuffer(batch.column(at[f"{n}_vecs"])[i].as_buffer(), vector[n]).reshape(len(ids), -1).astype(np.float64) for n, ids in (("q", qids), ("d", dids)))
+                score = _cosines(q, d)
+                if own:
+                    place = {x: j for j, x in enumerate(qids)}
+                    for j, skip in enumerate(batch.column(at["d_own"])[i].as_py()):
+                        for x in skip or ():
+                            if x in place:
+                                score[place[x], j] = -np.inf
+                if k is None:
+                    keep = np.isfinite(score)
+                    a, b = np.nonzero(keep)
+                    yield pa.RecordBatch.from_arrays([pa.array(qids, qtype).take(pa.array(a)), pa.array(dids, dtype).take(pa.array(b)), pa.array(score[a, b])], ["qid", "doc_id", "score"])
+                    continue
+                for j, some in enumerate(_best(score, k)):
+                    found = [(-round(float(score[j, c]), 9), dids[c], float(score[j, c])) for c in some if score[j, c] > -np.inf]
+                    best[qids[j]] = sorted(best.get(qids[j], []) + found)[:k]
+        if best:
+            flat = [(q, x[1], x[2]) for q, found in best.items() for x in found]
+            for lo in range(0, len(flat), 1 << 16):
+                part = list(zip(*flat[lo : lo + (1 << 16)]))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(part, (qtype, dtype, pa.float64()))], ["qid", "doc_id", "score"])
+
+    return pairs.mapInArrow(batches, schema)
+
+
+def pair_cosines(docs: DataFrame, queries: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(qid, doc_id, score): the cosine of given (qid, doc_id), of docs (doc_id, q) and queries (qid, q)."""
+    rows = pairs.select("qid", "doc_id").join(docs.select("doc_id", F.col("q").alias("_d")), "doc_id").join(queries.select("qid", F.col("q").alias("_q")), "qid").select("qid", "doc_id", "_d", "_q")
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            if batch.num_rows:
+                d, q = (batch.column(i).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).astype(np.float64) for i in (2, 3))
+                scale = np.linalg.norm(q, axis=1) * np.linalg.norm(d, axis=1)
+                score = np.where(scale > 0, np.einsum("ij,ij->i", q, d) / np.where(scale > 0, scale, 1), 0.0)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score)], ["qid", "doc_id", "score"])
+
+    return rows.mapInArrow(batches, ST.StructType([rows.schema["qid"], rows.schema["doc_id"], ST.StructField("score", ST.DoubleType())]))
+
+
+def better_counts(docs: DataFrame, queries: DataFrame, asked: DataFrame) -> DataFrame:
+    """(qid, doc_id, better): for given (qid, doc_id, score) how many documents come before by cosine, then id.
+
+    Every block of documents is scored against every block of queries, but only counts leave a task, one for each pair that is asked for.
+    """
+    kept = asked.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct((-F.round("score", 9)).alias("s"), "doc_id"))).alias("asked"))
+    rows = queries.select("qid", "q").join(kept, "qid")
+    qkind, dkind = rows.schema["qid"].dataType, docs.schema["doc_id"].dataType
+    akind = rows.schema["asked"].dataType
+    fields = [ST.StructField("q_ids", ST.ArrayType(qkind)), ST.StructField("q_vecs", ST.BinaryType()), ST.StructField("q_asked", ST.ArrayType(akind))]
+
+    def packed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                bounds = pa.array([0, part.num_rows], pa.int32())
+                flat = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(bounds, part.column(0)), pa.array([flat.tobytes()], pa.binary()), pa.ListArray.from_arrays(bounds, part.column(2))], [f.name for f in fields])
+
+    blocks = checkpointed(rows.select("qid", "q", "asked").coalesce(64).mapInArrow(packed, ST.StructType(fields)))
+    vector = np.dtype(_VECTOR[docs.schema["q"].dataType.elementType.simpleString()])
+    chunks = _packed(docs.where(F.size("q") > 0).select("doc_id", "q"), 1024, "d")
+    held = blocks.agg(F.coalesce(F.sum(F.length("q_vecs")), F.lit(0))).first()[0]
+    pairs = chunks.crossJoin(F.broadcast(blocks) if 4 * held <= BROADCAST_LIMIT else blocks)  # block by block, not row by row
+    out = ST.StructType([ST.StructField("qid", qkind), ST.StructField("doc_id", dkind), ST.StructField("n", ST.LongType())])
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[object, tuple[list, np.ndarray]] = {}
+        for batch in it:
+            at = {n: batch.schema.get_field_index(n) for n in batch.schema.names}
+            for i in range(batch.num_rows):
+                qids, dids = (batch.column(at[f"{n}_ids"])[i].as_py() for n in "qd")
+                q = np.frombuffer(batch.column(at["q_vecs"])[i].as_buffer(), np.float64).reshape(len(qids), -1)
+                d = np.frombuffer(batch.column(at["d_vecs"])[i].as_buffer(), vector).reshape(len(dids), -1).astype(np.float64)
+                score = -np.round(_cosines(q, d), 9)
+                for qid, mine, row in zip(qids, batch.column(at["q_asked"])[i].as_py(), score):
+                    limits = np.array([x["s"] for x in mine])
+                    here = np.searchsorted(np.sort(row), limits)  # strictly better
+                    for j in np.flatnonzero(np.isin(limits, row)):
+                        here[j] += sum(dids[c] < mine[j]["doc_id"] for c in np.flatnonzero(row == limits[j]))
+                    if qid not in counts:
+                        counts[qid] = ([x["doc_id"] for x in mine], np.zeros(len(mine), np.int64))
+                    counts[qid][1][:] += here
+        flat = [(qid, x, int(n)) for qid, (ids, ns) in counts.items() for x, n in zip(ids, ns)]
+        for lo in range(0, len(flat), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(zip(*flat[lo : lo + (1 << 16)]), out.fields)], out.names)
+
+    return pairs.mapInArrow(batches, out).groupBy("qid", "doc_id").agg(F.sum("n").alias("better"))
 
 
 def ranked(scores: DataFrame, k: int, key: str = "qid", ident: str = "doc_id", score: str = "score") -> DataFrame:

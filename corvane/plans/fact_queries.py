@@ -32,7 +32,7 @@ def most_recent_k(spark, d):
 
 
 def ref_join(spark, d):
-    """The orders of every customer without a balance."""
+    """The orders of every customer in debt, the latest first."""
     codes = table(spark, d, "customer").where("c_acctbal < 0").select(F.concat(F.lit("C"), F.lpad(F.col("c_custkey").cast("string"), 7, "0")).alias("ref"))
     return facets.holders(order_paths(spark, d), codes)
 
@@ -68,16 +68,15 @@ def related_entity(spark, d):
 
 
 def multi_hop(spark, d):
-    """From the latest hundred documents to their entities and on to ten others with each."""
+    """From every document to its entities and on to ten others with each."""
     paths = order_paths(spark, d)
-    start = facets.latest(paths, 100).select("doc_id")
-    return relations.siblings(relations.path_edges(paths), start)
+    return relations.siblings(relations.path_edges(paths), paths.select("doc_id"))
 
 
 def bind_unbind(spark, d):
     """Entities read back from the bound vectors of their documents."""
     edges = relations.path_edges(order_paths(spark, d))
-    out = vectors.unbind(vectors.bind(edges), edges.select("role", "entity"), least=0.3)
+    out = vectors.unbind(vectors.bind(edges), edges.select("role", "entity"))
     return out.select("doc_id", "role", "entity", F.round("score", 6).alias("score"))
 
 
@@ -156,15 +155,15 @@ SQL = {
     "types_available": f"with {FACETS} select type, count(*) as n from facets group by 1",
     "undated_gap": f"with {FACETS} select count(*) as n, count(*) filter (date = '0000-00-00') as undated from facets",
     "most_recent_k": f"with {FACETS} select doc_id, type, date from facets where type = 'pdf' and date <> '0000-00-00' order by date desc, doc_id limit 5",
-    "ref_join": f"with {FACETS} select ref, doc_id, type, date from facets join (select 'C' || lpad(c_custkey::varchar, 7, '0') as ref from customer where c_acctbal < 0) using (ref)",
+    "ref_join": f"with {FACETS} select ref, doc_id, type, date, row_number() over (partition by ref order by date desc, doc_id)::int as place from facets join (select 'C' || lpad(c_custkey::varchar, 7, '0') as ref from customer where c_acctbal < 0) using (ref)",
     "recency_blend": _apply(50, 0.3, "false"),
     "exact_ref_boost": _apply(400, 0.0, "coalesce(list_contains(refs, (select ref from top)), false)"),
     "path_entities": f"with {FACETS}, {_EDGES} select * from edges",
     "related_entity": f"""with {FACETS}, {_EDGES}, h as (select doc_id, count(*) as held from edges group by 1),
 s as (select entity, doc_id, round(count(*) / sqrt(any_value(held)), 6) as score from edges join h using (doc_id) where entity in (select entity from edges where role = 'folder') group by all)
 select entity, doc_id, r::int as rank, score from (select *, row_number() over (partition by entity order by score desc, doc_id) as r from s) where r <= 10""",
-    "multi_hop": f"""with {FACETS}, {_EDGES}, st as (select doc_id from facets where date <> '0000-00-00' order by date desc, doc_id limit 100),
-j as (select a.doc_id as start_doc, role, entity, b.doc_id from edges a join st using (doc_id) join edges b using (role, entity) where b.doc_id <> a.doc_id)
+    "multi_hop": f"""with {FACETS}, {_EDGES}, f as (select *, row_number() over (partition by role, entity order by doc_id) as nth from edges),
+j as (select a.doc_id as start_doc, role, entity, b.doc_id from edges a join f b using (role, entity) where nth <= 11 and b.doc_id <> a.doc_id)
 select start_doc, role, entity, doc_id, r::int as rank from (select *, row_number() over (partition by start_doc, role, entity order by doc_id) as r from j) where r <= 10""",
     "belief_latest": f"with {_DAY}, l as (select entity, attribute, list_sort(list(distinct value)) as c, any_value(t) as t from (select *, max(t) over (partition by entity, attribute) as m from facts) where t = m group by all) select entity, attribute, case when len(c) = 1 then c[1] end as value, array_to_string(c, ' ') as candidates, t from l",
     "belief_current": f"""with {_DAY}, {_MARGIN}, j as (select entity, attribute, case when len(candidates) = 1 then candidates[1] end as value, candidates, nearest, second, margin, round(margin, 9) < 0.05 as weak from lat join marg using (entity, attribute))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from functools import reduce
 from uuid import uuid4
@@ -11,10 +12,11 @@ from pyspark.sql import functions as F
 
 from corvane.functions import grammar, questions
 from corvane.functions import text as T
-from corvane.operators import cooc, corpus, facets, relations, retrieve, vectors
+from corvane.operators import cooc, corpus, facets, relations, retrieve, typed, vectors
+from corvane.session import checkpointed
 
 DEFAULTS = {"dim": vectors.DIM, "fragments": 0, "paths": True, "kinds": False, "grids": True, "facets": True, "relations": True, "grammar": False, "pairs": False}
-_TABLES = ("arrays", "counts", "signed", "facets", "edges", "roles", "pairs")
+_TABLES = ("arrays", "counts", "lengths", "signed", "facets", "edges", "roles", "pairs")
 
 
 def _fs(spark: SparkSession, path: str):
@@ -89,7 +91,8 @@ class Index:
             raise ValueError("a doc_id is there twice")
         if self.meta["generations"] and self.arrays().join(arrays.select("doc_id"), "doc_id", "left_semi").limit(1).count():
             raise ValueError("a doc_id is there already")
-        corpus.term_counts(arrays).write.parquet(f"{at}/counts")
+        retrieve.postings(arrays).write.parquet(f"{at}/counts")
+        arrays.select("doc_id", F.size("tokens").alias("dl")).write.parquet(f"{at}/lengths")
         corpus.signed_counts(arrays).write.parquet(f"{at}/signed")
         if o["pairs"]:
             cooc.pair_weights(arrays).write.parquet(f"{at}/pairs")
@@ -117,10 +120,19 @@ class Index:
         return self.table("arrays")
 
     def vocabulary(self) -> DataFrame:
-        return corpus.with_idf(corpus.vocabulary_from_counts(self.table("counts")), self.arrays())
+        return corpus.with_idf(corpus.vocabulary_from_counts(self.table("counts")), self.table("lengths"))
 
     def grids(self) -> DataFrame:
-        return vectors.encode(self.table("signed"), self.vocabulary(), self.arrays(), self.meta["options"]["dim"])
+        """(doc_id, q, norm) with the idf of the index as it is: encoded once for a list of generations, then read."""
+        state = hashlib.sha256("/".join(self.meta["generations"]).encode()).hexdigest()[:16]
+        at = f"{self.path}/grids-{state}"
+        fs, p = _fs(self.spark, at)
+        if not fs.exists(p):
+            _, tmp = _fs(self.spark, f"{at}.{uuid4().hex}")
+            vectors.encode(self.table("signed"), self.vocabulary(), self.table("lengths"), self.meta["options"]["dim"]).write.parquet(tmp.toString())
+            if not fs.rename(tmp, p):
+                fs.delete(tmp, True)
+        return self.spark.read.parquet(at)
 
     def _queries(self, queries: DataFrame, cleaned: bool) -> DataFrame:
         text = questions.clean(F.col("text"))["text"] if cleaned else F.col("text")
@@ -128,62 +140,77 @@ class Index:
         n = self.meta["options"]["fragments"]
         return corpus.unknown_fragments(rows, self.vocabulary(), n) if n else rows
 
-    def _scores(self, queries: DataFrame, k: int | None) -> DataFrame:
+    def _query_grids(self, queries: DataFrame) -> DataFrame:
         arrays = queries.select(F.col("qid").alias("doc_id"), "tokens")
         grids = vectors.encode(corpus.signed_counts(arrays), self.vocabulary(), arrays, self.meta["options"]["dim"])
-        return vectors.cosine_scores(self.grids(), grids.where("norm > 0").select(F.col("doc_id").alias("qid"), "q"), k)
+        return checkpointed(grids.where("norm > 0").select(F.col("doc_id").alias("qid"), "q", "norm"))
 
-    def search(self, queries: DataFrame, k: int = 10, method: str = "bm25", cleaned: bool = False, kind: str | None = None, recency: float = 0.0, codes: list[str] = ()) -> DataFrame:
-        """Hits of (qid, text) by "bm25", "grid", "fusion" of both, "connectors" or "grammar"; facets are applied to the pool if asked.
+    def _bm25(self, queries: DataFrame) -> DataFrame:
+        return retrieve.bm25_from_postings(self.table("counts"), self.table("lengths"), queries)
 
-        Connectors and grammar go with neither types, recency nor codes.
+    def search(self, queries: DataFrame, k: int = 10, method: str = "bm25", cleaned: bool = False, kind: str | None = None, recency: float = 0.0, codes: list[str] = (), rerank: DataFrame | None = None, boost: bool = False) -> DataFrame:
+        """Hits of (qid, text) by "bm25", "grid", "fusion" of both, "typed", "connectors" or "grammar"; facets are applied to the pool if asked.
+
+        ``boost``: documents that hold a code that is in the query come first, each query by its own codes. ``rerank``: scores (qid,
+        doc_id, score) that the first hits are blended with. Connectors, grammar and typed go with neither types, recency nor codes.
         """
         if k < 1:
             raise ValueError("k is at least 1")
-        wants = kind is not None or recency > 0 or bool(codes)
-        if method in ("connectors", "grammar") and wants:
+        wants = kind is not None or recency > 0 or bool(codes) or boost
+        if method in ("connectors", "grammar", "typed") and wants:
             raise ValueError(f"{method} doesn't go with types, recency or codes")
-        pool = facets.pool_size(k, kind is not None, recency > 0, bool(codes))
+        pool = facets.pool_size(k, kind is not None, recency > 0, bool(codes) or boost)
         if method == "bm25":
-            hits = retrieve.bm25_topk(self.arrays(), self._queries(queries, cleaned), pool)
+            hits = vectors.ranked(self._bm25(self._queries(queries, cleaned)), pool).select("qid", "doc_id", "rank", F.round("score", 6).alias("score"))
         elif method == "grid":
-            hits = vectors.ranked(self._scores(self._queries(queries, cleaned), pool), pool).select("qid", "doc_id", "rank", F.round("score", 6).alias("score"))
+            hits = vectors.cosine_topk(self.grids(), self._query_grids(self._queries(queries, cleaned)), pool)
         elif method == "fusion":
             q = self._queries(queries, cleaned)
-            ids = self.arrays().select("doc_id")
-            channels = {"bm25": retrieve.bm25_scores(self.arrays(), q), "grid": self._scores(q, None)}
-            hits = retrieve.rrf({n: retrieve.channel_ranks(s, ids) for n, s in channels.items()}, pool)
+            hits = retrieve.rrf({"bm25": retrieve.sparse_channel(self._bm25(q), self.table("lengths")), "grid": retrieve.dense_channel(self.grids(), self._query_grids(q))}, pool)
         elif method == "connectors":
-            parts = [self._scores(queries.select("qid", T.tokens(questions.wanted(F.col("text"), s)).alias("tokens")), None) for s in (1, -1)]
-            return retrieve.combine(*parts, k=k)
+            wanted, unwanted = (self._query_grids(queries.select("qid", T.tokens(questions.wanted(F.col("text"), s)).alias("tokens"))) for s in (1, -1))
+            return retrieve.connected(self.grids(), wanted, unwanted, k=k)
+        elif method == "typed":
+            counts = self.table("counts").withColumn("grid", typed.grid_of(F.col("token")))
+            q = self._queries(queries, cleaned).select("qid", F.explode("tokens").alias("token")).groupBy("qid", "token").agg(F.count("*").alias("qtf"))
+            return typed.typed_search(counts, self.vocabulary(), q, k)
         elif method == "grammar":
             if self.table("roles") is None:
                 raise ValueError("the index has no grammar")
-            base = self._scores(self._queries(queries, cleaned), None)
+            grids = self._query_grids(self._queries(queries, cleaned))
             asked = queries.select("qid", F.explode(grammar.roles(F.col("text"))).alias("e")).select("qid", "e.role", "e.entity")
-            return grammar_blend(base, self.table("roles"), asked, k)
+            return grammar_blend(self.grids(), grids, self.table("roles"), asked, k)
         else:
             raise ValueError(f"no method {method}")
+        if rerank is not None:
+            hits = retrieve.blend(hits, rerank, k=pool).select("qid", "doc_id", "rank", F.coalesce("blended", "score").alias("score"))
         if not wants:
             return hits
         if self.table("facets") is None:
             raise ValueError("the index has no facets")
-        return facets.apply(hits, self.table("facets"), k, kind, recency, codes)
+        asked = queries.select("qid", T.codes(F.col("text")).alias("codes")) if boost else None
+        return facets.apply(hits, self.table("facets"), k, kind, recency, codes, asked)
 
     def ask(self, queries: DataFrame) -> DataFrame:
         """(qid, text, route): advice on how to answer each question; nothing is done on it."""
         return queries.select("qid", "text", questions.route(F.col("text")).alias("route"))
 
 
-def grammar_blend(base: DataFrame, roles: DataFrame, asked: DataFrame, k: int = 10, share: float = 0.5) -> DataFrame:
-    """(qid, doc_id, rank, score): base score plus ``share`` times the cosine of the sets of (role, entity) of query and document."""
+def grammar_blend(docs: DataFrame, queries: DataFrame, roles: DataFrame, asked: DataFrame, k: int = 10, share: float = 0.5) -> DataFrame:
+    """(qid, doc_id, rank, score): the grid's cosine plus ``share`` times the cosine of the sets of (role, entity) of query and document.
+
+    Only documents with an entity of the query gain by it, so the best are among these and the first ``k`` by the grid alone.
+    """
     d = roles.distinct()
     size = d.groupBy("doc_id").agg(F.sqrt(F.count("*")).alias("dn"))
     q = asked.distinct()
     qsize = q.groupBy("qid").agg(F.sqrt(F.count("*")).alias("qn"))
     both = q.join(d, ["role", "entity"]).groupBy("qid", "doc_id").agg(F.count("*").alias("same")).join(size, "doc_id").join(qsize, "qid")
-    extra = both.select("qid", "doc_id", (share * F.col("same") / (F.col("dn") * F.col("qn"))).alias("score"))
-    rows = base.select("qid", "doc_id", "score").unionByName(extra).groupBy("qid", "doc_id").agg(F.sum("score").alias("score"))
+    extra = checkpointed(both.select("qid", "doc_id", (share * F.col("same") / (F.col("dn") * F.col("qn"))).alias("extra")))
+    first = vectors.ranked(vectors.cosine_scores(docs, queries, k), k).select("qid", "doc_id", "score")
+    base = first.unionByName(vectors.pair_cosines(docs, queries, extra.join(first, ["qid", "doc_id"], "left_anti")))
+    # a query of entities alone has no grid: then these decide
+    rows = base.join(extra, ["qid", "doc_id"], "full").select("qid", "doc_id", (F.coalesce("score", F.lit(0.0)) + F.coalesce("extra", F.lit(0.0))).alias("score"))
     return vectors.ranked(rows, k).select("qid", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 

@@ -8,6 +8,7 @@ from corvane.functions import questions
 from corvane.functions import text as T
 from corvane.operators import corpus, embeddings, evaluate, explain, retrieve, typed, vectors, versions
 from corvane.plans.corpus_queries import GRID, SIGNED
+from corvane.session import checkpointed
 from corvane.plans.tables import BM25, NEG, QRY, STOP, VOC, benchmark_queries, doc_arrays, in_sql, table, texts, top_sql
 
 #: What the single-query reports look for.
@@ -50,18 +51,22 @@ def connector_search(spark, d):
 
 
 def dense_cosine_topk(spark, d):
-    """For every vector the ten nearest others."""
+    """For every vector whose number is divisible by 100 the ten nearest of all others."""
     v = table(spark, d, "embeddings")
-    scores = vectors.cosine_scores(v, v, 11, doc_id="vec_id", doc_vec="embedding", query_id="vec_id", query_vec="embedding").where("qid <> doc_id")
+    scores = vectors.cosine_scores(v, v.where("vec_id % 100 = 0"), 11, doc_id="vec_id", doc_vec="embedding", query_id="vec_id", query_vec="embedding").where("qid <> doc_id")
     return vectors.ranked(scores, 10).select("qid", "doc_id", "rank", F.round("score", 5).alias("score"))
 
 
 def like_document(spark, d):
-    return embeddings.like(table(spark, d, "embeddings"), [0])
+    """What resembles each vector whose number is divisible by 100."""
+    v = table(spark, d, "embeddings")
+    return embeddings.like(v, v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("sid"), "vec_id"))
 
 
 def like_mix(spark, d):
-    return embeddings.like(table(spark, d, "embeddings"), [0, 1, 2])
+    """What resembles the mean of each label's vectors, these left out."""
+    v = table(spark, d, "embeddings")
+    return embeddings.like(v, v.select(F.col("label").alias("sid"), "vec_id"))
 
 
 def _dense_channel(spark, d):
@@ -78,9 +83,9 @@ def rerank_blend(spark, d):
 def rrf_fusion(spark, d):
     """BM25 and the grid, every document ranked by both."""
     a = doc_arrays(spark, d)
-    ids = a.select("doc_id")
-    channels = {"bm25": retrieve.bm25_scores(a, benchmark_queries(spark, d)), "grid": _grid_scores(spark, d, None)}
-    return retrieve.rrf({n: retrieve.channel_ranks(s, ids) for n, s in channels.items()})
+    q = benchmark_queries(spark, d)
+    grids = checkpointed(vectors.document_grids(a))
+    return retrieve.rrf({"bm25": retrieve.sparse_channel(retrieve.bm25_scores(a, q), a), "grid": retrieve.dense_channel(grids, checkpointed(_query_grids(spark, d, a, q)))})
 
 
 def _shards(spark, d):
@@ -132,8 +137,7 @@ def explain_match(spark, d):
 
 def mrr_recall(spark, d):
     """How well BM25 finds the documents that hold an item verbatim."""
-    items, docs = table(spark, d, "benchmark"), texts(spark, d)
-    truth = docs.join(F.broadcast(items.select("item_id", F.col("text").alias("item"))), F.contains(F.col("text"), F.col("item"))).select(F.col("item_id").alias("qid"), "doc_id")
+    truth = evaluate.verbatim(texts(spark, d), table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text"))
     return evaluate.quality(bm25_batch_benchmark(spark, d), truth)
 
 
@@ -142,7 +146,7 @@ def version_groups(spark, d):
     a, q = doc_arrays(spark, d), benchmark_queries(spark, d)
     hits = retrieve.bm25_topk(a, q, 20).select("qid", "doc_id", "rank", F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("date"))
     grids = vectors.document_grids(a).select("doc_id", "q", "norm")
-    return versions.current_versions(hits, versions.similar_pairs(hits.join(grids, "doc_id").select("qid", "doc_id", "q", "norm"), 0.9))
+    return versions.current_versions(hits, versions.similar_pairs(hits.join(grids, "doc_id").select("qid", "doc_id", "q", "norm")))
 
 
 QUERIES = {f.__name__: f for f in (bm25_topk, bm25_batch_benchmark, grid_cosine_topk, connector_search, dense_cosine_topk, like_document, like_mix, rerank_blend, rrf_fusion, meta_rrf, meta_znorm, meta_summary, query_confidence, convex_fusion, typed_search, explain_match, mrr_recall, version_groups)}
@@ -157,11 +161,10 @@ def _bm(name: str, qry: str) -> str:
     return BM25.replace("bm as", f"{name} as").replace("from qry", f"from {qry}")
 
 
-_QGRID = """qarr2 as (select qid as doc_id from qry group by 1),
-qlist as (select qid, token, row_number() over (partition by qid order by pos) as pos from qpos qualify row_number() over (partition by qid order by pos) <= 6),
-qkept as (select * from qlist where token in {neg} or token not in {stop}),
+_QGRID = """qkept as (select * from qpos where token in {neg} or token not in {stop}),
 qlag as (select *, coalesce(lag(token) over (partition by qid order by pos), '') in {neg} as negated from qkept),
-qw as (select qid, token, (case when negated then -1 else 1 end) * round(idf * 1000000)::bigint as w from qlag join voc using (token) where token not in {neg}),
+qsign as (select qid, token, negated, count(*) as tf from qlag where token not in {neg} group by all),
+qw as (select qid, token, (case when negated then -1 else 1 end) * round((1 + ln(tf)) * idf * 1000000)::bigint as w from qsign join voc using (token)),
 qcell as (select qid, place as idx, sum(w * case when r <= 20 then 1 else -1 end)::bigint as v from qw join sig using (token) group by all),
 qgrid as (select qid, idx, round_even(v * 127.0::double / max(abs(v)) over (partition by qid), 0)::int as q from qcell),
 gn as (select doc_id, sqrt(sum(q * q)) as n from grid group by 1), qn as (select qid, sqrt(sum(q * q)) as n from qgrid group by 1),
@@ -187,11 +190,11 @@ SQL = {
     "bm25_batch_benchmark": f"with {VOC}, {QRY}, {BM25} {top_sql('bm', 10)}",
     "grid_cosine_topk": f"with {VOC}, {SIGNED}, {GRID}, {QRY}, {_qgrid()} {top_sql('gs', 10)}",
     "connector_search": f"with {VOC}, {_literal_sql('the thing').replace('qry as', 'q1 as')}, {_literal_sql('of that').replace('qry as', 'q2 as')}, {_bm('b1', 'q1')}, {_bm('b2', 'q2').replace('dl as (select', 'dl2 as (select').replace('join dl ', 'join dl2 ')}, c as (select qid, doc_id, sum(score) as score from (select * from b1 union all select qid, doc_id, -0.7 * score from b2) group by all) {top_sql('c', 10)}",
-    "dense_cosine_topk": f"with s as (select b.vec_id as qid, a.vec_id as doc_id, {_COS} as score from embeddings a, embeddings b where a.vec_id <> b.vec_id) {top_sql('s', 10, digits=5)}",
-    "like_document": f"select a.vec_id as doc_id, row_number() over (order by round({_COS}, 9) desc, a.vec_id)::int as rank, round({_COS}, 6) as score from embeddings a, embeddings b where b.vec_id = 0 and a.vec_id <> 0 order by round({_COS}, 9) desc, a.vec_id limit 10",
-    "like_mix": """with u as (select i, avg(x / n) as x from (select vec_id, unnest(embedding)::double as x, unnest(range(len(embedding))) as i, sqrt(list_sum(list_transform(embedding, lambda e: e::double * e))) as n from embeddings where vec_id in (0, 1, 2)) group by 1),
-m as (select list(x order by i) as v from u), s as (select vec_id as doc_id, list_cosine_similarity(embedding::double[], v) as score from embeddings, m where vec_id not in (0, 1, 2))
-select doc_id, row_number() over (order by round(score, 9) desc, doc_id)::int as rank, round(score, 6) as score from s order by round(score, 9) desc, doc_id limit 10""",
+    "dense_cosine_topk": f"with s as (select b.vec_id as qid, a.vec_id as doc_id, {_COS} as score from embeddings a, embeddings b where b.vec_id % 100 = 0 and a.vec_id <> b.vec_id) {top_sql('s', 10, digits=5)}",
+    "like_document": f"with s as (select b.vec_id as sid, a.vec_id as doc_id, {_COS} as score from embeddings a, embeddings b where b.vec_id % 100 = 0 and a.vec_id <> b.vec_id) select sid, doc_id, r::int as rank, round(score, 6) as score from (select *, row_number() over (partition by sid order by round(score, 9) desc, doc_id) as r from s) where r <= 10",
+    "like_mix": """with u as (select label, i, avg(x / n) as x from (select label, unnest(embedding)::double as x, unnest(range(len(embedding))) as i, sqrt(list_sum(list_transform(embedding, lambda e: e::double * e))) as n from embeddings) group by all),
+m as (select label as sid, list(x order by i) as v from u group by 1), s as (select sid, vec_id as doc_id, list_cosine_similarity(embedding::double[], v) as score from embeddings, m where label <> sid)
+select sid, doc_id, r::int as rank, round(score, 6) as score from (select *, row_number() over (partition by sid order by round(score, 9) desc, doc_id) as r from s) where r <= 10""",
     "rerank_blend": f"""with {VOC}, {QRY}, {BM25}, {_DENSE},
 b as (select *, row_number() over (partition by qid order by round(score, 9) desc, doc_id) as base_rank from bm),
 j as (select b.*, case when base_rank <= 50 then 0.7::double * b.score + (1 - 0.7::double) * coalesce(dense.score, 0) end as blended from b left join dense using (qid, doc_id) where base_rank <= 50)

@@ -28,9 +28,8 @@ def doc_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(qid, tokens): the first six distinct tokens of each benchmark item, as a short query."""
-    items = corpus.token_arrays(table(spark, sf_dir, "benchmark"), id_col="item_id")
-    return items.select(F.col("doc_id").alias("qid"), F.slice(F.array_distinct("tokens"), 1, 6).alias("tokens"))
+    """(qid, tokens): each benchmark item as a query, whole."""
+    return corpus.token_arrays(table(spark, sf_dir, "benchmark"), id_col="item_id").withColumnRenamed("doc_id", "qid")
 
 
 def in_sql(words) -> str:
@@ -46,10 +45,10 @@ n as (select count(*) as n, avg(len(tokens)) as avgdl from arr)"""
 VOC = TOK + """,
 cnt as (select doc_id, token, count(*) as tf from tok group by all),
 voc as (select token, df, cf, ln(1 + n / (1 + df)) as idf from (select token, count(*) as df, sum(tf)::bigint as cf from cnt group by 1), n)"""
-#: qry(qid, token, qtf): benchmark_queries
+#: qpos(qid, pos, token), qry(qid, token, qtf): benchmark_queries
 QRY = f"""qarr as (select item_id as qid, regexp_extract_all(lower(coalesce(text, '')), '{TOKEN}') as tokens from benchmark),
-qpos as (select qid, token, min(pos) as pos from (select qid, unnest(tokens) as token, unnest(range(len(tokens))) as pos from qarr) group by all),
-qry as (select qid, token, 1 as qtf from (select *, row_number() over (partition by qid order by pos) as r from qpos) where r <= 6)"""
+qpos as (select qid, unnest(tokens) as token, unnest(range(len(tokens))) as pos from qarr),
+qry as (select qid, token, count(*) as qtf from qpos group by all)"""
 #: bm(qid, doc_id, score)
 BM25 = """dl as (select doc_id, len(tokens) as dl from arr),
 bm as (select qid, doc_id, sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) as score

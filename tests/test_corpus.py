@@ -120,14 +120,69 @@ def test_confidence(spark):
     assert rows(retrieve.confidence(spark.createDataFrame([], kind))) == []
 
 
-def test_rrf_ranks_every_document(spark):
-    ids = spark.createDataFrame([(i,) for i in range(4)], "doc_id int")
-    kind = "qid int, doc_id int, score double"
-    a = spark.createDataFrame([(1, 3, 2.0), (1, 2, 1.0)], kind)
-    none = spark.createDataFrame([(1, 0, 0.0)], kind)
-    assert rows(retrieve.channel_ranks(a, ids), "rank") == [(1, 3, 1), (1, 2, 2), (1, 0, 3), (1, 1, 4)]
-    assert rows(retrieve.channel_ranks(none, ids)) == []
-    assert [r.doc_id for r in retrieve.rrf({"a": retrieve.channel_ranks(a, ids), "b": retrieve.channel_ranks(none, ids)}).orderBy("rank").collect()] == [3, 2, 0, 1]
+def rrf_by_hand(channels, ids, k):
+    """Every document ranked by every channel that has a positive score."""
+    total = {}
+    for scores in channels:
+        if max(scores.values(), default=0) > 0:
+            order = sorted(ids, key=lambda i: (-round(scores.get(i, 0.0), 9), i))
+            for rank, i in enumerate(order, 1):
+                total[i] = total.get(i, 0.0) + 1 / (60 + rank)
+    return [(i, round(total[i], 6)) for i in sorted(total, key=lambda i: (-round(total[i], 9), i))[:k]]
+
+
+@pytest.mark.parametrize("n", [4, 60, 400])
+def test_rrf_ranks_every_document(spark, n):
+    rng = np.random.default_rng(n)
+    ids = spark.createDataFrame([(i,) for i in range(n)], "doc_id bigint")
+    grids = rng.integers(-3, 4, (n, 6)).astype(np.int8)
+    docs = spark.createDataFrame([(i, g.tolist()) for i, g in enumerate(grids)], "doc_id bigint, q array<tinyint>")
+    asked = rng.integers(-3, 4, (5, 6)).astype(np.int8)
+    asked[3] = 0
+    queries = spark.createDataFrame([(j, q.tolist()) for j, q in enumerate(asked)], "qid bigint, q array<tinyint>")
+    sparse = [{int(i): float(rng.integers(1, 4)) for i in rng.choice(n, int(n * share), replace=False)} for share in (0.9, 0.1, 0.0, 0.5, 1.0)]
+    scores = spark.createDataFrame([(j, i, s) for j, found in enumerate(sparse) for i, s in found.items()], "qid bigint, doc_id bigint, score double")
+    got = {}
+    for r in retrieve.rrf({"a": retrieve.sparse_channel(scores, ids), "b": retrieve.dense_channel(docs, queries)}, 5).orderBy("qid", "rank").collect():
+        got.setdefault(r.qid, []).append((r.doc_id, r.score))
+    for j in range(5):
+        length = np.linalg.norm(grids.astype(float), axis=1) * np.linalg.norm(asked[j].astype(float))
+        cosine = dict(enumerate(np.where(length > 0, grids.astype(float) @ asked[j] / np.where(length > 0, length, 1), 0.0).tolist()))
+        assert got.get(j, []) == rrf_by_hand([sparse[j], cosine], range(n), 5), j
+
+
+def test_connected_queries_are_differences_of_cosines(spark):
+    rng = np.random.default_rng(2)
+    grids, a, b = rng.integers(-9, 9, (50, 4)), rng.integers(-9, 9, (3, 4)), rng.integers(-9, 9, (3, 4))
+    frame = lambda m, name: spark.createDataFrame([(i, v.tolist(), float(np.linalg.norm(v))) for i, v in enumerate(m)], f"{name} bigint, q array<tinyint>, norm double")
+    got = retrieve.connected(frame(grids, "doc_id"), frame(a, "qid"), frame(b[:2], "qid"), k=50).collect()
+    cos = lambda x, y: x @ y / np.linalg.norm(x) / np.linalg.norm(y)
+    assert len(got) == 150
+    for r in got:
+        want = cos(grids[r.doc_id], a[r.qid]) - (0.7 * cos(grids[r.doc_id], b[r.qid]) if r.qid < 2 else 0)
+        assert abs(r.score - want) < 1e-5
+
+
+def test_blocks_of_queries(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 7)
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((90, 5))
+    v = spark.createDataFrame([(f"v{i:02}", r.tolist()) for i, r in enumerate(x)], "doc_id string, q array<double>").repartition(5)
+    cos = (x / np.linalg.norm(x, axis=1)[:, None]) @ (x / np.linalg.norm(x, axis=1)[:, None]).T
+    for limit in (16 << 20, 0):
+        monkeypatch.setattr(vectors, "BROADCAST_LIMIT", limit)
+        got = {}
+        for r in vectors.cosine_topk(v, v.withColumnRenamed("doc_id", "qid"), 4).orderBy("qid", "rank").collect():
+            got.setdefault(r.qid, []).append(r.doc_id)
+        assert got == {f"v{i:02}": [f"v{j:02}" for j in np.argsort(-cos[i], kind="stable")[:4]] for i in range(90)}
+    assert vectors.cosine_scores(v, v.withColumnRenamed("doc_id", "qid"), None).count() == 8100
+
+
+def test_verbatim_items(spark):
+    docs = spark.createDataFrame([(1, "an item here, and the other"), (2, "the other"), (3, None), (4, "an ITEM here")], "doc_id int, text string")
+    items = spark.createDataFrame([("a", "an item here"), ("b", "the other"), ("c", "the other"), ("d", ""), ("e", None)], "qid string, text string")
+    assert rows(evaluate.verbatim(docs, items)) == [("a", 1), ("b", 1), ("b", 2), ("c", 1), ("c", 2)]
+    assert evaluate.verbatim(docs, items.limit(0)).collect() == []
 
 
 def test_blend_and_connectors(spark):
@@ -162,10 +217,8 @@ def test_embeddings(spark):
     cells = {r.token: r.cell for r in embeddings.word_map(two, side=4, rounds=8).collect()}
     assert not {cells[str(i)] for i in range(0, 60, 2)} & {cells[str(i)] for i in range(1, 60, 2)}
     v = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0])], "vec_id int, embedding array<double>")
-    assert [r.doc_id for r in embeddings.like(v, [0, 1]).collect()] == [2]
-    for bad in ([], [0, 0], [99]):
-        with pytest.raises(ValueError):
-            embeddings.like(v, bad)
+    sets = spark.createDataFrame([("both", 0), ("both", 1), ("both", 1), ("one", 2), ("none", 99)], "sid string, vec_id int")
+    assert rows(embeddings.like(v, sets)) == [("both", 2, 1, 1.0), ("one", 0, 1, 0.707107), ("one", 1, 2, 0.707107)]
 
 
 def test_diff(spark, arrays):
