@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 DIM = 1024
@@ -95,16 +95,38 @@ def calibrate(facts: DataFrame, alpha: float = 0.05, least_slots: int = 30, gamm
     )
 
 
-def resolve(beliefs: DataFrame, evidence: DataFrame, least: float = 0.05) -> DataFrame:
+def resolve(beliefs: DataFrame, evidence: DataFrame, least: float = 0.05, asked: DataFrame | None = None) -> DataFrame:
     """(entity, attribute, status, value, margin): contested beliefs settled by ``evidence`` (entity, attribute, value, score).
 
-    A value's evidence is the sum of its three best scores. "clear" without need, "resolved" if the best leads by ``least``, else "undecided".
+    A value's evidence is the sum of its three best scores. "clear" without need, "resolved" if the best is positive and leads by
+    ``least``, else "undecided". ``asked``: (entity, attribute); one that has no belief is "unknown".
     """
     top = Window.partitionBy(*_SLOT, "value").orderBy(F.desc("score"))
     sums = evidence.withColumn("r", F.row_number().over(top)).where("r <= 3").groupBy(*_SLOT, "value").agg(F.round(F.sum("score"), 4).alias("proof"))
     order = Window.partitionBy(*_SLOT).orderBy(F.desc("proof"), "value")
     best = sums.withColumn("r", F.row_number().over(order)).where("r <= 2").groupBy(*_SLOT).agg(F.max(F.when(F.col("r") == 1, F.col("value"))).alias("proved"), F.max(F.when(F.col("r") == 1, F.col("proof"))).alias("first"), F.coalesce(F.max(F.when(F.col("r") == 2, F.col("proof"))), F.lit(0.0)).alias("next"))
-    rows = beliefs.join(best, _SLOT, "left")
+    held = beliefs.select(*_SLOT, "value", "to_clarify")
+    if asked is not None:
+        held = asked.select(*_SLOT).distinct().join(held, _SLOT, "left")
+    rows = held.join(best, _SLOT, "left")
     margin = F.round(F.coalesce("first", F.lit(0.0)) - F.coalesce("next", F.lit(0.0)), 4)
-    status = F.when(~F.col("to_clarify"), "clear").when((F.coalesce("first", F.lit(0.0)) > 0) & (margin >= least), "resolved").otherwise("undecided")
+    status = F.when(F.col("to_clarify").isNull(), "unknown").when(~F.col("to_clarify"), "clear").when((F.coalesce("first", F.lit(0.0)) > 0) & (margin >= least), "resolved").otherwise("undecided")
     return rows.select(*_SLOT, status.alias("status"), F.when(status == "resolved", F.col("proved")).otherwise(F.col("value")).alias("value"), margin.alias("margin"))
+
+
+def reasserted(facts: DataFrame, resolved: DataFrame) -> DataFrame:
+    """``facts`` and, for each slot that ``resolve`` settled, its value once more at the slot's last t + 1."""
+    last = facts.groupBy(*_SLOT).agg((F.max("t") + 1).alias("t"))
+    new = resolved.where("status = 'resolved'").select(*_SLOT, "value").join(last, _SLOT).select(*_SLOT, "value", "t")
+    return facts.select(*_SLOT, "value", "t").unionByName(new)
+
+
+def store(facts: DataFrame, path: str) -> None:
+    """Adds facts to a folder of JSON lines; bundles are never stored, they follow from the facts."""
+    facts.select(*_SLOT, "value", F.col("t").cast("double").alias("t")).write.mode("append").json(path)
+
+
+def stored(spark: SparkSession, path: str) -> DataFrame:
+    """The facts of such a folder; lines that are none are passed over."""
+    rows = spark.read.schema("entity string, attribute string, value string, t double").option("mode", "DROPMALFORMED").json(path)
+    return rows.where("entity is not null and attribute is not null and value is not null and t is not null")

@@ -120,6 +120,28 @@ def merge_lexicons(core: DataFrame, extra: DataFrame) -> DataFrame:
     return core.unionByName(extra.join(core.select("key"), "key", "left_anti").select("key", "value"))
 
 
+def import_dictionary(rows: DataFrame, core: DataFrame, excluded: Iterable[str] = (), longest: int = 4, least: float = 0.0) -> DataFrame:
+    """(key, value) joined by "_", from a bilingual dictionary of (word, translations, score), translations with " | " between.
+
+    Rows under ``least`` aren't read. Of a word's rows the one with most score counts, then the first by translations; of these the first
+    translation. Keys and values are ``longest`` tokens at most, of signs that texts have. Single words of ``excluded``, keys of ``core``
+    (key, value) and single words that some translation holds, unless they translate to themselves, are left out.
+    """
+    def clean(c: Column) -> Column:
+        words = F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != "")
+        found = T.tokens(F.array_join(words, " "))
+        return F.when((F.size(words) > 0) & (F.size(words) <= longest) & (found == words), words)
+
+    read = rows.where(F.col("score") >= least).select("word", "translations", "score", clean(F.col("word")).alias("key"), F.split("translations", r"\|").alias("all"))
+    foreign = read.select(F.explode("all").alias("t")).select(F.explode(clean(F.trim("t"))).alias("_foreign")).distinct()
+    read = read.withColumn("value", clean(F.trim(F.col("all")[0]))).where("key is not null and value is not null")
+    single = F.size("key") == 1
+    read = read.where(~(single & F.col("key")[0].isin(list(excluded)))) if excluded else read
+    read = read.select(F.array_join("key", "_").alias("key"), F.array_join("value", "_").alias("value"), F.when(single, F.col("key")[0]).alias("_word"), "word", "score", "translations")
+    read = read.join(core.select("key"), "key", "left_anti").join(foreign, F.col("_word") == F.col("_foreign"), "left").where(F.col("_foreign").isNull() | (F.col("key") == F.col("value")))
+    return read.groupBy("key").agg(F.min_by("value", F.struct("word", -F.col("score"), "translations")).alias("value"))
+
+
 def canonical(arrays: DataFrame, entries: Iterable[tuple[list[str], list[str]]], longest: int = 4) -> DataFrame:
     """(doc_id, tokens) with lexicon keys replaced, from left to right, the longest window of up to ``longest`` tokens first.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.operators import cooc, corpus
@@ -20,17 +20,23 @@ def document_changes(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def word_changes(before: DataFrame, after: DataFrame) -> DataFrame:
-    """(token, change): appeared or vanished. Both: (doc_id, tokens)."""
-    a, b = (x.select(F.explode("tokens").alias("token")).distinct() for x in (before, after))
-    new = b.join(a, "token", "left_anti").select("token", F.lit("appeared").alias("change"))
-    return new.unionByName(a.join(b, "token", "left_anti").select("token", F.lit("vanished").alias("change")))
+    """(token, change): appeared or vanished. Both: (doc_id, tokens), read once each."""
+    sides = [x.select(F.explode("tokens").alias("token")).distinct().withColumn("side", F.lit(s)) for x, s in ((before, 1), (after, 2))]
+    held = sides[0].unionByName(sides[1]).groupBy("token").agg(F.sum("side").alias("held"))
+    return held.where("held < 3").select("token", F.when(F.col("held") == 1, "vanished").otherwise("appeared").alias("change"))
 
 
 def collocation_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     """(a, b, change): collocations born or dead."""
-    x, y = corpus.collocations(before).select("a", "b"), corpus.collocations(after).select("a", "b")
-    born = y.join(x, ["a", "b"], "left_anti").withColumn("change", F.lit("born"))
-    return born.unionByName(x.join(y, ["a", "b"], "left_anti").withColumn("change", F.lit("dead")))
+    sides = [corpus.collocations(x).select("a", "b", F.lit(s).alias("side")) for x, s in ((before, 1), (after, 2))]
+    held = sides[0].unionByName(sides[1]).groupBy("a", "b").agg(F.sum("side").alias("held"))
+    return held.where("held < 3").select("a", "b", F.when(F.col("held") == 1, "dead").otherwise("born").alias("change"))
+
+
+def in_order(changes: DataFrame, key: str = "change", *by) -> DataFrame:
+    """``changes`` with place, its number in the list of its kind: by ``by``, else by the other columns, as a report shows it."""
+    order = by or [c for c in changes.columns if c != key]
+    return changes.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
 
 
 def usage(before: DataFrame, after: DataFrame, least_df: int = LEAST_DF) -> DataFrame:

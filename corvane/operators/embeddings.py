@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words that the driver may hold for a decomposition or a map.
+#: Words that the driver may hold for a decomposition.
 MAX_TRAINED = 20_000
 
 
@@ -23,6 +23,51 @@ def from_text(lines: DataFrame, keep: int | None = None) -> DataFrame:
     return (first.orderBy("line_no").limit(keep) if keep else first).select("word", "vec")
 
 
+def digest(table: DataFrame) -> str:
+    """A number of (word, vec) that doesn't depend on the order of rows, as hexadecimal digits."""
+    row = F.xxhash64("word", "vec").cast("decimal(38,0)")
+    n, total = table.agg(F.count("*"), F.coalesce(F.sum(row), F.lit(0).cast("decimal(38,0)"))).first()
+    return hashlib.sha256(f"{n}:{int(total)}".encode()).hexdigest()
+
+
+def write_table(table: DataFrame, path: str, removed: int = 0) -> None:
+    """(word, vec) as Parquet, with its digest and how many common directions were ``removed`` from it."""
+    table.select("word", "vec").write.parquet(f"{path}/vectors")
+    spark = table.sparkSession
+    stored = spark.read.parquet(f"{path}/vectors")
+    spark.createDataFrame([(digest(stored), removed)], "digest string, removed int").coalesce(1).write.parquet(f"{path}/about")
+
+
+def open_table(spark, path: str, removed: int = 0, check: bool = True) -> DataFrame:
+    """(word, vec) of ``write_table``; refused if other directions were removed than ``removed``, or the vectors aren't those written."""
+    about = spark.read.parquet(f"{path}/about").first()
+    table = spark.read.parquet(f"{path}/vectors")
+    if about.removed != removed:
+        raise ValueError(f"the table has {about.removed} common directions removed, not {removed}")
+    if check and digest(table) != about.digest:
+        raise ValueError("the vectors aren't those that were written")
+    return table
+
+
+def text_vectors(docs: DataFrame, encoder, text: str = "text") -> DataFrame:
+    """(doc_id, vec): unit vectors of texts by ``encoder``, a function of a list of texts that gives a row of numbers for each.
+
+    The numbers pass through 16 bits, as they are kept so. A null text counts as empty; a zero row stays zero.
+    """
+
+    @F.pandas_udf("array<float>")
+    def encoded(column):
+        import pandas as pd
+
+        if not len(column):
+            return pd.Series([], dtype=object)
+        v = np.asarray(encoder(["" if t is None else t for t in column]), np.float64)
+        n = np.linalg.norm(v, axis=1, keepdims=True)
+        return pd.Series(list((v / np.where(n > 0, n, 1)).astype(np.float16).astype(np.float32)))
+
+    return docs.select("doc_id", encoded(text).alias("vec"))
+
+
 def unit(v: Column) -> Column:
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
     return F.transform(v, lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0)))
@@ -108,7 +153,9 @@ def nearest(table: DataFrame, asked: DataFrame, k: int = 10) -> DataFrame:
 
 
 def smoothed(vectors: np.ndarray, rank: int, oversample: int = 10, seed: int = 7) -> np.ndarray:
-    """The best approximation of ``rank`` by a randomized range finder; rank <= 0 gives the rows back."""
+    """The best approximation of ``rank`` by a randomized range finder; rank <= 0 gives the rows back. MAX_TRAINED rows at most."""
+    if len(vectors) > MAX_TRAINED:
+        raise ValueError(f"{len(vectors)} words are more than the driver may hold; {MAX_TRAINED} at most")
     if rank <= 0 or not len(vectors):
         return vectors
     rng = np.random.default_rng(seed)

@@ -16,6 +16,8 @@ from corvane.session import checkpointed, join_checked
 K1, B = 1.5, 0.75
 #: Constant of reciprocal-rank fusion.
 RRF = 60
+#: Hits of the base order that ``blend`` goes into.
+DEPTH = 50
 
 
 def postings(arrays: DataFrame) -> DataFrame:
@@ -141,7 +143,7 @@ def rrf(channels: dict[str, Channel], k: int = 10) -> DataFrame:
     return ranked(rows.groupBy("qid", "doc_id").agg(F.sum("part").alias("score")), k).select("qid", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
-def blend(base: DataFrame, other: DataFrame, depth: int = 50, share: float = 0.7, k: int = 10) -> DataFrame:
+def blend(base: DataFrame, other: DataFrame, depth: int = DEPTH, share: float = 0.7, k: int = 10) -> DataFrame:
     """(qid, doc_id, rank, score, blended): within the first ``depth`` of base order share * base + (1 - share) * other; the rest as it was.
 
     ``base``: (qid, doc_id, score), ``other`` likewise; a document that other lacks has 0 there.

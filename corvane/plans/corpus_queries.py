@@ -8,6 +8,7 @@ from corvane.functions import grammar, questions
 from corvane.functions import text as T
 from corvane.operators import cooc, corpus, diff, evaluate, explain, typed, vectors
 from corvane.plans.tables import FACETS, NEG, STOP, TOK, VOC, benchmark_queries, doc_arrays, order_paths, table, texts
+from corvane.session import checkpointed
 
 #: A small lexicon of the words that the tables hold.
 LEXICON = {"error": "fault", "purchase": "sale", "la": "le", "est": "être", "is": "be", "the": "a", "and": "et"}
@@ -138,9 +139,10 @@ def semantic_diff_inventory(spark, d):
     """Two states of the corpus: a tenth of the documents went, another tenth came."""
     before, after = _halves(spark, d)
     docs = diff.document_changes(before, after).select(F.col("doc_id").cast("string").alias("what"), "change")
-    words = diff.word_changes(corpus.token_arrays(before), corpus.token_arrays(after)).select(F.col("token").alias("what"), "change")
-    pairs = diff.collocation_changes(corpus.token_arrays(before), corpus.token_arrays(after)).select(F.concat_ws(" ", "a", "b").alias("what"), "change")
-    return docs.unionByName(words).unionByName(pairs)
+    a, b = (checkpointed(corpus.token_arrays(x)) for x in (before, after))  # tokens are made once and read several times
+    words = diff.word_changes(a, b).select(F.col("token").alias("what"), "change")
+    pairs = diff.collocation_changes(a, b).select(F.concat_ws(" ", "a", "b").alias("what"), "change")
+    return diff.in_order(docs.unionByName(words).unionByName(pairs))
 
 
 def usage_drift(spark, d):
@@ -151,8 +153,35 @@ def company_drift(spark, d):
     return diff.company(*(corpus.token_arrays(x) for x in _halves(spark, d)))
 
 
+#: Clauses and the roles in them, beside the documents, which hold few.
+CLAUSES = {
+    "le filtre est en amont du compteur": (("amont", "filtre"), ("aval", "compteur")),
+    "le compteur est en amont du filtre": (("amont", "compteur"), ("aval", "filtre")),
+    "le toit est en aval du mur": (("aval", "toit"), ("amont", "mur")),
+    "une porte sans serrure": (("absent", "serrure"),),
+    "la porte et le mur": (),
+}
+
+
 def grammar_roles(spark, d):
-    return texts(spark, d).select("doc_id", F.explode(grammar.roles(F.col("text"))).alias("e")).select("doc_id", "e.role", "e.entity")
+    """Who does what in the documents, and in clauses numbered -1, -2, ..."""
+    clauses = spark.createDataFrame([(-i, c) for i, c in enumerate(CLAUSES, 1)], "doc_id bigint, text string")
+    rows = texts(spark, d).unionByName(clauses)
+    return rows.select("doc_id", F.explode(grammar.roles(F.col("text"))).alias("e")).select("doc_id", "e.role", "e.entity")
+
+
+def identity_card(spark, d):
+    """The concepts of each document, without noise and what is common in its source."""
+    terms = explain.top_terms(doc_arrays(spark, d))
+    noise = explain.boilerplate(terms.join(table(spark, d, "documents").select("doc_id", "source"), "doc_id"), "source", 0.05)
+    return explain.identity_card(terms, noise.select("token").distinct()).select("doc_id", F.array_join("concepts", " ").alias("concepts"))
+
+
+def explain_document(spark, d):
+    """For every document whose number is divisible by 100 the twenty words nearest to its grid."""
+    a = doc_arrays(spark, d)
+    grids = vectors.document_grids(a).where("doc_id % 100 = 0")
+    return explain.nearest_words(grids, a.select(F.explode("tokens").alias("token")))
 
 
 def index_stats(spark, d):
@@ -167,7 +196,7 @@ def near_words(spark, d):
     return explain.near_words(cooc.ppmi(cooc.pair_weights(a)), vocab, a.count(), asked)
 
 
-QUERIES = {f.__name__: f for f in (tokenize_counts, doc_length_stats, path_tokens, vocab_df_idf, collocations_pmi, collocation_merge, char_ngrams, unknown_term_fallback, lexicon_canonical_unigram, signed_term_counts, query_clean, query_route, doc_refs, path_dates, type_facet, cooccurrence_pairs, ppmi_top_neighbors, hash_signature, grid_encode_quantize, typed_grid_routing, heatmap, boilerplate_terms, top_terms, held_out_queries, semantic_diff_inventory, usage_drift, company_drift, grammar_roles, index_stats, near_words)}
+QUERIES = {f.__name__: f for f in (tokenize_counts, doc_length_stats, path_tokens, vocab_df_idf, collocations_pmi, collocation_merge, char_ngrams, unknown_term_fallback, lexicon_canonical_unigram, signed_term_counts, query_clean, query_route, doc_refs, path_dates, type_facet, cooccurrence_pairs, ppmi_top_neighbors, hash_signature, grid_encode_quantize, typed_grid_routing, heatmap, boilerplate_terms, top_terms, held_out_queries, semantic_diff_inventory, usage_drift, company_drift, grammar_roles, index_stats, near_words, identity_card, explain_document)}
 
 
 def _pairs_sql(src: str, out: str) -> str:
@@ -286,9 +315,26 @@ select source, token, n, "of" from (select source, token, count(distinct doc_id)
 r as (select *, row_number() over (partition by doc_id order by round(tf * idf, 9) desc, token) as r from h join voc using (token))
 select doc_id, string_agg(token, ' ' order by r) as query from r where r <= 6 group by 1""",
     "semantic_diff_inventory": f"""with {_STATES}, {_colloc_sql('t1', 'c1')}, {_colloc_sql('t2', 'c2')}
-select doc_id::varchar as what, case when doc_id % 10 = 0 then 'added' else 'removed' end as change from documents where doc_id % 10 in (0, 1)
+select *, row_number() over (partition by change order by what)::int as place from (select doc_id::varchar as what, case when doc_id % 10 = 0 then 'added' else 'removed' end as change from documents where doc_id % 10 in (0, 1)
 union all select token, 'appeared' from (select token from t2 except select token from t1) union all select token, 'vanished' from (select token from t1 except select token from t2)
-union all select a || ' ' || b, 'born' from (select a, b from c2 except select a, b from c1) union all select a || ' ' || b, 'dead' from (select a, b from c1 except select a, b from c2)""",
+union all select a || ' ' || b, 'born' from (select a, b from c2 except select a, b from c1) union all select a || ' ' || b, 'dead' from (select a, b from c1 except select a, b from c2))""",
+    "grammar_roles": "select * from (values " + ", ".join(f"(-{i}::bigint, '{r}', '{e}')" for i, found in enumerate(CLAUSES.values(), 1) for r, e in found) + ") v(doc_id, role, entity)",
+    "identity_card": f"""with {VOC}, w as (select doc_id, token, round((1 + ln(tf)) * idf, 6) as weight from cnt join voc using (token) where token not in {STOP}),
+t as (select * from (select *, row_number() over (partition by doc_id order by weight desc, token) as r from w) where r <= 20), s as (select source, count(*) as docs from documents where doc_id in (select doc_id from t) group by 1),
+b as (select distinct token from (select source, token, count(distinct doc_id) as n from t join documents using (doc_id) group by all) join s using (source) where docs >= 2 and n > 0.05 * docs),
+m as (select *, token in (select token from b) or length(token) < 3 or regexp_matches(token, '^[0-9.,%€-]+$') as gone from t),
+k as (select *, row_number() over (partition by doc_id order by gone, r) as place from m)
+select doc_id, string_agg(token, ' ' order by place) as concepts from k where place <= 8 and (not gone or place <= 3) group by 1""",
+    "explain_document": f"""with {VOC}, {SIGNED}, {GRID}, gn as (select doc_id, sqrt(sum(q * q)) as n from grid where doc_id % 100 = 0 group by 1 having sum(q * q) > 0),
+s as (select g.doc_id, token, sum(g.q * case when r <= 20 then 1 else -1 end) / (any_value(n) * sqrt(40)) as score from grid g join gn using (doc_id) join sig on place = idx group by all)
+select doc_id, token, r::int as rank, round(score, 6) as score from (select *, row_number() over (partition by doc_id order by round(score, 9) desc, token) as r from s) where r <= 20""",
+    "near_words": f"""with {VOC}, {_pairs_sql('tok', 'p')}, {_ppmi_sql('p', 's')}, q0 as (select distinct unnest(regexp_extract_all(lower(coalesce(text, '')), '{T.TOKEN}')) as token from benchmark),
+b as (select a as token, b as other, ppmi from s union all select b, a, ppmi from s where a <> b), nrm as (select token, sqrt(sum(ppmi * ppmi)) as norm, count(*) as partners from b group by 1),
+u as (select nrm.token, norm from nrm join voc using (token), n where df <= 0.4 * n and partners <= (select quantile_cont(partners, 0.85) from nrm) and nrm.token not in {STOP}),
+q as (select token as asked, other, ppmi as x from b where token in (select token from q0)),
+d as (select asked, b.token, sum(x * ppmi) as dot from q join b using (other) where b.token <> asked group by all),
+r as (select asked as token, d.token as near, round(dot / (u.norm * nrm.norm), 6) as score from d join u on u.token = d.token join nrm on nrm.token = asked)
+select token, near, r::int as rank, score from (select *, row_number() over (partition by token order by score desc, near) as r from r) where r <= 10""",
     "usage_drift": f"""with {_STATES}, a as (select token, count(distinct doc_id) as df_before from t1 group by 1), b as (select token, count(distinct doc_id) as df_after from t2 group by 1)
 select token, df_before, df_after, round((df_after - df_before) / greatest(df_before, df_after), 6) as ratio from a join b using (token) where greatest(df_before, df_after) >= 3 and df_before <> df_after""",
     "company_drift": f"""with {_STATES}, {_pairs_sql('t1', 'p1')}, {_ppmi_sql('p1', 's1')}, {_pairs_sql('t2', 'p2')}, {_ppmi_sql('p2', 's2')},

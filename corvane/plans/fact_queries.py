@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text as T
 from corvane.operators import belief, facets, relations, retrieve, vectors
-from corvane.plans.tables import BM25, FACETS, VOC, doc_arrays, order_paths, table
+from corvane.plans.tables import BM25, FACETS, QRY, VOC, benchmark_queries, doc_arrays, order_paths, table, top_sql
+from corvane.plans.corpus_queries import _SIG
 from corvane.plans.ranking_queries import ASKED, _literal, _literal_sql
 
 
@@ -57,6 +58,13 @@ def exact_ref_boost(spark, d):
     return facets.apply(retrieve.bm25_topk(doc_arrays(spark, d), _literal(spark, ASKED), pool), f, 10, codes=[top[0]] if top else [])
 
 
+def empty_filter_report(spark, d):
+    """For each benchmark query without a document of source src0 among the best ten: what there is instead."""
+    hits = retrieve.bm25_topk(doc_arrays(spark, d), benchmark_queries(spark, d), 10)
+    out = facets.empty_filter_report(hits, _doc_facets(spark, d), "src0")
+    return out.select("qid", "n", "first_doc", F.array_join(F.transform("types", lambda t: F.concat_ws(":", t["type"], t["n"].cast("string"))), " ").alias("types"))
+
+
 def path_entities(spark, d):
     return relations.path_edges(order_paths(spark, d)).select("doc_id", "role", "entity")
 
@@ -107,13 +115,21 @@ def belief_calibration(spark, d):
     return belief.calibrate(_facts(spark, d))
 
 
+def belief_resolve(spark, d):
+    """Contested beliefs settled by the values of events as evidence, and two slots of which nothing is known."""
+    facts = _facts(spark, d, True)
+    proof = table(spark, d, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("entity"), F.lit("last_event").alias("attribute"), F.col("event_type").alias("value"), F.round("value", 4).alias("score")).where("score is not null")
+    none = spark.createDataFrame([("nobody", "last_event"), ("u1", "colour")], "entity string, attribute string")
+    return belief.resolve(belief.current(facts), proof, asked=facts.select("entity", "attribute").unionByName(none))
+
+
 def html_to_text(spark, d):
     """Pages without scripts, styles, comments and tags."""
     bare = F.regexp_replace("html", r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->|<[^>]+>", " ")
     return table(spark, d, "pages").select("page_id", F.trim(F.regexp_replace(bare, r"[ \t\r\n]+", " ")).alias("text"))
 
 
-QUERIES = {f.__name__: f for f in (count_filtered, count_by_month, types_available, undated_gap, most_recent_k, ref_join, recency_blend, exact_ref_boost, path_entities, related_entity, multi_hop, bind_unbind, belief_latest, belief_current, belief_history, belief_recency_weight, belief_calibration, html_to_text)}
+QUERIES = {f.__name__: f for f in (count_filtered, count_by_month, types_available, undated_gap, most_recent_k, ref_join, recency_blend, exact_ref_boost, path_entities, related_entity, multi_hop, bind_unbind, belief_latest, belief_current, belief_history, belief_recency_weight, belief_calibration, belief_resolve, empty_filter_report, html_to_text)}
 
 _BARE = "regexp_replace(t, '[^0-9A-Za-z]', '', 'g')"
 _CODES = f"list_transform(list_filter(regexp_extract_all(coalesce(text, ''), '{T.CODE}'), lambda t: (length({_BARE}) >= 5 and regexp_matches({_BARE}, '[A-Za-z]') and regexp_matches({_BARE}, '[0-9]')) or (length({_BARE}) >= 6 and regexp_matches({_BARE}, '^[0-9]+$'))), lambda t: upper({_BARE}))"
@@ -149,6 +165,14 @@ tops as (select *, row_number() over (partition by entity, attribute order by ro
 marg as (select entity, attribute, max(candidate) filter (r = 1) as nearest, max(candidate) filter (r = 2) as second, max(sim) filter (r = 1) - coalesce(max(sim) filter (r = 2), 0) as margin from tops group by all),
 lat as (select entity, attribute, list_sort(list(distinct value)) as candidates, max(t) as t from (select *, max(t) over (partition by entity, attribute) as m from facts) where t = m group by all)"""
 
+_ROLES = ", ".join(f"('{r}', {vectors.role_shift(r)})" for r in ("folder", "month", "year"))
+#: ub(doc_id, role, entity, score): all known entities against all documents' bound vectors
+_BOUND = f"""words as (select distinct entity as token from edges), {_SIG}, turn(role, shift) as (values {_ROLES}),
+mark as (select role, entity, (place + shift) % {vectors.DIM} as idx, case when r <= 20 then 1 else -1 end as s from (select distinct role, entity from edges) join turn using (role) join sig on token = entity),
+cell as (select doc_id, idx, sum(s)::bigint as v from edges join mark using (role, entity) group by all), peak as (select doc_id, max(abs(v)) as peak from cell group by 1),
+bq as (select doc_id, idx, round_even(v * 127.0::double / peak, 0)::int as q from cell join peak using (doc_id)), bn as (select doc_id, sqrt(sum(q * q)) as n from bq group by 1),
+ub as (select doc_id, role, entity, sum(q * s) / (any_value(n) * sqrt(40)) as score from bq join mark using (idx) join bn using (doc_id) group by all)"""
+
 SQL = {
     "count_filtered": f"with {FACETS} select count(*) as n, count(*) filter (date = '0000-00-00') as undated from facets where contains(lower(doc_id), '/france/') and type = 'pdf' and date like '199%'",
     "count_by_month": f"with {FACETS} select substr(date, 1, 7) as month, count(*) as n from facets where date <> '0000-00-00' group by 1",
@@ -175,5 +199,18 @@ select entity, attribute, value, round(margin, 4) as confidence, value is null o
 g as (select margin, (select count(*) from p x where x.margin >= m.margin) as kept, (select count(*) from p x where x.margin >= m.margin and wrong) as bad from (select distinct margin from p) m),
 b as (select min(margin) as least, arg_min(kept, margin) as kept, arg_min(bad, margin) as bad from g where bad / kept <= 0.05), n as (select count(*) as slots, max(margin) as largest from p)
 select case when slots >= 30 then coalesce(least, largest + 1e-9) end as threshold, slots, case when slots >= 30 then round(coalesce(kept, 0) / slots, 4) end as answered, case when slots >= 30 then round(coalesce(bad / kept, 0), 4) end as error from n, b""",
+    "belief_resolve": f"""with {_DAY}, {_MARGIN}, c as (select entity, attribute, case when len(candidates) = 1 then candidates[1] end as value, len(candidates) <> 1 or round(margin, 9) < 0.05 or nearest <> candidates[1] as open from lat join marg using (entity, attribute)),
+a as (select entity, attribute from facts union select 'nobody', 'last_event' union select 'u1', 'colour'),
+e as (select 'u' || user_id as entity, 'last_event' as attribute, event_type as value, round(value, 4) as score from events where value is not null),
+s as (select entity, attribute, value, round(sum(score), 4) as proof from (select *, row_number() over (partition by entity, attribute, value order by score desc) as r from e) where r <= 3 group by all),
+b as (select entity, attribute, max(value) filter (r = 1) as proved, max(proof) filter (r = 1) as first, coalesce(max(proof) filter (r = 2), 0) as next from (select *, row_number() over (partition by entity, attribute order by proof desc, value) as r from s) where r <= 2 group by all),
+j as (select entity, attribute, c.value, open, proved, coalesce(first, 0) as first, round(coalesce(first, 0) - coalesce(next, 0), 4) as margin from a left join c using (entity, attribute) left join b using (entity, attribute)),
+k as (select *, case when open is null then 'unknown' when not open then 'clear' when first > 0 and margin >= 0.05 then 'resolved' else 'undecided' end as status from j)
+select entity, attribute, status, case when status = 'resolved' then proved else value end as value, margin from k""",
+    "empty_filter_report": f"""with {VOC}, {QRY}, {BM25}, h as ({top_sql('bm', 10)}), t as (select qid, doc_id, rank, source as type from h join documents using (doc_id)),
+c as (select qid, type, count(*) as n from t group by all)
+select qid, sum(n)::bigint as n, (select arg_min(doc_id, rank) from t where t.qid = c.qid) as first_doc, string_agg(type || ':' || n, ' ' order by type) as types from c group by qid having count(*) filter (type = 'src0') = 0""",
+    "bind_unbind": f"""with {FACETS}, {_EDGES}, {_BOUND}
+select doc_id, role, entity, round(score, 6) as score from ub where score >= 0.15""",
     "html_to_text": r"select page_id, trim(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->|<[^>]+>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g'), ' ') as text from pages",
 }

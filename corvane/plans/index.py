@@ -160,13 +160,14 @@ class Index:
         if method in ("connectors", "grammar", "typed") and wants:
             raise ValueError(f"{method} doesn't go with types, recency or codes")
         pool = facets.pool_size(k, kind is not None, recency > 0, bool(codes) or boost)
+        depth = pool if rerank is None else max(pool, retrieve.DEPTH)
         if method == "bm25":
-            hits = vectors.ranked(self._bm25(self._queries(queries, cleaned)), pool).select("qid", "doc_id", "rank", F.round("score", 6).alias("score"))
+            hits = vectors.ranked(self._bm25(self._queries(queries, cleaned)), depth).select("qid", "doc_id", "rank", F.round("score", 6).alias("score"))
         elif method == "grid":
-            hits = vectors.cosine_topk(self.grids(), self._query_grids(self._queries(queries, cleaned)), pool)
+            hits = vectors.cosine_topk(self.grids(), self._query_grids(self._queries(queries, cleaned)), depth)
         elif method == "fusion":
             q = self._queries(queries, cleaned)
-            hits = retrieve.rrf({"bm25": retrieve.sparse_channel(self._bm25(q), self.table("lengths")), "grid": retrieve.dense_channel(self.grids(), self._query_grids(q))}, pool)
+            hits = retrieve.rrf({"bm25": retrieve.sparse_channel(self._bm25(q), self.table("lengths")), "grid": retrieve.dense_channel(self.grids(), self._query_grids(q))}, depth)
         elif method == "connectors":
             wanted, unwanted = (self._query_grids(queries.select("qid", T.tokens(questions.wanted(F.col("text"), s)).alias("tokens"))) for s in (1, -1))
             return retrieve.connected(self.grids(), wanted, unwanted, k=k)

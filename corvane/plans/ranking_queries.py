@@ -8,8 +8,8 @@ from corvane.functions import questions
 from corvane.functions import text as T
 from corvane.operators import corpus, embeddings, evaluate, explain, retrieve, typed, vectors, versions
 from corvane.plans.corpus_queries import GRID, SIGNED
-from corvane.session import checkpointed
 from corvane.plans.tables import BM25, NEG, QRY, STOP, VOC, benchmark_queries, doc_arrays, in_sql, table, texts, top_sql
+from corvane.session import checkpointed
 
 #: What the single-query reports look for.
 ASKED = "the and of"
@@ -132,7 +132,15 @@ def typed_search(spark, d):
 def explain_match(spark, d):
     """What each token of the benchmark's queries adds in the best ten documents."""
     a, q = doc_arrays(spark, d), benchmark_queries(spark, d)
-    return explain.match_terms(a, q, retrieve.bm25_topk(a, q, 10))
+    vocab = checkpointed(corpus.with_idf(corpus.vocabulary(a), a))
+    return explain.match_terms(vectors.encode(corpus.signed_counts(a), vocab, a), vocab, q, retrieve.bm25_topk(a, q, 10))
+
+
+def weight_sweep(spark, d):
+    """Shares of BM25 and the dense stand-in, held against the documents that hold an item verbatim."""
+    truth = checkpointed(evaluate.verbatim(texts(spark, d), table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text")))
+    channels = {"signature": checkpointed(retrieve.bm25_scores(doc_arrays(spark, d), benchmark_queries(spark, d))), "embedding": checkpointed(_dense_channel(spark, d))}
+    return evaluate.sweep(channels, truth)
 
 
 def mrr_recall(spark, d):
@@ -149,7 +157,7 @@ def version_groups(spark, d):
     return versions.current_versions(hits, versions.similar_pairs(hits.join(grids, "doc_id").select("qid", "doc_id", "q", "norm")))
 
 
-QUERIES = {f.__name__: f for f in (bm25_topk, bm25_batch_benchmark, grid_cosine_topk, connector_search, dense_cosine_topk, like_document, like_mix, rerank_blend, rrf_fusion, meta_rrf, meta_znorm, meta_summary, query_confidence, convex_fusion, typed_search, explain_match, mrr_recall, version_groups)}
+QUERIES = {f.__name__: f for f in (bm25_topk, bm25_batch_benchmark, grid_cosine_topk, connector_search, dense_cosine_topk, like_document, like_mix, rerank_blend, rrf_fusion, meta_rrf, meta_znorm, meta_summary, query_confidence, convex_fusion, typed_search, explain_match, mrr_recall, version_groups, weight_sweep)}
 
 
 def _literal_sql(text: str) -> str:
@@ -221,8 +229,25 @@ c as (select qid, doc_id, grid, sum(qw * dw) as dot from d join q using (token,
 r as (select qid, doc_id, grid, share, code_df, dot / (dn * qn) as cos from c join dn using (doc_id, grid) join p using (qid, grid)),
 s as (select qid, doc_id, sum(share * cos) as score, coalesce(max(case when grid = 'code' then round(cos, 4) end), 0) as code_score, max(code_df) as code_df from r group by all)
 select qid, doc_id, r::int as rank, round(score, 6) as score, code_score::double as code_score from (select *, row_number() over (partition by qid order by case when code_df <= 2 then code_score else 0 end desc, round(score, 9) desc, doc_id) as r from s) where r <= 10""",
-    "explain_match": f"""with {VOC}, {QRY}, {BM25}, h as ({top_sql('bm', 10)})
-select qid, doc_id, token, round((1 + ln(qtf)) * (1 + ln(tf)) * idf * idf, 6) as part from h join qry using (qid) join cnt using (doc_id, token) join voc using (token) where token not in """ + STOP,
+    "explain_match": f"""with {VOC}, {SIGNED}, {GRID}, {QRY}, {_qgrid()}, {BM25}, h as ({top_sql('bm', 10)}),
+w as (select qid, token, negated, (case when negated then -1 else 1 end) * (1 + ln(tf)) * idf as w from qsign join voc using (token))
+select qid, doc_id, token, negated, round(any_value(w) * sum(g.q * case when r <= 20 then 1 else -1 end) / (any_value(gn.n) * sqrt(40)), 6) as part
+from h join w using (qid) join sig using (token) join grid g using (doc_id) join gn using (doc_id) where g.idx = place and gn.n > 0 group by all""",
+    "version_groups": f"""with recursive {VOC}, {SIGNED}, {GRID}, {QRY}, {BM25}, h as ({top_sql('bm', 20)}),
+hq as (select qid, doc_id, list(q order by idx) as v from h join grid using (doc_id) group by all),
+near as (select x.qid, x.doc_id as a, y.doc_id as b from hq x join hq y on x.qid = y.qid and x.doc_id <> y.doc_id
+  where list_sum(list_transform(x.v, lambda e: e * e)) > 0 and list_sum(list_transform(y.v, lambda e: e * e)) > 0
+    and list_inner_product(x.v::double[], y.v::double[]) / (sqrt(list_sum(list_transform(x.v, lambda e: e * e))) * sqrt(list_sum(list_transform(y.v, lambda e: e * e)))) >= 0.55),
+reach as (select qid, doc_id as a, doc_id as b from h union select r.qid, r.a, n.b from reach r join near n on n.qid = r.qid and n.a = r.b)
+select h.qid, h.doc_id, h.rank, lpad(h.doc_id::varchar, 12, '0') as date, max(b) as canonical, max(b) = h.doc_id as current from h join reach on reach.qid = h.qid and reach.a = h.doc_id group by h.qid, h.doc_id, h.rank""",
+    "weight_sweep": f"""with {VOC}, {QRY}, {BM25}, {_DENSE}, tr(nth, weights, ws, we) as (values {', '.join(f"({i}, '{'/'.join(map(str, t))}', {t[0]}::double, {t[2]}::double)" for i, t in enumerate(evaluate.TRIPLES))}),
+t as (select distinct item_id as qid, doc_id from documents d join benchmark b on contains(d.text, b.text) where length(b.text) > 0),
+u as (select nth, qid, doc_id, ws * score as s from bm, tr where ws > 0 union all select nth, qid, doc_id, we * score from dense, tr where we > 0),
+h as (select nth, qid, doc_id, row_number() over (partition by nth, qid order by round(sum(s), 9) desc, doc_id) as rank from u group by nth, qid, doc_id qualify rank <= 10),
+e as (select tr.nth, weights, t.qid, min(rank) as first, count(rank) as got, count(*) as al from tr cross join t left join h on h.nth = tr.nth and h.qid = t.qid and h.doc_id = t.doc_id group by all),
+m as (select nth, weights, count(*) as queries, round(avg(coalesce(1.0::double / first, 0)), 6) as mrr, round(avg(got / al), 6) as recall from e group by all),
+b as (select arg_min(nth, (-mrr, nth)) as best, max(mrr) as top, max(mrr) filter (nth = 0) as base from m)
+select weights, queries, mrr, recall, nth = best and top - base >= 0.02 as recommended, queries >= 10 as reliable from m, b""",
     "mrr_recall": f"""with {VOC}, {QRY}, {BM25}, h as ({top_sql('bm', 10)}), t as (select distinct item_id as qid, doc_id from documents d join benchmark b on contains(d.text, b.text)),
 e as (select qid, min(rank) as first, count(rank) as got, count(*) as al from t left join h using (qid, doc_id) group by 1)
 select count(*) as queries, round(avg(coalesce(1.0::double / first, 0)), 6) as mrr, round(avg(got / al), 6) as recall, round(avg((first is not null)::int), 6) as hit_rate from e""",

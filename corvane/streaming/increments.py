@@ -60,6 +60,63 @@ def beliefs(facts: DataFrame) -> DataFrame:
     return rows.groupBy("entity", "attribute").applyInPandasWithState(_believe, BELIEF, _STATE, "update", GroupStateTimeout.NoTimeout)
 
 
+_BUNDLE = "entity string, attribute string, weights map<string,double>, t double"
+_SUMS = "ts array<double>, vs array<array<string>>, ns array<array<bigint>>, t double, ws map<string,double>"
+
+
+def _decayed(gamma: float):
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        weights, counts = {}, {}  # value -> weight; t -> value -> facts
+        last = None
+        if state.exists:
+            ts, vs, ns, last, held = state.get
+            counts = {t: dict(zip(v, n)) for t, v, n in zip(ts, vs, ns)}
+            weights = dict(held)
+        for frame in frames:
+            for t, value in zip(frame["t"].astype(float), frame["value"].astype(str)):
+                known = t in counts
+                counts.setdefault(t, {}).setdefault(value, 0)
+                counts[t][value] += 1
+                if last is None or t >= last:  # in order: one step for all that is older, whatever its number
+                    if last is not None and not known:
+                        weights = {v: w * gamma for v, w in weights.items()}
+                    weights[value] = weights.get(value, 0.0) + 1.0
+                    last = t
+                else:  # late: the bundle is made anew from the counts
+                    weights = {}
+                    for age, at in enumerate(sorted(counts, reverse=True)):
+                        for v, n in counts[at].items():
+                            weights[v] = weights.get(v, 0.0) + n * gamma**age
+        times = sorted(counts)
+        state.update((times, [list(counts[t]) for t in times], [list(counts[t].values()) for t in times], last, weights))
+        yield pd.DataFrame([{"entity": key[0], "attribute": key[1], "weights": weights, "t": last}])
+
+    return step
+
+
+def bundles(facts: DataFrame, gamma: float = 0.6) -> DataFrame:
+    """(entity, attribute, weights, t) of a stream of facts, outputMode "update": each value's weight by recency, as ``belief.weights``.
+
+    A fact in order multiplies the slot's weights by ``gamma`` and adds one; only a late fact makes them anew, from the counts of each
+    instant that are kept beside them.
+    """
+    rows = facts.where("value is not null and t is not null")
+    return rows.groupBy("entity", "attribute").applyInPandasWithState(_decayed(gamma), _BUNDLE, _SUMS, "update", GroupStateTimeout.NoTimeout)
+
+
+def answer(index: Index, queries: DataFrame, sink: str, checkpoint: str, available_now: bool = True, **options):
+    """The query that searches an index for each micro-batch of (qid, text) and adds the hits to ``sink``.
+
+    The index is opened anew for each batch, so appended documents are found. A batch that is run again overwrites its own part.
+    """
+
+    def search(batch: DataFrame, number: int) -> None:
+        Index.open(index.spark, index.path).search(batch, **options).write.mode("overwrite").parquet(f"{sink}/batch={number}")
+
+    writer = queries.writeStream.foreachBatch(search).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
 def sessions(journal: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
     """(pid, start, end, n): sittings of a stream of journal lines (ts, pid), apart by ``gap``; lines over ``late`` behind are left out."""
     window = F.session_window("ts", gap)

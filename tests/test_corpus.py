@@ -281,6 +281,54 @@ def test_versions(spark):
     assert rows(versions.similar_pairs(v)) == [(1, "a", "b")]
 
 
+def test_dictionary_import(spark):
+    rows_ = [("cable", "câble | fil", 5.0), ("cable", "corde", 9.0), ("chat", "discussion", 3.0), ("lamp", "chat | lampe", 3.0), ("main line", "ligne principale", 2.0), ("bad'word", "mot", 5.0), ("rare", "peu", 0.1), ("table", "table", 4.0), ("go", "aller", 5.0), ("one two three four five", "x", 5.0), ("known", "connu", 5.0), ("long", "un deux trois quatre cinq", 5.0)]
+    core = spark.createDataFrame([("known", "su")], "key string, value string")
+    got = corpus.import_dictionary(spark.createDataFrame(rows_, "word string, translations string, score double"), core, {"go"}, least=1.0)
+    # "chat" is a word of the other language, "table" translates to itself
+    assert rows(got) == [("cable", "corde"), ("lamp", "chat"), ("main_line", "ligne_principale"), ("table", "table")]
+    assert corpus.import_dictionary(spark.createDataFrame([], "word string, translations string, score double"), core).collect() == []
+
+
+def test_stored_embeddings(spark, tmp_path):
+    table = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.5, 2.0])], "word string, vec array<float>")
+    embeddings.write_table(table, f"{tmp_path}/t", removed=2)
+    assert rows(embeddings.open_table(spark, f"{tmp_path}/t", removed=2)) == rows(table)
+    with pytest.raises(ValueError, match="directions"):
+        embeddings.open_table(spark, f"{tmp_path}/t")
+    table.limit(1).write.mode("append").parquet(f"{tmp_path}/t/vectors")
+    with pytest.raises(ValueError, match="written"):
+        embeddings.open_table(spark, f"{tmp_path}/t", removed=2)
+    assert embeddings.open_table(spark, f"{tmp_path}/t", removed=2, check=False).count() == 3
+    assert embeddings.digest(table) == embeddings.digest(table.repartition(3))
+    with pytest.raises(ValueError):
+        embeddings.smoothed(np.zeros((embeddings.MAX_TRAINED + 1, 1)), 1)
+
+
+def test_text_vectors(spark):
+    docs = spark.createDataFrame([(1, "abc"), (2, ""), (3, None)], "doc_id int, text string")
+    got = {r.doc_id: r.vec for r in embeddings.text_vectors(docs, lambda texts: [[len(t), 2.0 * len(t)] for t in texts]).collect()}
+    want = (np.array([1, 2]) / 5**0.5).astype(np.float16).astype(float).tolist()
+    assert got == {1: want, 2: [0.0, 0.0], 3: [0.0, 0.0]}
+
+
+def test_explain_by_vectors(spark, arrays):
+    a = arrays("alpha beta alpha", "sans alpha gamma", "delta")
+    grids = vectors.document_grids(a)
+    best = explain.nearest_words(grids, spark.createDataFrame([("alpha",), ("delta",), ("absent",)], "token string"), 1)
+    assert {r.doc_id: r.token for r in best.collect()}[2] == "delta" and [r.score for r in best.where("doc_id = 2").collect()] == [1.0]
+    vocab = corpus.with_idf(corpus.vocabulary(a), a)
+    q = spark.createDataFrame([(1, ["alpha"]), (2, ["sans", "alpha"])], "qid int, tokens array<string>")
+    hits = spark.createDataFrame([(1, 0), (1, 1), (2, 1)], "qid int, doc_id bigint")
+    got = {(r.qid, r.doc_id): r.part for r in explain.match_terms(grids, vocab, q, hits).collect()}
+    assert got[1, 0] > 0 > got[1, 1] and got[2, 1] == -got[1, 1]
+
+
+def test_lists_of_changes_are_in_order(spark):
+    changes = spark.createDataFrame([("b", "new"), ("a", "new"), ("c", "gone")], "what string, change string")
+    assert rows(diff.in_order(changes), "change", "place") == [("c", "gone", 1), ("a", "new", 1), ("b", "new", 2)]
+
+
 def test_word_vectors(spark, arrays):
     scored = spark.createDataFrame([("eau", "lac", 5, 1.0), ("lac", "lac", 5, 0.5)], "a string, b string, w int, ppmi double")
     p = {r.token: np.array(r.profile) for r in vectors.profiles(scored).collect()}

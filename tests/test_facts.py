@@ -1,6 +1,7 @@
 """Facets, paths, beliefs on literal cases."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from corvane.operators import belief, facets, relations
 
@@ -28,7 +29,7 @@ def test_counts(five):
 
 def test_holders(spark, five):
     got = facets.holders(five, spark.createDataFrame([("MFN710",), ("MFN710",), ("none",)], "ref string"))
-    assert [r.doc_id for r in got.orderBy("doc_id").collect()] == ["A/2025/x.pdf", "a/2026/devis.pdf"]
+    assert [(r.doc_id, r.place) for r in got.orderBy("place").collect()] == [("a/2026/devis.pdf", 1), ("A/2025/x.pdf", 2)]
 
 
 def test_facets_in_ranking(spark, five):
@@ -110,3 +111,20 @@ def test_resolution(spark):
     by = {r.entity: r for r in got.collect()}
     assert (by["f"].status, by["f"].value, by["f"].margin) == ("resolved", "v2", 0.5)
     assert by["g"].status == "undecided" and by["e"].status == "clear" and by["e"].value == "v1"
+
+
+def test_beliefs_are_resolved_and_stored(spark, tmp_path):
+    kind = "entity string, attribute string, value string, t double"
+    facts = spark.createDataFrame([("e", "a", "x", 1.0), ("e", "a", "y", 1.0), ("f", "a", "x", 1.0), ("g", "a", "x", 2.0), ("g", "a", "z", 2.0)], kind)
+    proof = spark.createDataFrame([("e", "a", "x", 0.4), ("e", "a", "x", 0.3), ("e", "a", "y", 0.5), ("g", "a", "x", 0.5), ("g", "a", "z", 0.49)], "entity string, attribute string, value string, score double")
+    asked = spark.createDataFrame([("e", "a"), ("f", "a"), ("g", "a"), ("nobody", "a")], "entity string, attribute string")
+    held = belief.current(facts).withColumn("to_clarify", F.col("entity") != "f")
+    got = belief.resolve(held, proof, asked=asked)
+    assert {r.entity: (r.status, r.value) for r in got.collect()} == {"e": ("resolved", "x"), "f": ("clear", "x"), "g": ("undecided", None), "nobody": ("unknown", None)}
+    after = belief.reasserted(facts, got)
+    assert {tuple(r) for r in after.subtract(facts).collect()} == {("e", "a", "x", 2.0)}
+    assert {r.entity: r.value for r in belief.latest(after).collect()}["e"] == "x"
+    belief.store(facts, f"{tmp_path}/b")
+    belief.store(after.subtract(facts), f"{tmp_path}/b")
+    (tmp_path / "b" / "part-bad.json").write_text('no json\n{"entity": "x"}\n')
+    assert sorted(map(tuple, belief.stored(spark, f"{tmp_path}/b").collect())) == sorted(map(tuple, after.collect()))
