@@ -546,7 +546,7 @@ def test_pipeline_on_odd_and_empty_tables(spark, sf, odd, make, tmp_path):
         rows = corpus_pipeline.run(spark, str(folder)).collect()
         fits(rows, packing.CAPACITY)
         kept = {r.doc_id for r in langid.keep_identified(docs).collect()}  # nothing goes in the stages after the first
-        assert {r.doc_id for r in rows} == kept and (kept >= {4, 6, 7, None} if i == 0 else not kept)
+        assert {r.doc_id for r in rows} == kept and (kept == {4, 6, 7} if i == 0 else not kept)
 
 
 @pytest.mark.parametrize("n", [1, 7])
