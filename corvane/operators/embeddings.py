@@ -12,15 +12,24 @@ from pyspark.sql import functions as F
 MAX_TRAINED = 20_000
 
 
-def from_text(lines: DataFrame, keep: int | None = None) -> DataFrame:
-    """(word, vec) from lines "word x y z": lower case, the first line of a word wins; ``keep`` words at most, in the order of lines.
+def from_text(lines: DataFrame, keep: int | None = None, extra: DataFrame | None = None) -> DataFrame:
+    """(word, vec) from lines "word x y z": lower case, the first line of a word wins; the first ``keep`` words, in the order of lines.
 
-    ``lines``: (line_no, value). A heading of two numbers is no word.
+    ``lines``: (line_no, value), as of ``read_lines``. A heading of two numbers is no word. Words of ``extra`` (word) are kept wherever
+    they stand.
     """
     parts = F.split(F.trim("value"), " +")
     rows = lines.where(F.size(parts) > 2).select("line_no", F.lower(parts[0]).alias("word"), F.transform(F.slice(parts, 2, F.size(parts)), lambda x: x.cast("float")).alias("vec"))
     first = rows.groupBy("word").agg(F.min_by("vec", "line_no").alias("vec"), F.min("line_no").alias("line_no"))
-    return (first.orderBy("line_no").limit(keep) if keep else first).select("word", "vec")
+    kept = first.orderBy("line_no").limit(keep) if keep else first
+    if keep and extra is not None:
+        kept = kept.unionByName(first.join(extra.select(F.lower("word").alias("word")).distinct(), "word", "left_semi")).distinct()
+    return kept.select("word", "vec")
+
+
+def read_lines(spark, path: str) -> DataFrame:
+    """(line_no, value) of a text file, packed by gzip or not; a packed file is one task's work, as it can't be split."""
+    return spark.read.text(path).select(F.monotonically_increasing_id().alias("line_no"), "value")
 
 
 def digest(table: DataFrame) -> str:

@@ -21,9 +21,12 @@ def grid_of(token: Column, custom: list[tuple[str, str]] = ()) -> Column:
     return out.when(T.is_code(token), "code").otherwise("meaning")
 
 
-def routed(arrays: DataFrame, custom: list[tuple[str, str]] = ()) -> DataFrame:
-    """(doc_id, token, tf, grid)."""
-    return arrays.select("doc_id", F.explode("tokens").alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("tf")).withColumn("grid", grid_of(F.col("token"), custom))
+def routed(arrays: DataFrame, custom: list[tuple[str, str]] = (), path: str | None = None) -> DataFrame:
+    """(doc_id, token, tf, grid). ``path``: a column of paths, whose tokens go to the grid "path" and to no other."""
+    rows = arrays.select("doc_id", F.explode("tokens").alias("token")).withColumn("grid", grid_of(F.col("token"), custom))
+    if path is not None:
+        rows = rows.unionByName(arrays.select("doc_id", F.explode(T.path_tokens(F.col(path))).alias("token"), F.lit("path").alias("grid")))
+    return rows.groupBy("doc_id", "token", "grid").agg(F.count("*").alias("tf")).select("doc_id", "token", "tf", "grid")
 
 
 def typed_search(counts: DataFrame, vocab: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:

@@ -68,9 +68,11 @@ class Index:
         if text is None:
             raise ValueError(f"no index in {path}")
         index = cls(spark, path, json.loads(text))
-        n = index.arrays().count()
-        if n != index.meta["docs"]:
-            raise ValueError(f"torn index: {n} documents of {index.meta['docs']}")
+        n, distinct = index.table("lengths").agg(F.count("*"), F.count_distinct("doc_id")).first()
+        if n != index.meta["docs"] or n != distinct:
+            raise ValueError(f"torn index: {distinct} documents of {index.meta['docs']}")
+        for name in _TABLES:
+            index.table(name)  # a channel whose folder is gone is an error here, not in the first search
         return index
 
     def append(self, docs: DataFrame) -> Index:
@@ -89,7 +91,7 @@ class Index:
             raise ValueError("no documents")
         if n != distinct:
             raise ValueError("a doc_id is there twice")
-        if self.meta["generations"] and self.arrays().join(arrays.select("doc_id"), "doc_id", "left_semi").limit(1).count():
+        if self.meta["generations"] and self.table("lengths").join(arrays.select("doc_id"), "doc_id", "left_semi").limit(1).count():
             raise ValueError("a doc_id is there already")
         retrieve.postings(arrays).write.parquet(f"{at}/counts")
         arrays.select("doc_id", F.size("tokens").alias("dl")).write.parquet(f"{at}/lengths")

@@ -29,19 +29,17 @@ def bm25_batch_benchmark(spark, d):
     return retrieve.bm25_topk(doc_arrays(spark, d), benchmark_queries(spark, d), 10)
 
 
-def _query_grids(spark, d, arrays, queries):
-    vocab = corpus.with_idf(corpus.vocabulary(arrays), arrays)
-    rows = queries.select(F.col("qid").alias("doc_id"), "tokens")
-    return vectors.encode(corpus.signed_counts(rows), vocab, rows).where("norm > 0").select(F.col("doc_id").alias("qid"), "q")
-
-
-def _grid_scores(spark, d, k):
-    a = doc_arrays(spark, d)
-    return vectors.cosine_scores(vectors.document_grids(a), _query_grids(spark, d, a, benchmark_queries(spark, d)), k)
+def _grids(spark, d, arrays):
+    """Grids of the documents and of the benchmark's items, (doc_id, q, norm) and (qid, q), from one count of the vocabulary."""
+    vocab = checkpointed(corpus.with_idf(corpus.vocabulary(arrays), arrays))
+    rows = benchmark_queries(spark, d).withColumnRenamed("qid", "doc_id")
+    asked = vectors.encode(corpus.signed_counts(rows), vocab, rows).where("norm > 0").select(F.col("doc_id").alias("qid"), "q")
+    return vectors.encode(corpus.signed_counts(arrays), vocab, arrays), asked
 
 
 def grid_cosine_topk(spark, d):
-    return vectors.ranked(_grid_scores(spark, d, 10), 10).select("qid", "doc_id", "rank", F.round("score", 6).alias("score"))
+    docs, asked = _grids(spark, d, doc_arrays(spark, d))
+    return vectors.cosine_topk(docs, asked)
 
 
 def connector_search(spark, d):
@@ -84,8 +82,8 @@ def rrf_fusion(spark, d):
     """BM25 and the grid, every document ranked by both."""
     a = doc_arrays(spark, d)
     q = benchmark_queries(spark, d)
-    grids = checkpointed(vectors.document_grids(a))
-    return retrieve.rrf({"bm25": retrieve.sparse_channel(retrieve.bm25_scores(a, q), a), "grid": retrieve.dense_channel(grids, checkpointed(_query_grids(spark, d, a, q)))})
+    docs, asked = (checkpointed(x) for x in _grids(spark, d, a))
+    return retrieve.rrf({"bm25": retrieve.sparse_channel(retrieve.bm25_scores(a, q), a), "grid": retrieve.dense_channel(docs, asked)})
 
 
 def _shards(spark, d):

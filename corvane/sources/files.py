@@ -80,11 +80,12 @@ def ignored(files: DataFrame) -> DataFrame:
     return files.where("text is null").groupBy(T.document_kind(F.col("doc_id")).alias("kind")).agg(F.count("*").alias("n"))
 
 
-def needs_ocr(path, text, size):
-    """Images, and pdfs with little text, of 12 MB at most."""
+def needs_ocr(path, text, size, pages=None):
+    """Images of 12 MB at most, and pdfs with little text, of ten ``pages`` at most where their number is known."""
     ext = F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
     little = F.length(F.trim(F.coalesce(text, F.lit("")))) < T.SCAN_CHARS
-    return (ext.isin(*IMAGES) & (size <= 12 << 20)) | ((ext == "pdf") & little)
+    short = F.lit(True) if pages is None else F.coalesce(pages <= 10, F.lit(True))
+    return (ext.isin(*IMAGES) & (size <= 12 << 20)) | ((ext == "pdf") & little & short)
 
 
 def exif_date(data: bytes) -> str | None:
@@ -214,6 +215,11 @@ def as_json(result: DataFrame) -> DataFrame:
     return result.select(F.to_json(F.struct(*result.columns)).alias("value"))
 
 
+def error_json(error: BaseException) -> str:
+    """A failure as one line of JSON, for the error stream."""
+    return json.dumps({"error": str(error) or type(error).__name__}, ensure_ascii=False)
+
+
 def grid_png(values: list[int], side: int) -> bytes:
     """An int8 grid of side * side * 3 as a PNG."""
     import zlib

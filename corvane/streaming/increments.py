@@ -32,7 +32,7 @@ def append_to(index: Index, docs: DataFrame, checkpoint: str, available_now: boo
 
     def add(batch: DataFrame, _: int) -> None:
         now = Index.open(index.spark, index.path)
-        new = batch.join(now.arrays().select("doc_id"), "doc_id", "left_anti").dropDuplicates(["doc_id"])
+        new = batch.join(now.table("lengths").select("doc_id"), "doc_id", "left_anti").dropDuplicates(["doc_id"])
         if not new.isEmpty():
             now.append(new)
 

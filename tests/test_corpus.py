@@ -205,6 +205,8 @@ def test_embeddings(spark):
     table = embeddings.from_text(lines)
     assert rows(table) == [("chat", [1.0, 0.0]), ("chien", [1.0, 1.0])]
     assert rows(embeddings.nearest(table, table.where("word = 'chat'"), 1)) == [("chat", "chien", 1, 0.707107)]
+    more = embeddings.from_text(lines, 1, spark.createDataFrame([("Chien",), ("absent",)], "word string"))
+    assert rows(more) == rows(table) and rows(embeddings.from_text(lines, 1)) == rows(table)[:1]
     rng = np.random.default_rng(0)
     x = rng.standard_normal((200, 6)) + np.array([9, 0, 0, 0, 0, 0])
     t = spark.createDataFrame([(str(i), v.tolist()) for i, v in enumerate(x)], "word string, vec array<double>")
@@ -261,6 +263,8 @@ def test_typed_precedence(spark, arrays):
     assert typed.typed_search(counts, vocab, q).orderBy("rank").first().doc_id == 2
     kinds = spark.createDataFrame([("zx12345",), ("eau",), ("pn16",)], "t string").select(typed.grid_of(F.col("t"), [("pressure", "pn[0-9]+")])).collect()
     assert [r[0] for r in kinds] == ["code", "meaning", "pressure"]
+    filed = spark.createDataFrame([(0, ["pompe", "mfn710"], "plans/pompe_1.md")], "doc_id int, tokens array<string>, path string")
+    assert rows(typed.routed(filed, path="path")) == [(0, "1", 1, "path"), (0, "md", 1, "path"), (0, "mfn710", 1, "code"), (0, "plans", 1, "path"), (0, "pompe", 1, "meaning"), (0, "pompe", 1, "path")]
 
 
 def test_explain(spark, arrays):

@@ -104,6 +104,8 @@ def test_folder(spark, tmp_path):
     assert {r.doc_id: r.text for r in files.read_folder(spark, str(tmp_path), converter=convert).collect()}["d.pdf"] is None
     flags = files.read_folder(spark, str(tmp_path), files.TEXT + files.CONVERTIBLE + files.IMAGES).select("doc_id", files.needs_ocr(F.col("doc_id"), F.col("text"), F.col("size")).alias("x"))
     assert {r.doc_id for r in flags.where("x").collect()} == {"d.pdf", "i.jpg"}
+    scans = spark.createDataFrame([("a.pdf", "", 1, 3), ("b.pdf", "", 1, 11), ("c.pdf", "", 1, None)], "p string, t string, s bigint, n int")
+    assert {r.p for r in scans.where(files.needs_ocr(F.col("p"), F.col("t"), F.col("s"), F.col("n"))).collect()} == {"a.pdf", "c.pdf"}
 
 
 def test_profiles():
@@ -127,8 +129,18 @@ def test_journal(spark, tmp_path):
     assert packed + files.Journal.read(spark, path).count() == 6
 
 
+def test_packed_lines(spark, tmp_path):
+    from corvane.operators import embeddings
+
+    with gzip.open(tmp_path / "v.vec.gz", "wt") as f:
+        f.write("2 2\nEau 1 0\nfeu 0 1\neau 5 5\n")
+    got = embeddings.from_text(embeddings.read_lines(spark, f"{tmp_path}/v.vec.gz"))
+    assert sorted(tuple(r) for r in got.collect()) == [("eau", [1.0, 0.0]), ("feu", [0.0, 1.0])]
+
+
 def test_sinks(spark):
     assert json.loads(files.as_json(spark.range(1)).first().value) == {"id": 0}
+    assert json.loads(files.error_json(ValueError("no é"))) == {"error": "no é"} and json.loads(files.error_json(KeyError())) == {"error": "KeyError"}
     png = files.grid_png([-128] * 192, 8)
     assert png[:4] == b"\x89PNG" and zlib.decompress(png[png.index(b"IDAT") + 4 : -16]) == (b"\0" + b"\0" * 24) * 8
     with pytest.raises(ValueError):
@@ -167,8 +179,8 @@ def test_index(spark, docs, tmp_path):
     for call in (lambda: whole.search(q, 0), lambda: whole.search(q, method="x"), lambda: whole.search(q, method="connectors", kind="note"), lambda: grown.append(docs(DOCS[:1])), lambda: grown.append(docs([("n", "x")] * 2)), lambda: Index.build(spark, f"{tmp_path}/e", docs([])), lambda: Index.build(spark, f"{tmp_path}/o", docs(), colour=1), lambda: Index.open(spark, f"{tmp_path}/none"), lambda: across({}, q), lambda: Index.build(spark, f"{tmp_path}/d", docs(), dim=700)):
         with pytest.raises(ValueError):
             call()
-    shutil.rmtree(f"{tmp_path}/g/{grown.meta['generations'][1]}/arrays")
-    os.makedirs(f"{tmp_path}/g/{grown.meta['generations'][1]}/arrays")
+    shutil.rmtree(f"{tmp_path}/g/{grown.meta['generations'][1]}/lengths")
+    os.makedirs(f"{tmp_path}/g/{grown.meta['generations'][1]}/lengths")
     with pytest.raises(Exception):  # noqa: B017
         Index.open(spark, f"{tmp_path}/g")
 
