@@ -65,10 +65,10 @@ def _conversation(conv, turns: list[tuple[int, str, str, int]], budget: int, his
         yield conv, n, turn[0], rest[new][0] if rest else turn[0], turn[-1], len(shown), used, wanted, used > budget, "".join(parts), targets
 
 
-def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
+def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY, tokens: str | None = None) -> DataFrame:
     """A row for each window of each conversation: its turns, tokens, formatted text and the spans of that text to train on.
 
-    A turn has FRAME tokens and one for each word between white space. If the first turn's role is system it begins every window and
+    A turn has FRAME tokens and one for each word between white space, or as many as the column ``tokens`` says, by any tokenizer. If the first turn's role is system it begins every window and
     counts in the budget; other system turns are turns like others. Every other turn is new in one window. Targets are the new turns
     of the TARGET role; what a window repeats is masked. A turn that doesn't fit with the system turn is a window by itself, whole
     and marked ``oversize``. Rows with a null conv_id or turn are left out; a null role is "user", a null text is empty. Equal rows
@@ -76,11 +76,11 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTO
     without targets. conv_id keeps its type. Other columns are not read, whatever their names. Texts are taken whole, however long. An
     empty table gives an empty result.
     """
+    count = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^ \t\r\n]+")) if tokens is None else F.coalesce(F.col(f"`{tokens}`"), F.lit(0))
     rows = conversations.where("conv_id is not null and turn is not null").select(
-        "conv_id", F.col("turn").cast("bigint").alias("turn"), F.coalesce("role", F.lit("user")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
+        (count + FRAME).cast("bigint").alias("tokens"), "conv_id", F.col("turn").cast("bigint").alias("turn"), F.coalesce("role", F.lit("user")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
     )
-    size = F.regexp_count("text", F.lit(r"[^ \t\r\n]+")) + FRAME
-    turns = F.array_sort(F.array_distinct(F.collect_list(F.struct("turn", "role", "text", size.cast("bigint").alias("tokens")))))
+    turns = F.array_sort(F.array_distinct(F.collect_list(F.struct("turn", "role", "text", "tokens"))))
     grouped = rows.groupBy("conv_id").agg(turns.alias("turns"))
     schema = T.StructType([rows.schema["conv_id"], *(T.StructField(*c) for c in _COLUMNS)])
     kinds, names = [to_arrow_type(f.dataType) for f in schema.fields], schema.names

@@ -382,6 +382,12 @@ def test_long_turns_and_ids_of_any_type(spark):
     assert out[1].text[out[1].targets[0].start : out[1].targets[0].end] == long + "<|end|>"
 
 
+def test_windows_by_another_tokenizer(spark):
+    rows = [(1, i, "assistant" if i % 2 else "user", "one two", None if i == 4 else 30) for i in range(6)]
+    out = sorted(chat.windows(spark.createDataFrame(rows, "conv_id int, turn int, role string, text string, pieces int"), 70, 0, "pieces").collect(), key=lambda r: r.window)
+    assert [(r.first_turn, r.last_turn, r.n_tokens, r.n_target_tokens) for r in out] == [(0, 1, 68, 30), (2, 3, 68, 30), (4, 5, 38, 30)]
+
+
 @pytest.mark.parametrize("history", [0, 500])
 def test_repeated_targets_are_masked(spark, history):
     rows = [(1, i, "assistant" if i % 2 else "user", f"t{i} " * 20) for i in range(12)]
