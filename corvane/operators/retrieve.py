@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as ST
+from pyspark.sql.pandas.types import to_arrow_type
 
 from corvane.operators.corpus import bm25_idf
 from corvane.operators.vectors import better_counts, cosine_scores, pair_cosines, ranked
-from corvane.session import checkpointed, join_checked
+from corvane.session import BROADCAST_LIMIT, checkpointed, join_checked
 
 K1, B = 1.5, 0.75
 #: Constant of reciprocal-rank fusion.
@@ -44,13 +48,49 @@ def bm25_from_postings(posted: DataFrame, lengths: DataFrame, queries: DataFrame
 
 
 def _bm25(hits: DataFrame, lengths: DataFrame, queries: DataFrame) -> DataFrame:
+    """Scores from postings (token, doc_id, dl, tf) of the queries' tokens.
+
+    If the weights of all query tokens are few, they go out as one matrix, and a document's row of term parts is multiplied with it where
+    the document is; else postings and weights are joined.
+    """
+    hits = checkpointed(hits)
     terms = queries.select("qid", F.explode("tokens").alias("token")).groupBy("qid", "token").agg(F.count("*").alias("qtf"))
     df = hits.groupBy("token").agg(F.count("*").alias("df"))
-    corpus = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    weights = terms.join(df, "token").crossJoin(F.broadcast(corpus)).select("qid", "token", "avgdl", (F.col("qtf") * bm25_idf(F.col("n"), F.col("df"))).alias("weight"))
+    corpus = checkpointed(lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))
+    weights = checkpointed(terms.join(df, "token").crossJoin(F.broadcast(corpus)).select("qid", "token", (F.col("qtf") * bm25_idf(F.col("n"), F.col("df"))).alias("weight")))
     tf = F.col("tf")
-    part = F.col("weight") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return hits.join(weights, "token").groupBy("qid", "doc_id").agg(F.sum(part).alias("score"))
+    part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    parts = hits.crossJoin(F.broadcast(corpus)).select("doc_id", "token", part.alias("part"))  # one row
+    words, asked = weights.agg(F.count_distinct("token"), F.count_distinct("qid")).first()
+    if 8 * words * asked > BROADCAST_LIMIT:
+        return parts.join(weights, "token").groupBy("qid", "doc_id").agg(F.sum(F.col("part") * F.col("weight")).alias("score"))
+    rows = weights.collect()  # a matrix within BROADCAST_LIMIT
+    qids = sorted({r.qid for r in rows})
+    place, column = {t: i for i, t in enumerate(sorted({r.token for r in rows}))}, {q: j for j, q in enumerate(qids)}
+    matrix = np.zeros((len(place), len(qids)))
+    for r in rows:
+        matrix[place[r.token], column[r.qid]] = r.weight
+    shared = hits.sparkSession.sparkContext.broadcast((place, qids, matrix))
+    schema = ST.StructType([queries.schema["qid"], hits.schema["doc_id"], ST.StructField("score", ST.DoubleType())])
+    qtype = to_arrow_type(queries.schema["qid"].dataType)
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, qids, matrix = shared.value
+        names = pa.array(qids, qtype)
+        for batch in it:
+            for at in range(0, batch.num_rows, 256):
+                docs = batch.slice(at, 256)
+                held = docs.column(1)
+                flat = held.flatten()
+                tokens = flat.field("token").dictionary_encode()
+                index = np.array([place[t] for t in tokens.dictionary.to_pylist()], np.int64)[tokens.indices.to_numpy()]
+                m = np.zeros((docs.num_rows, len(place)))
+                m[np.repeat(np.arange(docs.num_rows), np.diff(held.offsets.to_numpy())), index] = flat.field("part").to_numpy()
+                score = m @ matrix
+                x, y = np.nonzero(score)
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(y)), docs.column(0).take(pa.array(x)), pa.array(score[x, y])], ["qid", "doc_id", "score"])
+
+    return parts.groupBy("doc_id").agg(F.collect_list(F.struct("token", "part")).alias("terms")).mapInArrow(batches, schema)
 
 
 def bm25_topk(arrays: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:

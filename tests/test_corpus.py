@@ -95,6 +95,16 @@ def test_bm25(spark, arrays):
     assert set(got) == {(1, 0), (2, 0)} and abs(got[1, 0] - 0.930399) < 1e-6 and abs(got[2, 0] - 2 * got[1, 0]) < 1e-12
 
 
+def test_bm25_by_matrix_and_by_join(spark, arrays, monkeypatch):
+    docs = arrays(*(" ".join(f"w{(i * j) % 23}" for j in range(i % 40)) for i in range(300)))
+    q = spark.createDataFrame([(f"q{i}", [f"w{(i * j) % 29}" for j in range(i % 9)]) for i in range(30)], "qid string, tokens array<string>")
+    scores = lambda: {(r.qid, r.doc_id): round(r.score, 9) for r in retrieve.bm25_scores(docs, q).collect()}
+    first = scores()
+    monkeypatch.setattr(retrieve, "BROADCAST_LIMIT", 0)
+    assert scores() == first and len(first) > 1000
+    assert retrieve.bm25_scores(docs, q.limit(0)).collect() == retrieve.bm25_scores(docs.limit(0), q).collect() == []
+
+
 def test_bm25_does_not_depend_on_partitions(spark, arrays):
     docs = arrays(*(f"w{i % 7} w{i % 5} w{i % 3} x" for i in range(60)))
     q = spark.createDataFrame([(i, [f"w{i}", "x"]) for i in range(7)], "qid int, tokens array<string>")
