@@ -123,23 +123,24 @@ def runs(starts: np.ndarray, ends: np.ndarray, repeated: np.ndarray, least: int
 
 
 def _cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds _new (the text without its runs) and _spans ([start, end) in characters) to rows of (text, _repeats, ...)."""
+    """Rows of (text, _repeats, ...) with _new (the text without its runs) and _spans ([start, end) in characters) instead of these two, in slices."""
     for batch in batches:
         repeats = batch.column(batch.schema.get_field_index("_repeats"))
         old = batch.column(batch.schema.get_field_index("text"))
+        rest = batch.drop_columns(["text", "_repeats"])
         offsets, data = buffers(old)
         counts = pc.fill_null(pc.list_value_length(repeats), 0).to_numpy(zero_copy_only=False)
         flat = repeats.flatten()
         where = flat.field("at").to_numpy(zero_copy_only=False).astype(np.int64)
         digests = flat.field("digest").to_numpy(zero_copy_only=False)
         first = np.r_[0, np.cumsum(counts)]
-        new, spans = old.to_pylist(), [[] for _ in range(len(old))]
         for a, b in slices(offsets):
-            if first[a] == first[b]:
-                continue
-            starts, ends, doc, index, digest = _chunked(offsets, data, a, b)
-            heads = np.searchsorted(doc, np.arange(b - a + 1))
-            for d in range(a, b):
+            new, spans = old.slice(a, b - a).to_pylist(), [[] for _ in range(b - a)]
+            some = first[a] < first[b]
+            if some:
+                starts, ends, doc, index, digest = _chunked(offsets, data, a, b)
+                heads = np.searchsorted(doc, np.arange(b - a + 1))
+            for d in range(a, b) if some else ():
                 lo, hi = heads[d - a], heads[d - a + 1]
                 p, q = first[d], first[d + 1]
                 if p == q or lo == hi:
@@ -160,19 +161,20 @@ def _cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         done.append({"start": chars, "end": (chars := chars + len(raw[s:e].decode()))})
                         pos = e
                     kept.append(raw[pos:].decode())
-                    new[d], spans[d] = "".join(kept), done
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(new, pa.string()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], [*batch.schema.names, "_new", "_spans"])
+                    new[d - a], spans[d - a] = "".join(kept), done
+            part = rest.slice(a, b - a)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(new, pa.string()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], [*part.schema.names, "_new", "_spans"])
 
 
 def _with_cuts(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, _row, _new, _spans); the other columns travel inside _row, so that their names can't clash."""
+    """(doc_id, _row, _new, _spans); the other columns travel inside _row, so that their names can't clash. The old text doesn't come back."""
     repeats = checkpointed(repeated_chunks(docs))
     others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
     rows = docs.select("doc_id", "text", F.struct(*others).alias("_row")) if others else docs.select("doc_id", "text")
     rows = rows.join(repeats, F.col("doc_id") == F.col("_of"), "left").drop("_of")
     spans = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-    schema = T.StructType([*rows.schema.fields, T.StructField("_new", T.StringType()), T.StructField("_spans", spans)])
-    return rows.mapInArrow(_cut_batches, schema).drop("_repeats")
+    schema = T.StructType([*(f for f in rows.schema.fields if f.name not in ("text", "_repeats")), T.StructField("_new", T.StringType()), T.StructField("_spans", spans)])
+    return rows.mapInArrow(_cut_batches, schema)
 
 
 def removed_passages(docs: DataFrame) -> DataFrame:

@@ -175,19 +175,24 @@ def train(docs: DataFrame, max_rows: int = MAX_TRAIN_ROWS, families: dict[str, s
     return fit([(a, np.array(b), np.array(c)) for a, b, c in zip(*(rows.column(i).to_pylist() for i in range(3)))], families)
 
 
-def predict(docs: DataFrame, model: Model, columns: list) -> DataFrame:
-    """The given columns with family, language, margin, known and accepted, from ``text``."""
+def predict(docs: DataFrame, model: Model, columns: list, text_at: int | None = None) -> DataFrame:
+    """The given columns with family, language, margin, known and accepted, from ``text``.
+
+    text_at: the place of ``text``, unchanged, among the columns. It is read there then, as a second copy of the texts would double the
+    Arrow batches, the most memory that this takes.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few columns of 2 ** BITS floats, whatever the input
-    inner = docs.select(F.col("text").alias("_text"), F.struct(*columns).alias("_row"))
+    inner = docs.select(F.struct(*columns).alias("_row"), *([F.col("text").alias("_text")] if text_at is None else []))
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in it:
-            offsets, data = buffers(batch.column(0))
+            row = batch.column(0)
+            offsets, data = buffers(batch.column(1) if text_at is None else row.field(text_at))
             for a, b in slices(offsets):
                 family, language, margin, known = m.predict(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 accepted = [x is not None and k >= MIN_KNOWN for x, k in zip(language, known)]
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), pa.array(family, pa.string()), pa.array(language, pa.string()), pa.array(margin), pa.array(known), pa.array(accepted)], ["_row", "_family", "_language", "_margin", "_known", "_accepted"])
+                yield pa.RecordBatch.from_arrays([row.slice(a, b - a), pa.array(family, pa.string()), pa.array(language, pa.string()), pa.array(margin), pa.array(known), pa.array(accepted)], ["_row", "_family", "_language", "_margin", "_known", "_accepted"])
 
     kinds = [("_family", T.StringType()), ("_language", T.StringType()), ("_margin", T.DoubleType()), ("_known", T.DoubleType()), ("_accepted", T.BooleanType())]
     return inner.mapInArrow(batches, T.StructType([inner.schema["_row"], *(T.StructField(n, k) for n, k in kinds)]))
@@ -209,5 +214,6 @@ def identify(docs: DataFrame, max_rows: int = MAX_TRAIN_ROWS, families: dict[str
 
 def keep_identified(docs: DataFrame, max_rows: int = MAX_TRAIN_ROWS, families: dict[str, str] = FAMILIES) -> DataFrame:
     """The rows of ``docs`` that ``identify`` accepts, with all their columns as they are, null ids and repeated rows too."""
-    out = predict(docs, train(docs, max_rows, families), [F.col(f"`{c}`") for c in docs.columns])
+    at = docs.columns.index("text") if "text" in docs.columns else None  # a name in other letters may be that of another column
+    out = predict(docs, train(docs, max_rows, families), [F.col(f"`{c}`") for c in docs.columns], at)
     return out.where("_accepted").select(*(F.col(f"_row.`{c}`").alias(c) for c in docs.columns))

@@ -1,9 +1,11 @@
 """Operators that compare or combine documents, and the pipeline."""
 
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -247,6 +249,19 @@ def test_passages_of_odd_rows(spark, odd, make):
 # --- contamination
 
 
+def test_passages_come_back_in_slices_without_the_old_text():
+    rng = random.Random(12)
+    texts = [prose(rng, 20_000) for _ in range(20)]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(20)), pa.array(texts), pa.array([{"n": i} for i in range(20)]), pa.array([[]] * 20, pa.list_(pa.struct([("at", pa.int32()), ("digest", pa.int64())])))],
+        ["doc_id", "text", "_row", "_repeats"],
+    )
+    out = list(chunks._cut_batches(iter([batch])))
+    assert all(b.schema.names == ["doc_id", "_row", "_new", "_spans"] for b in out)
+    assert batch.nbytes > 2 << 20 and max(b.nbytes for b in out) < 3 << 19
+    assert [tuple(r.values()) for b in out for r in b.to_pylist()] == [(i, {"n": i}, t, []) for i, t in enumerate(texts)]
+
+
 def edit_distance_within(pattern, text):
     """(least distance of the pattern to any stretch, leftmost end) by the plain table; ends are behind a character."""
     row = list(range(len(pattern) + 1))
@@ -398,6 +413,17 @@ def test_language_agrees_with_plain_votes(make):
     assert sum(got[i][1] == lang for i, _, lang in rows) >= 0.95 * len(rows)
 
 
+def test_a_text_goes_to_python_once(make):
+    rows = language_rows(3) + [(100, None, "en"), (101, "", "de")]
+    docs = make(rows).withColumn("_text", F.lit("x")).withColumn("_row", F.lit(1))
+    out = langid.keep_identified(docs)
+    lines = out._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    at = next(i for i, line in enumerate(lines) if "MapInArrow" in line)
+    assert len(re.findall(r"\btext#", lines[at + 1])) == 1, lines[at + 1]
+    known = {r.doc_id for r in langid.identify(docs).where("accepted").collect()}
+    assert known and sorted(out.collect()) == sorted(docs.where(F.col("doc_id").isin(list(known))).collect())
+
+
 def test_svm_reaches_the_least_cost():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(40, 5)) + np.repeat([[0.8], [-0.8]], 20, 0)
