@@ -8,7 +8,7 @@ from collections import defaultdict
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.session import checkpointed, join_checked
+from corvane.session import checkpointed, join_checked, local_table
 
 #: Tokens in a bin.
 CAPACITY = 2048
@@ -132,7 +132,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, size: str | None = None) ->
     items = checkpointed(items.select("doc_id", "piece", first.alias("first_token"), F.least(F.lit(capacity), F.col("n") - first).alias("n_tokens")))
     histogram = {r[0]: r[1] for r in items.where("n_tokens > 0").groupBy("n_tokens").count().collect()}  # capacity rows at most
     spark = docs.sparkSession
-    parts = spark.createDataFrame([(s, 1 + n // SHARE_ROWS) for s, n in sorted(histogram.items())], "_size bigint, _parts bigint")
+    parts = local_table(spark, [(s, 1 + n // SHARE_ROWS) for s, n in sorted(histogram.items())], "_size bigint, _parts bigint")
     ranked = items.join(F.broadcast(parts), F.col("n_tokens") == F.col("_size"))  # capacity rows at most
     ranked = ranked.withColumn("share", F.pmod(F.xxhash64("doc_id", "piece"), F.col("_parts")))
     # the rank counts shares one after the other; within a share it follows doc_id and piece
@@ -146,8 +146,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, size: str | None = None) ->
     steps: dict[int, list] = defaultdict(list)
     for n_tokens, rank, _n, first_bin, each, offset in sorted(plan(histogram, capacity)[0]):
         steps[n_tokens].append((rank, first_bin, each, offset))
-    table = spark.createDataFrame([(s, [x[0] for x in v], v) for s, v in steps.items()], "_size bigint, _ranks array<bigint>, _steps array<struct<rank:bigint,first:bigint,each:bigint,offset:bigint>>")
-    bases = spark.createDataFrame(before, "_of bigint, _share bigint, _base bigint")
+    table = local_table(spark, [(s, [x[0] for x in v], v) for s, v in steps.items()], "_size bigint, _ranks array<bigint>, _steps array<struct<rank:bigint,first:bigint,each:bigint,offset:bigint>>")
+    bases = local_table(spark, before, "_of bigint, _share bigint, _base bigint")
     rows = join_checked(ranked, bases, (F.col("n_tokens") == F.col("_of")) & (F.col("share") == F.col("_share")), "inner", row_bytes=48, rows=len(before))
     rows = rows.join(F.broadcast(table), F.col("n_tokens") == F.col("_size"))  # a row a size; its steps depend on the sizes alone
     rows = rows.withColumn("_rank", F.col("local") + F.col("_base"))

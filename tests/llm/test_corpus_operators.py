@@ -535,6 +535,13 @@ def test_packing_plan_has_no_join_or_window_on_one_size(make):
     assert "SortMergeJoin" not in plan and "hashpartitioning(n_tokens" not in plan
 
 
+def test_packing_needs_no_python_workers(make):
+    out = packing.pack(make([(i, "word " * (1 + i % 7)) for i in range(40)] + [(99, None)]), 8)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert set(re.findall(r"Scan ExistingRDD\[(\w+)", plan)) == {"doc_id"}, plan  # checkpoints alone; tables of the driver's rows are local
+    assert out.agg(F.sum("n_tokens")).first()[0] == sum(1 + i % 7 for i in range(40))
+
+
 def test_packing_of_odd_rows(odd, make):
     out = packing.pack(odd).collect()
     fits(out, packing.CAPACITY)
