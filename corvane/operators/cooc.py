@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
+from corvane.operators.company import company, starts_of
 from corvane.session import checkpointed
 
 #: Content words up to so many places apart co-occur; nearer pairs weigh more.
@@ -17,6 +20,14 @@ REACH = 5
 def pair_weights(arrays: DataFrame, reach: int = REACH) -> DataFrame:
     """(a, b, w), a <= b: for content words d <= reach places apart w grows by reach + 1 - d; places count stopwords too.
 
+    Pairs come from shifted copies of one array, so that the only shuffle is that of the sums.
+    """
+    return _pair_weights_of_names(arrays, reach)
+
+
+def _pair_weights_of_names(arrays: DataFrame, reach: int) -> DataFrame:
+    """``pair_weights`` of any number of words.
+
     Pairs come from shifted copies of one array, so that the only shuffle is that of the sums.
     """
     size = F.size("tokens")
@@ -53,6 +64,29 @@ def neighbours(scored: DataFrame, k: int = 5) -> DataFrame:
     return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("token", "neighbour", "rank", "ppmi")
 
 
+def nearest(arrays: DataFrame, k: int = 5) -> DataFrame:
+    """``neighbours`` of the PPMI of a corpus, ranked where the pairs are summed: of each range of pairs the ``k`` best of a word go on."""
+    found = company(arrays)
+    if found is None:
+        return neighbours(ppmi(_pair_weights_of_names(arrays, REACH)), k)
+    shared = found.lex.names
+
+    def best(a: np.ndarray, b: np.ndarray, scores: list[np.ndarray]) -> pa.Table:
+        starts, left = starts_of(a), np.rint(scores[0] * 1e9)
+        row, chosen = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(a)))), []
+        for _ in range(k if len(a) else 0):  # the first of the largest, in order of names, k times
+            at = np.flatnonzero((left == np.maximum.reduceat(left, starts)[row]) & (left >= 0))
+            at = at[starts_of(row[at])]
+            chosen.append(at)
+            left[at] = -1
+        at, names = np.concatenate([np.zeros(0, np.int64), *chosen]), shared.value
+        return pa.table({"token": names.take(pa.array(a[at])).cast(pa.string()), "neighbour": names.take(pa.array(b[at])).cast(pa.string()), "ppmi": pa.array(scores[0][at])})
+
+    order = Window.partitionBy("token").orderBy(F.round("ppmi", 9).desc(), "neighbour")
+    rows = found.scored(best, "token string, neighbour string, ppmi double").withColumn("rank", F.row_number().over(order))
+    return rows.where(F.col("rank") <= k).select("token", "neighbour", "rank", "ppmi")
+
+
 def merge_pairs(old: DataFrame, new: DataFrame) -> DataFrame:
     """Pair weights of two disjoint corpora together; the same as of both at once."""
     return old.unionByName(new).groupBy("a", "b").agg(F.sum("w").alias("w"))
