@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.operators import cooc, corpus
+from corvane.operators.company import company as counted
+from corvane.operators.company import starts_of
+from corvane.operators.lexicon import AFTER, BEFORE
 
 #: Words in fewer documents than this say nothing about use.
 LEAST_DF = 3
@@ -49,13 +54,44 @@ def usage(before: DataFrame, after: DataFrame, least_df: int = LEAST_DF) -> Data
 
 
 def company(before: DataFrame, after: DataFrame, least_df: int = LEAST_DF) -> DataFrame:
+    """``company_of`` two tables (doc_id, tokens)."""
+    return company_of(before.select("doc_id", "tokens", F.lit(BEFORE).alias("side")).unionByName(after.select("doc_id", "tokens", F.lit(AFTER).alias("side"))), least_df)
+
+
+def company_of(arrays: DataFrame, least_df: int = LEAST_DF) -> DataFrame:
     """(token, drift): 1 - cosine of a word's PPMI partners before and after; 0 exactly if they are equal, 1 if either has none.
 
-    For words in ``least_df`` documents of both states.
+    For words in ``least_df`` documents of both states. ``arrays``: (doc_id, tokens, side), side 1 before, 2 after, 3 for a document that
+    is the same in both and so is read once.
     """
+    found = counted(arrays, side="side")
+    if found is None:
+        return _company_by_joins(*(arrays.where(F.col("side").bitwiseAND(bit) > 0) for bit in (BEFORE, AFTER)), least_df)
+    shared = arrays.sparkSession.sparkContext.broadcast((found.lex.df >= least_df).all(0))
+    names = found.lex.names
+
+    def sums(a: np.ndarray, b: np.ndarray, scores: list[np.ndarray]) -> pa.Table:
+        some = shared.value[a]
+        a, (x, y) = a[some], (s[some] for s in scores)
+        starts = starts_of(a)
+        add = lambda v: pa.array(np.add.reduceat(v, starts) if len(starts) else v)
+        apart = np.maximum.reduceat(np.abs(x - y), starts) if len(starts) else x
+        return pa.table({"token": names.value.take(pa.array(a[starts])).cast(pa.string()), "dot": add(x * y), "xx": add(x * x), "yy": add(y * y), "apart": pa.array(apart)})
+
+    parts = found.scored(sums, "token string, dot double, xx double, yy double, apart double")
+    return _drift(parts.groupBy("token").agg(*(F.sum(c).alias(c) for c in ("dot", "xx", "yy")), F.max("apart").alias("apart")))
+
+
+def _drift(sums: DataFrame) -> DataFrame:
+    drift = F.when(F.col("apart") == 0, 0.0).when((F.col("xx") == 0) | (F.col("yy") == 0), 1.0).otherwise(1 - F.col("dot") / F.sqrt(F.col("xx") * F.col("yy")))
+    return sums.select("token", F.round(drift, 6).alias("drift"))
+
+
+def _company_by_joins(before: DataFrame, after: DataFrame, least_df: int) -> DataFrame:
+    """``company_of`` any number of words."""
     rows = None
     for name, arrays in (("x", before), ("y", after)):
-        scored = cooc.ppmi(cooc.pair_weights(arrays))
+        scored = cooc.ppmi(cooc.pair_weights(arrays.select("doc_id", "tokens")))
         both = scored.select(F.col("a").alias("token"), F.col("b").alias("other"), F.col("ppmi").alias(name)).unionByName(scored.where("a <> b").select(F.col("b").alias("token"), F.col("a").alias("other"), F.col("ppmi").alias(name)))
         df = corpus.vocabulary(arrays).where(F.col("df") >= least_df).select("token")
         both = both.join(df, "token", "left_semi")
@@ -64,8 +100,7 @@ def company(before: DataFrame, after: DataFrame, least_df: int = LEAST_DF) -> Da
     sums = rows.groupBy("token").agg(F.sum(x * y).alias("dot"), F.sum(x * x).alias("xx"), F.sum(y * y).alias("yy"), F.max(F.abs(x - y)).alias("apart"))
     words = [corpus.vocabulary(s).where(F.col("df") >= least_df).select("token") for s in (before, after)]
     sums = sums.join(words[0], "token", "left_semi").join(words[1], "token", "left_semi")
-    drift = F.when(F.col("apart") == 0, 0.0).when((F.col("xx") == 0) | (F.col("yy") == 0), 1.0).otherwise(1 - F.col("dot") / F.sqrt(F.col("xx") * F.col("yy")))
-    return sums.select("token", F.round(drift, 6).alias("drift"))
+    return _drift(sums)
 
 
 def grid_drift(before: DataFrame, after: DataFrame, changes: DataFrame) -> DataFrame:

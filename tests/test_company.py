@@ -50,3 +50,11 @@ def test_words_are_numbered_in_order(arrays):
 
 def test_neighbours_are_ranked_where_pairs_are_summed(arrays, small):
     assert rows(cooc.nearest(arrays, 3)) == rows(cooc.neighbours(cooc.ppmi(cooc._pair_weights_of_names(arrays, 5)), 3))
+
+
+@pytest.mark.parametrize("least", [1, 3])
+def test_company_of_marked_documents(arrays, small, least):
+    sides = arrays.withColumn("side", F.when(F.col("doc_id") % 10 == 0, 2).when(F.col("doc_id") % 10 == 1, 1).otherwise(3))
+    halves = [arrays.where(F.col("doc_id") % 10 != i) for i in (0, 1)]
+    want = rows(diff._company_by_joins(*halves, least))
+    assert rows(diff.company_of(sides, least)) == want == rows(diff.company(*halves, least)) and len({d for _, d in want}) > 20
