@@ -58,3 +58,12 @@ def test_company_of_marked_documents(arrays, small, least):
     halves = [arrays.where(F.col("doc_id") % 10 != i) for i in (0, 1)]
     want = rows(diff._company_by_joins(*halves, least))
     assert rows(diff.company_of(sides, least)) == want == rows(diff.company(*halves, least)) and len({d for _, d in want}) > 20
+
+
+@pytest.mark.parametrize("most_pairs", [40, 4_000_000])
+def test_near_words_where_partners_are_summed(arrays, small, monkeypatch, most_pairs):
+    monkeypatch.setattr(explain, "ASKED_PAIRS", most_pairs)
+    monkeypatch.setattr(explain, "PRODUCTS", 100)
+    asked = arrays.sparkSession.createDataFrame([("w1",), ("w3",), ("w90",), ("nowhere",), ("le",), ("the",)], "token string")
+    want = explain.near_words(cooc.ppmi(cooc._pair_weights_of_names(arrays, 5)), corpus.vocabulary(arrays), arrays.count(), asked, 4)
+    assert rows(explain.near_words_of(arrays, asked, 4)) == rows(want) and want.count() > 8
