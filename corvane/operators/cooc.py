@@ -20,9 +20,18 @@ REACH = 5
 def pair_weights(arrays: DataFrame, reach: int = REACH) -> DataFrame:
     """(a, b, w), a <= b: for content words d <= reach places apart w grows by reach + 1 - d; places count stopwords too.
 
-    Pairs come from shifted copies of one array, so that the only shuffle is that of the sums.
+    Words travel as numbers, pairs in sorted runs that are summed before they are shuffled and again by ranges of pairs.
     """
-    return _pair_weights_of_names(arrays, reach)
+    found = company(arrays, reach)
+    if found is None:
+        return _pair_weights_of_names(arrays, reach)
+    words, shared = found.lex.words, found.lex.names
+
+    def named(keys: np.ndarray, weights: list[np.ndarray]) -> pa.Table:
+        names = shared.value
+        return pa.table({"a": names.take(pa.array(keys // words)).cast(pa.string()), "b": names.take(pa.array(keys % words)).cast(pa.string()), "w": pa.array(weights[0])})
+
+    return found.pairs(False, named, "a string, b string, w bigint")
 
 
 def _pair_weights_of_names(arrays: DataFrame, reach: int) -> DataFrame:

@@ -48,10 +48,29 @@ def test_words_are_numbered_in_order(arrays):
     assert lexicon.numbers(lex.places.value, np.array(hashes)).tolist() == [names.index("w1"), -1, names.index("le")]
 
 
+def test_pairs_in_runs(arrays, small, monkeypatch):
+    want = rows(cooc._pair_weights_of_names(arrays, 5))
+    assert rows(cooc.pair_weights(arrays)) == want and len(want) > 1000
+    found = company.company(arrays)
+    assert len(found.bounds(True)) > 5 and any(found.bounds(True) % found.lex.words)
+    m = {r.token: r.m for r in cooc.marginals(cooc._pair_weights_of_names(arrays, 5)).collect()}
+    assert dict(zip(found.lex.names.value.to_pylist(), found.marginals[0].tolist())) == {w: m.get(w, 0) for w in found.lex.names.value.to_pylist()}
+    monkeypatch.setattr(lexicon, "MAX_WORDS", 5)
+    assert rows(cooc.pair_weights(arrays)) == want
+
+
 def test_neighbours_are_ranked_where_pairs_are_summed(arrays, small):
     assert rows(cooc.nearest(arrays, 3)) == rows(cooc.neighbours(cooc.ppmi(cooc._pair_weights_of_names(arrays, 5)), 3))
 
 
+def test_pairs_are_shuffled_packed(arrays):
+    """A pair takes some four bytes in a shuffle; its names and weight took over thirty."""
+    lex = lexicon.lexicon(arrays)
+    found = company.Company(arrays, lex)
+    runs = company._runs(found.lines, lex.words, found.bounds(False), False, 5)
+    assert runs.agg(F.sum(F.length("data"))).first()[0] < 6 * cooc.pair_weights(arrays).count()
+
+
 @pytest.mark.parametrize("least", [1, 3])
 def test_company_of_marked_documents(arrays, small, least):
     sides = arrays.withColumn("side", F.when(F.col("doc_id") % 10 == 0, 2).when(F.col("doc_id") % 10 == 1, 1).otherwise(3))
