@@ -9,7 +9,7 @@ from corvane.functions import text as T
 from corvane.operators import corpus, embeddings, evaluate, explain, retrieve, typed, vectors, versions
 from corvane.plans.corpus_queries import GRID, SIGNED
 from corvane.plans.tables import BM25, NEG, QRY, STOP, VOC, benchmark_queries, doc_arrays, in_sql, table, texts, top_sql
-from corvane.session import checkpointed
+from corvane.session import checkpointed, join_checked
 
 #: What the single-query reports look for.
 ASKED = "the and of"
@@ -130,8 +130,14 @@ def typed_search(spark, d):
 def explain_match(spark, d):
     """What each token of the benchmark's queries adds in the best ten documents."""
     a, q = doc_arrays(spark, d), benchmark_queries(spark, d)
-    vocab = checkpointed(corpus.with_idf(corpus.vocabulary(a), a))
-    return explain.match_terms(vectors.encode(corpus.signed_counts(a), vocab, a), vocab, q, retrieve.bm25_topk(a, q, 10))
+    hits = checkpointed(retrieve.bm25_topk(a, q, 10))
+    grids, vocab = vectors.grids_and_words(a, q)
+    return explain.match_terms(grids(_held(a, hits)), vocab, q, hits)
+
+
+def _held(arrays, hits):
+    """The documents that are among the hits."""
+    return join_checked(arrays, hits.select("doc_id").distinct(), "doc_id", "left_semi", row_bytes=64)
 
 
 def weight_sweep(spark, d):
