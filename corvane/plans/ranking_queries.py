@@ -31,10 +31,10 @@ def bm25_batch_benchmark(spark, d):
 
 def _grids(spark, d, arrays):
     """Grids of the documents and of the benchmark's items, (doc_id, q, norm) and (qid, q), from one count of the vocabulary."""
-    vocab = checkpointed(corpus.with_idf(corpus.vocabulary(arrays), arrays))
     rows = benchmark_queries(spark, d).withColumnRenamed("qid", "doc_id")
+    docs, vocab = vectors.grids_and_words(arrays, rows)
     asked = vectors.encode(corpus.signed_counts(rows), vocab, rows).where("norm > 0").select(F.col("doc_id").alias("qid"), "q")
-    return vectors.encode(corpus.signed_counts(arrays), vocab, arrays), asked
+    return docs(arrays), asked
 
 
 def grid_cosine_topk(spark, d):

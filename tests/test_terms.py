@@ -38,6 +38,12 @@ def rows(df):
     return sorted((tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in df.collect()), key=repr)
 
 
+def test_signatures_made_together():
+    words = [f"x{i}" for i in range(50)]
+    got = terms.signatures(words, 64, 40, vectors.signature)  # so few places that three hashes don't always do
+    assert all(r[r >= 0].tolist() == vectors.signature(w, 64).tolist() for r, w in zip(got, words))
+
+
 def test_only_asked_documents_are_encoded(arrays):
     a = arrays.select("doc_id", "tokens")
     grids, words = vectors.grids_and_words(a, arrays.sparkSession.createDataFrame([(0, ["w1", "nowhere"])], "qid int, tokens array<string>"))
