@@ -38,6 +38,10 @@ def rows(df):
     return sorted((tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in df.collect()), key=repr)
 
 
+def test_identity_cards(arrays, both):
+    both(lambda: explain.identity_cards(arrays, "source", 0.2, terms=10))
+
+
 def test_signatures_made_together():
     words = [f"x{i}" for i in range(50)]
     got = terms.signatures(words, 64, 40, vectors.signature)  # so few places that three hashes don't always do
