@@ -48,6 +48,13 @@ def test_signatures_made_together():
     assert all(r[r >= 0].tolist() == vectors.signature(w, 64).tolist() for r, w in zip(got, words))
 
 
+def test_nearest_words_by_sums_of_columns(arrays, both, monkeypatch):
+    monkeypatch.setattr(explain, "DOC_BLOCK", 7)
+    monkeypatch.setattr(explain, "WORD_BLOCK", 16)
+    some = arrays.where("doc_id % 3 = 0").select("doc_id", "tokens")
+    both(lambda: explain.nearest_words_of(arrays.select("doc_id", "tokens"), some, 4), shuffles=True)
+
+
 def test_only_asked_documents_are_encoded(arrays):
     a = arrays.select("doc_id", "tokens")
     grids, words = vectors.grids_and_words(a, arrays.sparkSession.createDataFrame([(0, ["w1", "nowhere"])], "qid int, tokens array<string>"))
