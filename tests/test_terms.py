@@ -42,6 +42,12 @@ def test_identity_cards(arrays, both):
     both(lambda: explain.identity_cards(arrays, "source", 0.2, terms=10))
 
 
+@pytest.mark.parametrize("kept", [0, 5, 1 << 17])
+def test_grids(arrays, both, monkeypatch, kept):
+    monkeypatch.setattr(vectors, "_KEPT", kept)
+    both(lambda: vectors.document_grids(arrays.select("doc_id", "tokens")))
+
+
 def test_signatures_made_together():
     words = [f"x{i}" for i in range(50)]
     got = terms.signatures(words, 64, 40, vectors.signature)  # so few places that three hashes don't always do
