@@ -14,6 +14,7 @@ from pyspark.sql import types as ST
 from pyspark.sql.pandas.types import to_arrow_type
 
 from corvane.operators.corpus import bm25_idf
+from corvane.operators.scorer import mixed, scorer
 from corvane.operators.vectors import better_counts, cosine_scores, pair_cosines, ranked
 from corvane.session import BROADCAST_LIMIT, checkpointed, join_checked
 
@@ -33,8 +34,14 @@ def postings(arrays: DataFrame) -> DataFrame:
 def bm25_scores(arrays: DataFrame, queries: DataFrame) -> DataFrame:
     """(qid, doc_id, score) of the documents with a query token. ``queries``: (qid, tokens); repeated tokens count each time.
 
-    Only the tokens of the queries are counted in the documents: they are sent along if there are few, else both sides are shuffled.
+    Only the tokens of the queries are counted in the documents, where these are, if the queries' weights can be sent along; else both
+    sides are shuffled.
     """
+    found = scorer(arrays, queries)
+    return _bm25_by_joins(arrays, queries) if found is None else found.scores()
+
+
+def _bm25_by_joins(arrays: DataFrame, queries: DataFrame) -> DataFrame:
     rows = arrays.select("doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("token"))
     wanted = queries.select(F.explode("tokens").alias("token")).distinct()
     hits = join_checked(rows, wanted, "token", "left_semi", row_bytes=64).groupBy("token", "doc_id", "dl").agg(F.count("*").alias("tf"))
@@ -251,6 +258,12 @@ def confidence(scores: DataFrame, k: int = 10) -> DataFrame:
     return means.join(best, "qid", "left").select("qid", F.round(ratio, 6).alias("nqc"))
 
 
+def mixed_with_vectors(arrays: DataFrame, queries: DataFrame, vectors: DataFrame, asked: DataFrame, mixes: list[tuple[float, float]], k: int = 10) -> DataFrame | None:
+    """(nth, qid, doc_id, score), ``scorer.mixed`` by each pair of weights; None if queries or their vectors are too many for it."""
+    found = scorer(arrays, queries)
+    return None if found is None else mixed(found, vectors, asked, mixes, False, k)
+
+
 def convex(channels: dict[str, tuple[DataFrame, float]], k: int = 10) -> DataFrame:
     """(qid, doc_id, rank, score): weighted sum of each channel's z-scores within its query, from one row of moments a query."""
     parts = []

@@ -74,6 +74,12 @@ def _dense_channel(spark, d):
     return vectors.cosine_scores(v, q, None, doc_id="vec_id", doc_vec="embedding", query_id="vec_id", query_vec="embedding")
 
 
+def _dense_vectors(spark, d):
+    """What ``_dense_channel`` compares: (doc_id, vec) and (qid, vec)."""
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec"))
+    return v, v.withColumnRenamed("doc_id", "qid").join(table(spark, d, "benchmark").select(F.col("item_id").alias("qid")), "qid", "left_semi")
+
+
 def rerank_blend(spark, d):
     return retrieve.blend(retrieve.bm25_scores(doc_arrays(spark, d), benchmark_queries(spark, d)), _dense_channel(spark, d))
 
@@ -143,6 +149,10 @@ def _held(arrays, hits):
 def weight_sweep(spark, d):
     """Shares of BM25 and the dense stand-in, held against the documents that hold an item verbatim."""
     truth = checkpointed(evaluate.verbatim(texts(spark, d), table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text")))
+    v, asked = _dense_vectors(spark, d)
+    rows = retrieve.mixed_with_vectors(doc_arrays(spark, d), benchmark_queries(spark, d), v, asked, [(t[0], t[2]) for t in evaluate.TRIPLES])
+    if rows is not None:
+        return evaluate.sweep_of(rows, truth)
     channels = {"signature": checkpointed(retrieve.bm25_scores(doc_arrays(spark, d), benchmark_queries(spark, d))), "embedding": checkpointed(_dense_channel(spark, d))}
     return evaluate.sweep(channels, truth)
 

@@ -66,3 +66,21 @@ def test_only_asked_documents_are_encoded(arrays):
     grids, words = vectors.grids_and_words(a, arrays.sparkSession.createDataFrame([(0, ["w1", "nowhere"])], "qid int, tokens array<string>"))
     assert [r.token for r in words.collect()] == ["w1"]
     assert rows(grids(a.where("doc_id < 9"))) == rows(vectors.document_grids(a).where("doc_id < 9"))
+
+
+@pytest.fixture
+def asked(spark):
+    return spark.createDataFrame([(0, ["w1", "w1", "the"]), (1, ["nowhere"]), (2, ["w40", "of", "w7"]), (3, [])], "qid bigint, tokens array<string>")
+
+
+def test_weights_are_tried_in_one_reading(arrays, asked):
+    from corvane.operators import retrieve
+
+    a, triples = arrays.select("doc_id", "tokens"), ((0.5, 0.0, 0.5), (1.0, 0.0, 0.0), (0.2, 0.3, 0.5))
+    pick = random.Random(4)
+    v = arrays.sparkSession.createDataFrame([(i, [pick.gauss(0, 1) for _ in range(4)]) for i in range(30)], "doc_id bigint, vec array<float>")
+    q = v.where("doc_id < 3").select(F.col("doc_id").alias("qid"), "vec")
+    truth = arrays.sparkSession.createDataFrame([(0, 4), (2, 9), (2, 30)], "qid bigint, doc_id bigint")
+    dense = vectors.cosine_scores(v, q, None, doc_vec="vec", query_vec="vec")
+    want = evaluate.sweep({"signature": retrieve.bm25_scores(a, asked), "embedding": dense}, truth, triples)
+    assert rows(evaluate.sweep_of(retrieve.mixed_with_vectors(a, asked, v, q, [(t[0], t[2]) for t in triples]), truth, triples)) == rows(want)
