@@ -252,12 +252,21 @@ def by_source(hits: DataFrame) -> DataFrame:
 
 def confidence(scores: DataFrame, k: int = 10) -> DataFrame:
     """(qid, nqc): deviation of the ``k`` best scores over the size of the mean of all; 0 if that mean is 0."""
+    return _confidence(scores, scores.groupBy("qid").agg(F.abs(F.avg("score")).alias("mean")), k)
+
+
+def _confidence(scores: DataFrame, means: DataFrame, k: int) -> DataFrame:
     best = ranked(scores, k).groupBy("qid").agg(F.stddev_pop("score").alias("spread"))
-    means = scores.groupBy("qid").agg(F.abs(F.avg("score")).alias("mean"))
     ratio = F.when(F.col("mean") > 0, F.coalesce("spread", F.lit(0.0)) / F.col("mean")).otherwise(0.0)
     return means.join(best, "qid", "left").select("qid", F.round(ratio, 6).alias("nqc"))
 
 
+def bm25_confidence(arrays: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """``confidence`` of BM25, from each task's best and sums."""
+    found = scorer(arrays, queries)
+    return confidence(_bm25_by_joins(arrays, queries), k) if found is None else _confidence(found.top(k), found.means().select("qid", F.abs("mean").alias("mean")), k)
+
+
 def mixed_with_vectors(arrays: DataFrame, queries: DataFrame, vectors: DataFrame, asked: DataFrame, mixes: list[tuple[float, float]], k: int = 10) -> DataFrame | None:
     """(nth, qid, doc_id, score), ``scorer.mixed`` by each pair of weights; None if queries or their vectors are too many for it."""
     found = scorer(arrays, queries)

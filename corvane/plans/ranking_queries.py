@@ -117,7 +117,7 @@ def meta_summary(spark, d):
 
 
 def query_confidence(spark, d):
-    return retrieve.confidence(retrieve.bm25_scores(doc_arrays(spark, d), benchmark_queries(spark, d)))
+    return retrieve.bm25_confidence(doc_arrays(spark, d), benchmark_queries(spark, d))
 
 
 def convex_fusion(spark, d):

@@ -88,3 +88,12 @@ def test_weights_are_tried_in_one_reading(arrays, asked):
     dense = vectors.cosine_scores(v, q, None, doc_vec="vec", query_vec="vec")
     want = evaluate.sweep({"signature": retrieve.bm25_scores(a, asked), "embedding": dense}, truth, triples)
     assert rows(evaluate.sweep_of(retrieve.mixed_with_vectors(a, asked, v, q, [(t[0], t[2]) for t in triples]), truth, triples)) == rows(want)
+
+
+def test_moments_of_equal_scores():
+    import numpy as np
+
+    m = scorer.Moments(2)
+    for piece in ([[0.1, np.nan], [0.1, 4.0]], [[0.1, np.nan]], [[np.nan, 2.0], [0.1, 0.0]]):
+        m.add(np.array(piece))
+    assert m.spread[0] < 1e-12 and m.n.tolist() == [4, 3] and abs(m.mean[1] - 2) < 1e-12 and abs(m.spread[1] - (8 / 3) ** 0.5) < 1e-12
