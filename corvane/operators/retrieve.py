@@ -101,7 +101,10 @@ def _bm25(hits: DataFrame, lengths: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def bm25_topk(arrays: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    return ranked(bm25_scores(arrays, queries), k).select("qid", "doc_id", "rank", F.round("score", 6).alias("score"))
+    """(qid, doc_id, rank, score to 6 places); a task keeps its best ``k`` of a query."""
+    found = scorer(arrays, queries)
+    scores = _bm25_by_joins(arrays, queries) if found is None else found.top(k)
+    return ranked(scores, k).select("qid", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
 @dataclass

@@ -77,6 +77,16 @@ def asked(spark):
     return spark.createDataFrame([(0, ["w1", "w1", "the"]), (1, ["nowhere"]), (2, ["w40", "of", "w7"]), (3, [])], "qid bigint, tokens array<string>")
 
 
+def test_bm25_where_documents_are(arrays, asked, both, monkeypatch):
+    from corvane.operators import retrieve
+
+    a = arrays.select("doc_id", "tokens")
+    monkeypatch.setattr(scorer, "ROWS", 3)
+    both(lambda: retrieve.bm25_scores(a, asked), scorer, "MOST_WORDS")
+    both(lambda: retrieve.bm25_topk(a, asked, 3), scorer, "MOST_WORDS", shuffles=True)
+    both(lambda: retrieve.bm25_confidence(a, asked, 3), scorer, "MOST_WORDS", shuffles=True)
+
+
 def test_weights_are_tried_in_one_reading(arrays, asked):
     from corvane.operators import retrieve
 
