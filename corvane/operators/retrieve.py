@@ -276,6 +276,15 @@ def mixed_with_vectors(arrays: DataFrame, queries: DataFrame, vectors: DataFrame
     return None if found is None else mixed(found, vectors, asked, mixes, False, k)
 
 
+def convex_with_vectors(arrays: DataFrame, queries: DataFrame, vectors: DataFrame, asked: DataFrame, weights: tuple[float, float], k: int = 10) -> DataFrame:
+    """``convex`` of BM25 and of the cosine of documents (doc_id, vec) with queries (qid, vec), each document scored in one place."""
+    found = scorer(arrays, queries)
+    rows = None if found is None else mixed(found, vectors, asked, [weights], True, k)
+    if rows is None:
+        return convex({"bm25": (bm25_scores(arrays, queries), weights[0]), "dense": (cosine_scores(vectors, asked, None, doc_vec="vec", query_vec="vec"), weights[1])}, k)
+    return ranked(rows, k).select("qid", "doc_id", "rank", F.round("score", 6).alias("score"))
+
+
 def convex(channels: dict[str, tuple[DataFrame, float]], k: int = 10) -> DataFrame:
     """(qid, doc_id, rank, score): weighted sum of each channel's z-scores within its query, from one row of moments a query."""
     parts = []

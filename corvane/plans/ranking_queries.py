@@ -122,7 +122,7 @@ def query_confidence(spark, d):
 
 def convex_fusion(spark, d):
     """Weighted z-scores of BM25 and the dense stand-in."""
-    return retrieve.convex({"bm25": (retrieve.bm25_scores(doc_arrays(spark, d), benchmark_queries(spark, d)), 0.6), "dense": (_dense_channel(spark, d), 0.4)})
+    return retrieve.convex_with_vectors(doc_arrays(spark, d), benchmark_queries(spark, d), *_dense_vectors(spark, d), (0.6, 0.4))
 
 
 def typed_search(spark, d):

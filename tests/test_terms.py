@@ -87,6 +87,16 @@ def test_bm25_where_documents_are(arrays, asked, both, monkeypatch):
     both(lambda: retrieve.bm25_confidence(a, asked, 3), scorer, "MOST_WORDS", shuffles=True)
 
 
+@pytest.mark.parametrize("weights", [(0.6, 0.4), (1.0, 0.0), (0.0, 1.0)])
+def test_two_channels_in_one_place(arrays, asked, both, weights):
+    from corvane.operators import retrieve
+
+    spark, pick = arrays.sparkSession, random.Random(3)
+    v = spark.createDataFrame([(i, [pick.gauss(0, 1) for _ in range(4)]) for i in range(40, 90)] + [(90, [0.0] * 4), (91, [])], "doc_id bigint, vec array<float>")
+    q = v.where("doc_id in (41, 42, 90)").select((F.col("doc_id") - 41).alias("qid"), "vec")
+    both(lambda: retrieve.convex_with_vectors(arrays.select("doc_id", "tokens"), asked, v, q, weights, 4), scorer, "MOST_WORDS", shuffles=True)
+
+
 def test_weights_are_tried_in_one_reading(arrays, asked):
     from corvane.operators import retrieve
 
