@@ -38,6 +38,10 @@ def rows(df):
     return sorted((tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in df.collect()), key=repr)
 
 
+def test_top_terms(arrays, both):
+    both(lambda: explain.top_terms(arrays.select("doc_id", "tokens"), 5))
+
+
 def test_boilerplate_reads_groups_with_the_documents(arrays, both):
     assert len({r[4] for r in both(lambda: explain.top_terms(arrays, 5, ("source",)).select("doc_id", "token", "rank", "weight", "source"))}) == 3
 
