@@ -54,6 +54,10 @@ def test_held_out(arrays, both):
     both(lambda: evaluate.held_out(arrays.select("doc_id", "tokens"), 3, 4))
 
 
+def test_heat_map(arrays, both):
+    both(lambda: vectors.heat_map_of(arrays.select("doc_id", "tokens"), 64))
+
+
 @pytest.mark.parametrize("kept", [0, 5, 1 << 17])
 def test_grids(arrays, both, monkeypatch, kept):
     monkeypatch.setattr(vectors, "_KEPT", kept)
