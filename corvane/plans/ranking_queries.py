@@ -166,8 +166,8 @@ def mrr_recall(spark, d):
 def version_groups(spark, d):
     """Among the best 20 documents of each query, those that are versions of one; doc_id stands for the date."""
     a, q = doc_arrays(spark, d), benchmark_queries(spark, d)
-    hits = retrieve.bm25_topk(a, q, 20).select("qid", "doc_id", "rank", F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("date"))
-    grids = vectors.document_grids(a).select("doc_id", "q", "norm")
+    hits = checkpointed(retrieve.bm25_topk(a, q, 20).select("qid", "doc_id", "rank", F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("date")))
+    grids = checkpointed(vectors.grids_and_words(a, q)[0](_held(a, hits)).select("doc_id", "q", "norm"))
     return versions.current_versions(hits, versions.similar_pairs(hits.join(grids, "doc_id").select("qid", "doc_id", "q", "norm")))
 
 
