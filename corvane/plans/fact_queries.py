@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text as T
 from corvane.operators import belief, facets, relations, retrieve, vectors
-from corvane.plans.tables import BM25, FACETS, QRY, VOC, benchmark_queries, doc_arrays, order_paths, table, top_sql
+from corvane.plans.tables import BM25, FACETS, QRY, VOC, benchmark_queries, doc_arrays, order_paths, table, texts, top_sql
 from corvane.plans.corpus_queries import _SIG
 from corvane.plans.ranking_queries import ASKED, _literal, _literal_sql
+from corvane.session import checkpointed, join_checked
 
 
 def count_filtered(spark, d):
@@ -38,10 +39,13 @@ def ref_join(spark, d):
     return facets.holders(order_paths(spark, d), codes)
 
 
-def _doc_facets(spark, d):
-    """Facets of documents: the type by source, a date from n_chars, and the codes of the text."""
+def _doc_facets(spark, d, hits=None):
+    """Facets of documents, or of those among the hits: the type by source, a date from n_chars, and the codes of the text."""
+    docs = table(spark, d, "documents")
+    if hits is not None:  # before the codes are sought
+        docs = join_checked(docs, hits.select("doc_id").distinct(), "doc_id", "left_semi", row_bytes=64)
     day = F.lpad((F.col("n_chars") % 28 + 1).cast("string"), 2, "0")
-    return table(spark, d, "documents").select("doc_id", F.col("source").alias("type"), F.when(F.col("n_chars") % 10 == 0, T.NO_DATE).otherwise(F.concat(F.lit("2024-01-"), day)).alias("date"), T.codes(F.col("text")).alias("refs"))
+    return docs.select("doc_id", F.col("source").alias("type"), F.when(F.col("n_chars") % 10 == 0, T.NO_DATE).otherwise(F.concat(F.lit("2024-01-"), day)).alias("date"), T.codes(F.col("text")).alias("refs"))
 
 
 def recency_blend(spark, d):
@@ -53,9 +57,10 @@ def recency_blend(spark, d):
 def exact_ref_boost(spark, d):
     """A pool of 400 with the holders of the most frequent code first."""
     pool = facets.pool_size(10, False, False, True)
-    f = _doc_facets(spark, d)
-    top = f.select(F.explode("refs").alias("ref")).groupBy("ref").count().orderBy(F.desc("count"), "ref").first()
-    return facets.apply(retrieve.bm25_topk(doc_arrays(spark, d), _literal(spark, ASKED), pool), f, 10, codes=[top[0]] if top else [])
+    refs = texts(spark, d).select(F.explode(T.codes(F.col("text"))).alias("ref"))
+    top = refs.groupBy("ref").count().orderBy(F.desc("count"), "ref").first()
+    hits = checkpointed(retrieve.bm25_topk(doc_arrays(spark, d), _literal(spark, ASKED), pool))
+    return facets.apply(hits, _doc_facets(spark, d, hits), 10, codes=[top[0]] if top else [])
 
 
 def empty_filter_report(spark, d):
