@@ -126,11 +126,8 @@ def convex_fusion(spark, d):
 
 
 def typed_search(spark, d):
-    a = doc_arrays(spark, d)
-    counts = typed.routed(a)
-    vocab = corpus.with_idf(corpus.vocabulary_from_counts(counts), a)
     q = benchmark_queries(spark, d).select("qid", F.explode("tokens").alias("token")).groupBy("qid", "token").agg(F.count("*").alias("qtf"))
-    return typed.typed_search(counts, vocab, q)
+    return typed.typed_search_of(doc_arrays(spark, d), q)
 
 
 def explain_match(spark, d):

@@ -129,3 +129,11 @@ def test_moments_of_equal_scores():
     for piece in ([[0.1, np.nan], [0.1, 4.0]], [[0.1, np.nan]], [[np.nan, 2.0], [0.1, 0.0]]):
         m.add(np.array(piece))
     assert m.spread[0] < 1e-12 and m.n.tolist() == [4, 3] and abs(m.mean[1] - 2) < 1e-12 and abs(m.spread[1] - (8 / 3) ** 0.5) < 1e-12
+
+
+def test_typed_search_where_documents_are(arrays, both):
+    from corvane.operators import typed
+
+    a = arrays.select("doc_id", "tokens").unionByName(arrays.sparkSession.createDataFrame([(100, ["zz999", "w1", "w5"]), (101, ["zz999", "w1"])], "doc_id bigint, tokens array<string>"))
+    q = arrays.sparkSession.createDataFrame([(0, "w1", 2), (0, "zz999", 1), (1, "w3", 1), (1, "ab12cd", 2), (2, "nowhere", 1), (3, "of", 1)], "qid int, token string, qtf bigint")
+    both(lambda: typed.typed_search_of(a, q, 3), shuffles=True)
