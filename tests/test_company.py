@@ -86,3 +86,14 @@ def test_near_words_where_partners_are_summed(arrays, small, monkeypatch, most_p
     asked = arrays.sparkSession.createDataFrame([("w1",), ("w3",), ("w90",), ("nowhere",), ("le",), ("the",)], "token string")
     want = explain.near_words(cooc.ppmi(cooc._pair_weights_of_names(arrays, 5)), corpus.vocabulary(arrays), arrays.count(), asked, 4)
     assert rows(explain.near_words_of(arrays, asked, 4)) == rows(want) and want.count() > 8
+
+
+def test_bigrams_in_runs(arrays, small, monkeypatch):
+    """Bigrams as they stand in the text, and documents merged where they are."""
+    got = corpus.collocations(arrays, 2, 0.5)
+    first, merged = rows(got), corpus.merge_collocations(arrays, got)
+    assert "hashpartitioning" not in merged._jdf.queryExecution().executedPlan().toString()
+    merged = rows(merged)
+    assert any("_" in t for r in merged for t in r[1])
+    monkeypatch.setattr(lexicon, "MAX_WORDS", 0)
+    assert rows(corpus.collocations(arrays, 2, 0.5)) == first and rows(corpus.merge_collocations(arrays, got)) == merged
